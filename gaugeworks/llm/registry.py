@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, pii, quality, secrets, urlrules
+from . import bpe, decontaminate, langid, neardup, pii, quality, secrets, urlrules
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.verdicts(table(spark, sf_dir, "pages")).drop("patterns")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_pii": op2_pii, "op5_quality": op5_quality, "op6_secret_scan": op6_secret_scan, "op7_url_rules": op7_url_rules, "op9_language": op9_language, "op10_byte_bpe": op10_byte_bpe}
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_url_rules": urlrules.sql()}
+OP8_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+both_in AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_in JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+m AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)
+"""
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_pii": op2_pii, "op5_quality": op5_quality, "op6_secret_scan": op6_secret_scan, "op7_url_rules": op7_url_rules, "op8_near_duplicates": op8_near_duplicates, "op9_language": op9_language, "op10_byte_bpe": op10_byte_bpe}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_url_rules": urlrules.sql(), "op8_near_duplicates": OP8_SQL}
