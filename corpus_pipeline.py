@@ -1,9 +1,57 @@
-"""Corpus preparation: the stages of one run over `documents`."""
+"""Corpus preparation over `documents`: each stage works on what the one before it kept.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir); its result is written as Parquet and read
+again as the next one's docs. All but the last return the columns of `docs`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gaugeworks.llm import bpe, decontaminate, neardup, quality, secrets
+from gaugeworks.llm.common import materialize, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line CRF scores below its threshold go."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    return quality.quality(docs, table(spark, sf_dir, "labels"), keep=rest).where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id."""
+    return neardup.without_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=rest).where("NOT contaminated").select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts give way to a marker; n_chars follows."""
+    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of the ids and of the decoded bytes."""
+    return bpe.encode_documents(docs, keep=["lang", "source"])
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("minhash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scan", secret_stage),
+    ("byte-level bpe", token_stage),
+]
+#: The classifier, the randomness tests and BPE have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
     return docs

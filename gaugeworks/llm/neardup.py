@@ -80,10 +80,10 @@ def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(joined[a : b - size + 1]))
         elif b > a:
-            h = U(b - a)
+            h = np.array([b - a], U)
             for w in word[a:b]:
-                h = (h * U(0xD6E8FEB86659FD93)) + w
-            out.append(mix(np.array([h], U)))
+                h = h * U(0xD6E8FEB86659FD93) + w
+            out.append(mix(h))
         else:
             out.append(np.zeros(0, U))
         a = b
@@ -119,7 +119,7 @@ def prints(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return [signed(mix(s).sum(dtype=U)) for s in sets], [signed(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)) for s in sets]
 
 
-def signatures(docs: DataFrame, key: str, text: str, shingle: int, bands: int, rows: int) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, shingle: int, bands: int, rows: int, keep: list[str]) -> DataFrame:
     """key, n_shingles, f1, f2, bands (keys), bits (64-bit words of the packed signature)"""
 
     def run(batches):
@@ -141,13 +141,14 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int, bands: int, r
                     words = (small << (np.arange(per, dtype=U) * U(BITS))).sum(2, dtype=U)
                     for i, kk, ww in zip(full, k.astype(np.int64).tolist(), words.astype(np.int64).tolist()):
                         keys[i], packed[i] = kk, ww
-                ids = batch.column(key).slice(at, len(some))
+                ids = [batch.column(c).slice(at, len(some)) for c in (key, *keep)]
                 at += len(some)
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(map(len, sets), pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, longs), pa.array(packed, longs)], names=[key, "n_shingles", "f1", "f2", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(map(len, sets), pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, longs), pa.array(packed, longs)], names=[key, *keep, "n_shingles", "f1", "f2", "bands", "bits"])
 
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>"
-    return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, schema)
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    schema = f"{kept}, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>"
+    return docs.select(key, *keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,9 +225,10 @@ def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle:
     return rows.select("vid", "f1", "f2", "__text").mapInArrow(run, "vid long, set binary")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.75, bands: int = 32, rows: int = 4) -> DataFrame:
-    """key, n_shingles, component_id, kept: one row for each row of `docs`."""
-    sig = materialize(signatures(docs, key, text, shingle, bands, rows))
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.75, bands: int = 32, rows: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """key, `keep`, n_shingles, component_id, kept: one row for each row of `docs`."""
+    keep = keep or []
+    sig = materialize(signatures(docs, key, text, shingle, bands, rows, keep))
     hashes = bands * rows
     alike = sig.where((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy("f1", "f2").agg(F.min(F.struct(F.col(key).alias("id"), "n_shingles", "bands", "bits")).alias("s"))
     classes = materialize(alike.select(F.monotonically_increasing_id().alias("vid"), "f1", "f2", "s.*"))
@@ -235,9 +237,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rooted = classes.join(root, F.col("vid") == F.col("node"), "left").select("f1", "f2", "id", F.coalesce("root", "vid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     named = rooted.join(least, "root").select("f1", "f2", "least")
-    out = sig.select(key, "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
+    out = sig.select(key, *keep, "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("least")).otherwise(F.col(key))
-    return out.select(key, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    return out.select(key, *keep, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
 def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, threshold: float, hashes: int) -> DataFrame:
@@ -272,3 +274,15 @@ def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: in
             pairs = apart.join(others, "bucket").where("ru <> rv AND (rv = main OR u < v)").select("u", "v")
         links = links.unionByName(check(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
     return links
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that stay: one of each group. Rows equal in id and text count as one document."""
+    rid = F.xxhash64(F.col(key), F.col(text)).alias("__rid")
+    rows = docs.withColumn("__rid", rid)
+    found = materialize(near_duplicates(rows, key, text, keep=["__rid"], **options))
+    out = rows.join(found.where("NOT kept").select("__rid").distinct(), "__rid", "left_anti")
+    again = found.where("kept AND n_shingles > 0").where(F.col(key).isNotNull()).groupBy("__rid").count().where("count > 1").select("__rid")
+    if again.limit(1).count():
+        out = out.join(again, "__rid", "left_anti").unionByName(out.join(again, "__rid", "left_semi").dropDuplicates(["__rid"]))
+    return out.select(*docs.columns)

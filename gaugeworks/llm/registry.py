@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, neardup, pii, quality, repeats, secrets, urlrules
+from . import ann, bpe, decontaminate, langid, neardup, pii, quality, repeats, secrets, urlrules
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -72,5 +76,5 @@ m AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_pii": op2_pii, "op4_repeats": op4_repeats, "op5_quality": op5_quality, "op6_secret_scan": op6_secret_scan, "op7_url_rules": op7_url_rules, "op8_near_duplicates": op8_near_duplicates, "op9_language": op9_language, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_pii": op2_pii, "op3_neighbours": op3_neighbours, "op4_repeats": op4_repeats, "op5_quality": op5_quality, "op6_secret_scan": op6_secret_scan, "op7_url_rules": op7_url_rules, "op8_near_duplicates": op8_near_duplicates, "op9_language": op9_language, "op10_byte_bpe": op10_byte_bpe}
 SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_url_rules": urlrules.sql(), "op8_near_duplicates": OP8_SQL}

@@ -138,13 +138,14 @@ def cuts(candidates: DataFrame, fdr: float) -> list:
     return out
 
 
-def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 20, text_skew: float = 2.0, order_level: float = 1e-3, fdr: float = 0.01) -> DataFrame:
-    """key, n_assign, n_access, n_hex, base_sha256, spans (text), found (structs of kind, start, end)."""
+def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 20, text_skew: float = 2.0, order_level: float = 1e-3, fdr: float = 0.01, keep: list[str] | None = None) -> DataFrame:
+    """key, `keep`, n_assign, n_access, n_hex, base_sha256, spans (text), found (structs of kind, start, end)."""
+    keep = keep or []
     t = F.col("__t")
     candidate = f"[A-Za-z0-9+/_=-]{{{min_length},}}"
     assign, access, hexes = base_spans(t)
     tests = F.when(t.rlike(candidate), tested(located(t, candidate), text_skew, order_level)).otherwise(F.array().cast("array<struct<start:int,end:int,encoding:string,size:int,bin:int>>"))
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__t")).select(key, assign.alias("assign"), access.alias("access"), hexes.alias("hex"), tests.alias("tests"))
+    rows = docs.select(key, *keep, F.coalesce(F.col(text), F.lit("")).alias("__t")).select(key, *keep, assign.alias("assign"), access.alias("access"), hexes.alias("hex"), tests.alias("tests"))
     rows = materialize(rows)
     taken = cuts(rows, fdr)
 
@@ -162,7 +163,21 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_length
         rows.withColumn("base", base)
         .withColumn("found", F.array_sort(F.concat("base", tagged(random, len(KINDS), "random"))))
         .select(
-            key, *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
+            key, *keep, *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
             F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("found"),
         )
     )
+
+
+def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", marker: str = "[SECRET]", **options) -> DataFrame:
+    """`docs` with every span replaced by `marker` in its text; other columns and null texts stay."""
+    found = secrets(docs, key, text, keep=[c for c in docs.columns if c != key], **options)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        gap = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        beyond = s["end"] > acc["at"]
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(beyond & (s["start"] >= acc["at"]), F.concat(acc["out"], gap, F.lit(marker))).otherwise(acc["out"]).alias("out"))
+
+    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    return found.withColumn(text, F.when(F.size("found") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
