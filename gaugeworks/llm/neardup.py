@@ -8,10 +8,12 @@
 3. Classes that share a band key are candidates. All pairs within a bucket are
    never made: each class is first tried with one hub, the class with the
    largest buckets in sum (in a group of near copies that is the text the
-   others come from). Links give components; then only pairs of one bucket in
-   different components remain, first again with the bucket's hub, at last each
-   class outside the bucket's main component with every class of another one.
-   A pair within a component needs no test, so no connection is lost.
+   others come from), and those that stay outside their buckets' main component
+   once more with the best hub among themselves. A pair within a component needs
+   no test. Of the pairs of one bucket in different components those remain
+   whose sets can overlap enough: what a class has beyond its hub counts only
+   if it occurs elsewhere, and that bound limits the partner's size, which is
+   part of the join key. So no connection is lost.
 4. A candidate's similarity is estimated from the matching b-bit values,
    corrected for chance matches (2^-BITS); pairs below `threshold - MARGIN`
    (six standard deviations) go, all others are confirmed on the full sets.
@@ -186,8 +188,8 @@ def estimate(a: str, b: str, hashes: int) -> F.Column:
     return (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, hashes: int) -> DataFrame:
-    """Those of `pairs` (u, v) whose full sets are similar enough."""
+def measured(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, hashes: int) -> DataFrame:
+    """u, v, linked, common (size of the intersection), extra (what u has and v hasn't) of the pairs (u, v) whose estimate is near enough."""
     small = lambda c: classes.select(F.col("vid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
     near = pairs.join(small("u"), "u").join(small("v"), "v").where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")).where(estimate("bu", "bv", hashes) >= threshold - MARGIN).select("u", "v")
     full = near.join(sets.select(F.col("vid").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("vid").alias("v"), F.col("set").alias("sv")), "v")
@@ -195,14 +197,44 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
 
     def run(batches):
         for batch in batches:
-            keep = []
+            linked, common, extra = [], [], []
             for a, b in zip(batch.column("su"), batch.column("sv")):
                 x, y = (np.frombuffer(s.as_buffer(), U) for s in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                own = np.setdiff1d(x, y, assume_unique=True)
+                both = len(x) - len(own)
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                common.append(both)
+                extra.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(common, pa.int64()), pa.array(extra, pa.binary())], names=["u", "v", "linked", "common", "extra"])
 
-    return full.mapInArrow(run, "u long, v long")
+    return full.mapInArrow(run, "u long, v long, linked boolean, common long, extra binary")
+
+
+def elements(rows: DataFrame) -> DataFrame:
+    """vid, e for each element of vid's packed set `part`."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("part")]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("vid").to_numpy(), [len(x) for x in parts])), pa.array(np.concatenate(parts))], names=["vid", "e"])
+
+    return rows.select("vid", "part").mapInArrow(run, "vid long, e long")
+
+
+def shareable(open_ids: DataFrame, delta: DataFrame, sets: DataFrame) -> DataFrame:
+    """vid, most: how many elements each of `open_ids` can share with any other of them, at most.
+
+    An element that a class has in common with its hub counts; one that it has beyond the hub counts only if another
+    class, or a hub, has it too. Near copies with edits of their own thus lose their edits, and need not be tried.
+    """
+    known = delta.join(open_ids, F.col("u") == F.col("vid"), "left_semi")
+    whole = open_ids.join(known.select("u"), F.col("vid") == F.col("u"), "left_anti").unionByName(known.select(F.col("v").alias("vid"))).distinct()
+    own = elements(known.select(F.col("u").alias("vid"), F.col("extra").alias("part")))
+    held = own.unionByName(elements(sets.join(whole, "vid", "left_semi").select("vid", F.col("set").alias("part"))))
+    again = held.groupBy("e").agg(F.min("vid").alias("x"), F.max("vid").alias("y")).where("x < y").select("e")
+    counted = own.join(again, "e", "left_semi").groupBy("vid").agg(F.count("*").alias("more"))
+    return known.select(F.col("u").alias("vid"), "common").join(counted, "vid", "left").select("vid", (F.col("common") + F.coalesce("more", F.lit(0))).alias("most"))
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -254,26 +286,44 @@ def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: in
     if sets.count() > wanted.count():  # repeated ids with the same text
         sets = materialize(sets.dropDuplicates(["vid"]))
     wanted = wanted.select("vid", "n_shingles", "bits")
-    check = lambda pairs: materialize(confirmed(pairs, wanted, sets, threshold, hashes))
+    check = lambda pairs: materialize(measured(pairs, wanted, sets, threshold, hashes))
     best = F.max(F.struct("w", (-F.col("vid")).alias("minus"))).alias("hub")
-    hubs = placed.groupBy("bucket").agg(best)
-    first = placed.join(hubs, "bucket").groupBy("vid").agg(F.max("hub").alias("hub")).select(F.col("vid").alias("u"), (-F.col("hub.minus")).alias("v")).where("u <> v")
-    links = check(first)
-    for last in (False, True):
+
+    def starred(rows: DataFrame) -> DataFrame:
+        """u, v: each class with the best hub of its buckets."""
+        hubs = rows.groupBy("bucket").agg(best)
+        first = rows.join(hubs, "bucket").groupBy("vid").agg(F.max("hub").alias("hub"))
+        return first.select(F.col("vid").alias("u"), (-F.col("hub.minus")).alias("v")).where("u <> v")
+
+    def mixed(links: DataFrame) -> DataFrame:
+        """Places in buckets of several components, with the bucket's main one."""
         root = components(links)
         now = placed.select("bucket", "vid", "w").join(root, F.col("vid") == F.col("node"), "left").select("bucket", "vid", "w", F.coalesce("root", "vid").alias("root"))
-        per = now.groupBy("bucket", "root").agg(F.count("*").alias("n"), best)
-        mixed = per.groupBy("bucket").agg(F.max(F.struct("n", "hub", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.root").alias("main"), (-F.col("main.hub.minus")).alias("hub"))
-        open_ = now.join(mixed, "bucket")
-        apart = open_.where("root <> main").select("bucket", F.col("vid").alias("u"), F.col("root").alias("ru"), "main", "hub")
-        if not last:
-            pairs = apart.select("u", F.col("hub").alias("v"))
-        else:
-            others = open_.select("bucket", F.col("vid").alias("v"), F.col("root").alias("rv"))
-            # from both sides a pair outside the main component is needed once only
-            pairs = apart.join(others, "bucket").where("ru <> rv AND (rv = main OR u < v)").select("u", "v")
-        links = links.unionByName(check(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
-    return links
+        main = now.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        return now.join(main.select("bucket", F.col("main.root").alias("main")), "bucket")
+
+    delta = check(starred(placed))
+    links = delta.where("linked").select("u", "v")
+    apart = mixed(links).where("root <> main").select("bucket", "vid")
+    sizes = apart.groupBy("bucket").agg(F.count("*").alias("n"))
+    again = apart.join(sizes, "bucket")
+    again = again.join(again.groupBy("vid").agg(F.sum("n").alias("w")), "vid")
+    links = materialize(links.unionByName(check(starred(again)).where("linked").select("u", "v")))
+    open_ = materialize(mixed(links))
+    most = shareable(open_.select("vid").distinct(), delta, sets)
+    sized = open_.join(wanted.select("vid", F.col("n_shingles").alias("n")), "vid").join(most, "vid", "left").withColumn("most", F.least("n", F.coalesce("most", "n")))
+    sized = materialize(sized.select("bucket", "vid", "root", "main", "n", "most"))
+    # a link needs |u & v| >= share * (|u| + |v|); with |u & v| <= most this bounds the partner's size, and sizes are a join key
+    share = threshold / (1 + threshold)
+    step = lambda n: F.floor(F.log(n) / np.log(1.02)).cast("int")
+    upper = F.least(F.col("n") / threshold, F.col("most") / share - F.col("n"))
+    u = sized.where("root <> main").withColumn("upper", upper + 1e-6).where(F.col("upper") >= threshold * F.col("n") - 1e-6)
+    u = u.select("bucket", F.col("vid").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("most").alias("mu"), "main", F.explode(F.sequence(step(F.greatest(threshold * F.col("n") - 1e-6, F.lit(1.0))), step(F.greatest("upper", F.lit(1.0))))).alias("size"))
+    v = sized.select("bucket", F.col("vid").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("most").alias("mv"), step(F.col("n")).alias("size"))
+    # from both sides a pair outside the main component is needed once only
+    pairs = u.join(v, ["bucket", "size"]).where((F.col("ru") != F.col("rv")) & ((F.col("rv") == F.col("main")) | (F.col("u") < F.col("v")) | (F.col("mv") / share - F.col("nv") + 1e-6 < F.col("nu"))) & (F.least("mu", "mv") + 1e-6 >= share * (F.col("nu") + F.col("nv"))))
+    rest = check(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    return links.unionByName(rest.where("linked").select("u", "v"))
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
