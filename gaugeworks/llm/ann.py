@@ -7,8 +7,8 @@ smallest hash of the id): k-means, after which a list that holds more than
 in batches. Every vector is posted to its nearest list and, as a boundary
 vector, to up to `copies` lists whose centroids are nearly as near, unless an
 already chosen centroid is nearer to that centroid than the vector is. A query
-reads the lists whose centroids are within `ratio` of its nearest one's
-distance, `probes` at most; if these hold fewer than k candidates it reads all.
+reads the `least` nearest lists, and of the others those whose centroids are
+within `ratio` of its nearest one's distance, `probes` in all at most; if these hold fewer than k candidates it reads all.
 
 Every row is indexed. Lists and their queries are dealt out in blocks of
 bounded size, so a list with a third of all rows (equal vectors) is many tasks.
@@ -109,9 +109,9 @@ class Graph:
         row, j = np.nonzero(keep)
         return row, ids[row, j]
 
-    def probes(self, x: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, x: np.ndarray, most: int, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
         ids, dist = self.search(x, most)
-        keep = (dist <= ratio * dist[:, :1]) & np.isfinite(dist)
+        keep = ((dist <= ratio * dist[:, :1]) | (np.arange(ids.shape[1]) < least)) & np.isfinite(dist)
         keep[:, 0] = True
         row, j = np.nonzero(keep)
         return row, ids[row, j]
@@ -141,7 +141,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (size[0].d if size else 0))
 
 
-def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100, sample: int = 16_000, most_lists: int = 4096, balance: float = 2.0, copies: int = 4, slack: float = 0.1, probes: int = 64, ratio: float = 1.3, block: int = 20_000) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100, sample: int = 16_000, most_lists: int = 4096, balance: float = 2.0, copies: int = 4, slack: float = 0.1, probes: int = 64, ratio: float = 1.8, least: int = 32, block: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()))
@@ -168,7 +168,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
         return df.mapInArrow(run, "list int, " + ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
 
     posted = materialize(listed(rows, lambda g, x: g.postings(x, copies, slack)))
-    asked = materialize(listed(queries, lambda g, x: g.probes(x, probes, ratio)))
+    asked = materialize(listed(queries, lambda g, x: g.probes(x, probes, ratio, least)))
     found = materialize(scanned(posted, asked, k, block, result))
     enough = found.groupBy("q").agg(F.count_distinct("row").alias("n"))
     short = queries.join(enough.where(F.col("n") >= min(k, n - 1)), F.col("row") == F.col("q"), "left_anti")
