@@ -38,6 +38,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 REACH = 60
 TRIGGER = re.compile(r"[0-9@]|\bdot\b")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
+CUES = {"at", "dot", "tel", "phone", "call", "card", "mail"}
+SUFFIXES = {"com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "co", "eu"}
 LABELS = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
 
 
@@ -86,6 +88,7 @@ TRAINING = [
     "phone {phone:+1 (415) 555-0132} now", "tel {phone:+44 20 7946 0018}, please", "the {phone:+1 (766) 555-2373} is", "to {phone:+33 1 23 45 67 89}.",
     "write to {email:jane dot doe at mail dot com} soon", "mail {email:bob [at] example [dot] org} please", "{email:info (at) firma (dot) de} schreiben", "ask {email:sales at shop dot net}, thanks",
     "address {email:max.mustermann [at] mail.example.com} or", "e-mail: {email:anna_k (at) web.de}.", "thly {email:reader at mail7 dot example dot com} bleedon",
+    "or {email:joe at corp dot com} today with 12 others", "to {email:mary dot lee [at] x [dot] org}, then 3 more", "and {email:tom (at) mail dot net} was there in 2020", "the {email:team at example dot org} of 5", "via {email:kim at data dot io} or at the desk 4",
     "write {email:jane.doe@mail.com} soon", "thinbleing.{email:27@mail6.example.com} bleedon", "mail to {email:a_b@x.org}, please",
     "from {ip:97.51.17.173} to", "host {ip:192.168.0.1} is up", "server {ip:43.21.141.162}, down", "at {ip:8.8.8.8}.", "| {ip:106.158.249.239} |",
     "card {card:4111 1111 1111 1111} was charged", "visa {card:4111-1111-1111-1111}, expires", "mente {card:9807915762804490} raie", "number {card:5500005555555559}.", "card {card:340000000000009} amex",
@@ -122,12 +125,13 @@ def features(tokens: list[tuple[str, bool]]) -> list[list[str]]:
     """tokens: (token, whether space goes before it)"""
     shapes = ["<<", "<", *(shape(t) for t, _ in tokens), ">", ">>"]
     spaced = [s for _, s in tokens] + [True]
+    cue = ["-", *("s" if t.lower() in SUFFIXES else t.lower() if t.lower() in ("at", "dot", "@", ".") else "-" for t, _ in tokens), "-"]
     out = []
     for i, (t, gap) in enumerate(tokens):
         low, s = t.lower(), shapes[i : i + 5]
         out.append([
             "s0" + s[2], "s-1" + s[1], "s+1" + s[3], "s-2" + s[0], "s+2" + s[4], f"b{s[1]}|{s[2]}", f"a{s[2]}|{s[3]}", f"t{s[1]}|{s[2]}|{s[3]}", f"w{s[0]}|{s[1]}|{s[2]}", f"v{s[2]}|{s[3]}|{s[4]}",
-            f"g{gap}{spaced[i + 1]}{s[2]}", "k" + (low if low in {"at", "dot", "tel", "phone", "call", "card", "mail"} else "") + s[2], f"n{min(len(t), 20)}{t.isdigit()}",
+            f"g{gap}{spaced[i + 1]}{s[2]}", "k" + (low if low in CUES else "") + s[2], f"c{cue[i]}{cue[i + 1]}{cue[i + 2]}", f"n{min(len(t), 20)}{t.isdigit()}",
         ])
     return out
 
