@@ -88,7 +88,7 @@ class BytePairs:
                 return True
 
     def new_pair(self, left: int, token: int) -> bool:
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 400_000:
             self.fits.clear()
         good = self.reachable(self.tokens[token]) and (left < 0 or self.fit(self.tokens[left], self.tokens[token]))
         self.fits[left * self.base + token] = good
@@ -151,7 +151,7 @@ class Memo(dict):
 class TextEncoder:
     """Encoder of whole texts: pretokens by `pattern`, each encoded separately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_size: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_size: int = 200_000):
         import regex
 
         self.pairs, self.find = BytePairs(ranks), regex.compile(pattern).findall
@@ -159,7 +159,7 @@ class TextEncoder:
         word = lambda s: " ".join(map(self.word.__getitem__, self.find(s)))
         self.piece = Memo(word, memo_size)
         self.spaced = Memo(lambda s: word(" " + s), memo_size)
-        self.bytes_of = Memo(lambda ids: self.pairs.decode(map(int, ids.split())), memo_size)
+        self.bytes_of = {str(i): t for i, t in self.pairs.tokens.items()}
 
     def pieces(self, text: str) -> list[str]:
         """Ids of the text's pieces, as strings. No pretoken reaches over a change from non-space to space."""
@@ -177,6 +177,14 @@ class TextEncoder:
         return self.pairs.decode(ids)
 
 
+def slices(batches, rows: int = 500):
+    """Smaller batches, so that the strings of one are few; what Arrow holds back goes at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 _encoders: dict = {}
 
 
@@ -187,7 +195,7 @@ def encoder(path: str, pattern: str, memo_size: int) -> TextEncoder:
     return _encoders[key]
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, memo_size: int = 300_000, ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, memo_size: int = 200_000, ids: bool = True) -> DataFrame:
     """Encode and decode each text: key, `keep` columns, n_tokens, ids (decimal, space-joined; if wanted), ids_sha256, decoded_sha256.
 
     Map-only: no shuffle, and the vocabulary file is read once a worker.
@@ -200,15 +208,16 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
     def run(batches):
         enc = encoder(path, pattern, memo_size)
-        for batch in batches:
+        for batch in slices(batches):
             n, joined, coded, decoded = [], [], [], []
             for t in batch.column("__text"):
                 pieces = enc.pieces(t.as_py() or "")
                 s = " ".join(pieces)
                 n.append(s.count(" ") + 1 if s else 0)
-                joined.append(s)
+                if ids:
+                    joined.append(s)
                 coded.append(hashlib.sha256(s.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(enc.bytes_of.__getitem__, pieces))).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(enc.bytes_of.__getitem__, s.split()))).hexdigest())
             columns = [batch.column(c) for c in keep] + [pa.array(n, pa.int64())] + [pa.array(joined, pa.string())] * ids + [pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"])
 

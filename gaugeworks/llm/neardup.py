@@ -104,7 +104,7 @@ def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
     return np.stack([np.minimum.reduceat((every * a[k] + b[k]) >> U(32), start) for k in range(n)], 1)
 
 
-def portions(texts: list, most: int = 1_500_000):
+def portions(texts: list, most: int = 800_000):
     part, n = [], 0
     for t in texts:
         if part and n + len(t or "") > most:
