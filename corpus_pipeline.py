@@ -13,9 +13,9 @@ from gaugeworks.llm.common import materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line CRF scores below its threshold go."""
+    """Documents that the line CRF calls bad rather than good go; the threshold is even, so that clean documents stay."""
     rest = [c for c in docs.columns if c != "doc_id"]
-    return quality.quality(docs, table(spark, sf_dir, "labels"), keep=rest).where("predicted = 1").select(*docs.columns)
+    return quality.quality(docs, table(spark, sf_dir, "labels"), keep=rest, threshold=0.5).where("predicted = 1").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
