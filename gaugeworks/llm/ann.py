@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import materialize, released
 
 
 def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
                     part = part.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int32)), *part.columns], names=["list", *part.schema.names])
 
-        return df.mapInArrow(run, "list int, " + ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
+        return df.mapInArrow(released(run), "list int, " + ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
 
     posted = materialize(listed(rows, lambda g, x: g.postings(x, copies, slack)))
     asked = materialize(listed(queries, lambda g, x: g.probes(x, probes, ratio, least)))

@@ -11,7 +11,7 @@ length, from where on the old entries hold.
 Defined cases: a null text is empty; an empty text has no tokens; every other
 text, however long, is encoded whole; repeated rows give repeated rows; other
 columns are not read. Words are memoised up to `memo_size` entries a worker,
-after which the memo starts afresh.
+after which the memo starts afresh, as it does with each task.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import released
+
 #: Unicode White_Space, as the pretoken pattern's \s takes it.
 SPACES = "\t-\r \x85\xa0  -     　"
 #: A text in which every space stands alone between two other characters needs no further look.
@@ -170,6 +172,10 @@ class TextEncoder:
         first, *rest = text.split(" ")
         return [self.piece[first], *map(self.spaced.__getitem__, rest)]
 
+    def forget(self) -> None:
+        for memo in (self.word, self.piece, self.spaced):
+            memo.clear()
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for p in self.pieces(text) for i in p.split()]
 
@@ -178,11 +184,10 @@ class TextEncoder:
 
 
 def slices(batches, rows: int = 500):
-    """Smaller batches, so that the strings of one are few; what Arrow holds back goes at the end."""
+    """Smaller batches, so that the strings of one are few."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
 
 
 _encoders: dict = {}
@@ -220,5 +225,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                 decoded.append(hashlib.sha256(b"".join(map(enc.bytes_of.__getitem__, s.split()))).hexdigest())
             columns = [batch.column(c) for c in keep] + [pa.array(n, pa.int64())] + [pa.array(joined, pa.string())] * ids + [pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"])
+        enc.forget()
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(released(run), schema)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -42,3 +44,18 @@ def materialize(df: DataFrame) -> DataFrame:
 def held_out(doc_id="doc_id"):
     """crc32 of the id as text, mod 4, is 2: rows that no model may learn from. A null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def released(run):
+    """The Arrow function `run`, which at its end gives the memory it held back to the machine: workers outlive tasks."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped

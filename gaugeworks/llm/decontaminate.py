@@ -26,6 +26,8 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import released
+
 #: Fixed: A-Z are lower-cased, every other ASCII character but digits and letters parts words.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -49,7 +51,7 @@ def rarity(docs: DataFrame, vocabulary: set[bytes], text: str) -> dict[bytes, in
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([*found], pa.binary()), pa.array([*found.values()], pa.int64())], names=["word", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(text).mapInArrow(released(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in counts.collect()}
 
 
@@ -129,4 +131,4 @@ def one_block(docs: DataFrame, index, keep: list[str], kept: str, last: bool) ->
             yield pa.RecordBatch.from_arrays([*columns, *more.values()], names=[*keep, *more])
 
     tail = "n_words long, n_hit long, n_items long, items array<string>, hits array<array<int>>, items_sha256 string, contaminated boolean" if last else "__text string, __runs array<array<int>>, __items array<string>"
-    return docs.mapInArrow(run, f"{kept}, {tail}")
+    return docs.mapInArrow(released(run), f"{kept}, {tail}")

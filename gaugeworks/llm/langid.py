@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out
+from .common import held_out, released
 from .crf import Adam
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
@@ -175,4 +175,4 @@ def languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("__held"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[key, "held_out", "lang_pred", "score"])
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
-    return docs.select(key, held_out(key).alias("__held"), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(key, held_out(key).alias("__held"), F.col(text).alias("__text")).mapInArrow(released(run), schema)

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, released
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 U = np.uint64
@@ -150,7 +150,7 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int, bands: int, r
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
     schema = f"{kept}, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>"
-    return docs.select(key, *keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(key, *keep, F.col(text).alias("__text")).mapInArrow(released(run), schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def measured(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: f
                 extra.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(common, pa.int64()), pa.array(extra, pa.binary())], names=["u", "v", "linked", "common", "extra"])
 
-    return full.mapInArrow(run, "u long, v long, linked boolean, common long, extra binary")
+    return full.mapInArrow(released(run), "u long, v long, linked boolean, common long, extra binary")
 
 
 def elements(rows: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def elements(rows: DataFrame) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("vid").to_numpy(), [len(x) for x in parts])), pa.array(np.concatenate(parts))], names=["vid", "e"])
 
-    return rows.select("vid", "part").mapInArrow(run, "vid long, e long")
+    return rows.select("vid", "part").mapInArrow(released(run), "vid long, e long")
 
 
 def shareable(open_ids: DataFrame, delta: DataFrame, sets: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["vid", "set"])
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("__text")).join(wanted.select("vid", "id", "f1", "f2"), "id")
-    return rows.select("vid", "f1", "f2", "__text").mapInArrow(run, "vid long, set binary")
+    return rows.select("vid", "f1", "f2", "__text").mapInArrow(released(run), "vid long, set binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.75, bands: int = 32, rows: int = 4, keep: list[str] | None = None) -> DataFrame:

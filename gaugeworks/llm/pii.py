@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import crf
+from .common import released
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -258,7 +259,7 @@ def personal_data(docs: DataFrame, labelled: list[str] | None = None, key: str =
             yield pa.RecordBatch.from_arrays(columns, names=[key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found"])
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind:string,start:int,end:int>>"
-    return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(key, F.col(text).alias("__text")).mapInArrow(released(run), schema)
 
 
 def free(found: list, own: list) -> list:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import crf
-from .common import held_out
+from .common import held_out, released
 
 CLASSES = np.zeros(256, np.int64)  # one-hot positions: 0 other
 for i, chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".,;:?'\"-()", b"!", b"|", b"#$%&*@^~_=+<>/\\{}[]`"), 1):
@@ -164,5 +164,5 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             scores = model.value.scores([t or "" for t in batch.column("__text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column("__held"), pa.array(scores, pa.float64())], names=[*keep, "held_out", "score"])
 
-    scored = docs.select(*keep, held_out(key).alias("__held"), F.col(text).alias("__text")).mapInArrow(run, f"{kept}, held_out boolean, score double")
+    scored = docs.select(*keep, held_out(key).alias("__held"), F.col(text).alias("__text")).mapInArrow(released(run), f"{kept}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, released
 from .neardup import mix
 
 U = np.uint64
@@ -146,7 +146,7 @@ def trigger_rows(docs: DataFrame, length: int, whole: bool) -> DataFrame:
                 off = begin[text]
                 yield batch_of(key=key, rid=rid[at + text], t=(t - off).astype(np.int32), a=(a - off).astype(np.int32), b=(b - off).astype(np.int32), f1=f1, f2=f2)
 
-    return docs.mapInArrow(run, "key long, rid long, t int, a int, b int, f1 long, f2 long" if whole else "key long")
+    return docs.mapInArrow(released(run), "key long, rid long, t int, a int, b int, f1 long, f2 long" if whole else "key long")
 
 
 def contexts(docs: DataFrame, entries: DataFrame, length: int) -> DataFrame:
@@ -167,7 +167,7 @@ def contexts(docs: DataFrame, entries: DataFrame, length: int) -> DataFrame:
             types = {"key": pa.int64(), "rid": pa.int64(), "n": pa.int64(), "big": pa.bool_(), "left": pa.binary(), "right": pa.binary()}
             yield batch_of(**{k: pa.array(v, types.get(k, pa.int32())) for k, v in out.items()})
 
-    return docs.join(rows, "rid").select("rid", "text", "at").mapInArrow(run, "key long, rid long, t int, a int, b int, n long, big boolean, left binary, right binary")
+    return docs.join(rows, "rid").select("rid", "text", "at").mapInArrow(released(run), "key long, rid long, t int, a int, b int, n long, big boolean, left binary, right binary")
 
 
 def sorted_with_lcp(strings: list[bytes], group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +247,7 @@ def ordered_spans(entries: DataFrame, length: int) -> DataFrame:
         return spans_of(mask, rid, t, length)
 
     few = entries.repartition("key").sortWithinPartitions("key")
-    return few.mapInArrow(run, "rid long, start int, end int")
+    return few.mapInArrow(released(run), "rid long, start int, end int")
 
 
 def counted_spans(entries: DataFrame, length: int) -> DataFrame:
@@ -268,7 +268,7 @@ def counted_spans(entries: DataFrame, length: int) -> DataFrame:
             s = begin[row] + k
             yield batch_of(w1=ranges.digest(s, s + length, 0).astype(np.int64), w2=ranges.digest(s, s + length, 1).astype(np.int64), rid=rid[row], s=(a[row] + k).astype(np.int32))
 
-    windows = entries.select("rid", "a", "b", "left", "right").mapInArrow(run, "w1 long, w2 long, rid long, s int")
+    windows = entries.select("rid", "a", "b", "left", "right").mapInArrow(released(run), "w1 long, w2 long, rid long, s int")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1")
     return windows.join(twice, ["w1", "w2"], "left_semi").select("rid", F.col("s").alias("start"), (F.col("s") + length).cast("int").alias("end"))
 
@@ -318,4 +318,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             yield batch_of(**{c: batch.column(c) for c in keep}, **more)
 
     rows = docs.select(rid, *keep, F.col(text).alias("__text")).join(ranges, "rid", "left").select(*keep, "__text", "__ranges")
-    return rows.mapInArrow(run, f"{kept}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text)
+    return rows.mapInArrow(released(run), f"{kept}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text)
