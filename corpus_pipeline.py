@@ -12,10 +12,15 @@ from gaugeworks.llm import bpe, decontaminate, neardup, quality, secrets
 from gaugeworks.llm.common import materialize, table
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the whole row as one column: no name in it can clash with what an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("__doc"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF calls bad rather than good go; the threshold is even, so that clean documents stay."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return quality.quality(docs, table(spark, sf_dir, "labels"), keep=rest, threshold=0.5).where("predicted = 1").select(*docs.columns)
+    scored = quality.quality(packed(docs), table(spark, sf_dir, "labels"), keep=["__doc"], threshold=0.5)
+    return scored.where("predicted = 1").select("__doc.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +30,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=rest).where("NOT contaminated").select(*docs.columns)
+    judged = decontaminate.contamination(packed(docs), table(spark, sf_dir, "benchmark"), keep=["__doc"])
+    return judged.where("NOT contaminated").select("__doc.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,13 +171,16 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_length
 
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", marker: str = "[SECRET]", **options) -> DataFrame:
     """`docs` with every span replaced by `marker` in its text; other columns and null texts stay."""
-    found = secrets(docs, key, text, keep=[c for c in docs.columns if c != key], **options)
+    # the row goes along as one column, so none of its names can clash
+    found = secrets(docs.select(key, text, F.struct(*docs.columns).alias("__doc")), key, text, keep=["__doc"], **options)
+    old = F.col("__doc")[text]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
-        gap = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        beyond = s["end"] > acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(beyond & (s["start"] >= acc["at"]), F.concat(acc["out"], gap, F.lit(marker))).otherwise(acc["out"]).alias("out"))
+        gap = F.substring(old, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        fresh = (s["end"] > acc["at"]) & (s["start"] >= acc["at"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(marker))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("found") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
+    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(old, acc["at"] + 1, F.length(old))))
+    new = F.when(F.size("found") > 0, clean).otherwise(old)
+    return found.select(F.col("__doc").withField(text, new).alias("__doc")).select("__doc.*")
