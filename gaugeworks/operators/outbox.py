@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeworks.functions.scalar import aggregate_key
-from gaugeworks.sources.usage import numbered_globally
+from gaugeworks.sources.usage import WIRE_TIMES, numbered_globally
 
 MAX_ATTEMPTS = 5
 RELAY_BATCH = 100
@@ -13,7 +13,7 @@ RELAY_BATCH = 100
 
 def messages(revs: DataFrame) -> DataFrame:
     key = aggregate_key(F.col("tenant_id"), F.col("metric"), F.col("window_start"), F.col("revision"))
-    payload = F.to_json(F.struct("tenant_id", "metric", "window_start", "window_end", F.col("quantity").cast("string").alias("quantity"), "event_count", "revision", "sealed_at"))
+    payload = F.to_json(F.struct("tenant_id", "metric", "window_start", "window_end", F.col("quantity").cast("string").alias("quantity"), "event_count", "revision", "sealed_at"), WIRE_TIMES)
     rows = revs.withColumn("aggregate_key", key).withColumn("payload", payload).withColumn("created_at", F.col("sealed_at"))
     out = numbered_globally(rows, "tenant_id", ["metric", "window_start", "revision"])
     return out.select("id", "aggregate_key", "payload", "tenant_id", "metric", "window_start", "revision", "quantity", "event_count", "created_at")

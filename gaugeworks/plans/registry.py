@@ -474,6 +474,24 @@ def outbox_rows(x: Flow):
     return outbox.messages(x.revisions).drop("payload")
 
 
+@query("outb", "SELECT id, tenant_id, metric, quantity, event_count, revision, created_at AS sealed_at FROM outb")
+def outbox_payload(x: Flow):
+    """The JSON payloads, read back: amounts travel as text and keep every digit."""
+    body = "tenant_id string, metric string, quantity string, event_count long, revision int, sealed_at timestamp_ntz"
+    rows = outbox.messages(x.revisions).select("id", F.from_json("payload", body, usage.WIRE_TIMES).alias("p"))
+    return rows.select("id", "p.tenant_id", "p.metric", F.col("p.quantity").cast(usage.MONEY).alias("quantity"), "p.event_count", "p.revision", "p.sealed_at")
+
+
+@query("judged", f"SELECT tenant_id, metric, window_start, difference, CASE WHEN gate_reason IS NOT NULL THEN 'UNSETTLED' ELSE {VERDICT} END AS divergence_class FROM judged ORDER BY window_start DESC, tenant_id, metric LIMIT 50")
+def reconcile_history(x: Flow):
+    return judged(x, True).orderBy(F.desc("window_start"), "tenant_id", "metric").limit(50).select("tenant_id", "metric", "window_start", "difference", "divergence_class")
+
+
+@query()
+def synthetic_events(x: Flow):
+    return usage.synthetic(x.spark, 10_000).drop("metadata")
+
+
 @query("prog", """SELECT tenant_id, metric, sum(quantity) AS raw_quantity FROM prog GROUP BY ALL""")
 def conservation(x: Flow):
     """What is sealed or still open adds up to what came in."""
