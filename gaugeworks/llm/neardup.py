@@ -10,10 +10,12 @@
    largest buckets in sum (in a group of near copies that is the text the
    others come from), and those that stay outside their buckets' main component
    once more with the best hub among themselves. A pair within a component needs
-   no test. Of the pairs of one bucket in different components those remain
-   whose sets can overlap enough: what a class has beyond its hub counts only
-   if it occurs elsewhere, and that bound limits the partner's size, which is
-   part of the join key. So no connection is lost.
+   no test. The others (`residual`) are found exactly: a class is split into what
+   some hub has too and what lies beyond all hubs. Two classes whose hub parts
+   are large enough for a link meet in their buckets, with the partner's size as
+   part of the join key; any other link needs a known number of shingles beyond
+   the hubs in common, so such pairs meet at a shared one of these, ordered by
+   rarity and cut by position (prefix filter). So no connection is lost.
 4. A candidate's similarity is estimated from the matching b-bit values,
    corrected for chance matches (2^-BITS); pairs below `threshold - MARGIN`
    (six standard deviations) go, all others are confirmed on the full sets.
@@ -33,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize, released
 
@@ -188,10 +190,10 @@ def estimate(a: str, b: str, hashes: int) -> F.Column:
     return (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def measured(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, hashes: int) -> DataFrame:
-    """u, v, linked, common (size of the intersection), extra (what u has and v hasn't) of the pairs (u, v) whose estimate is near enough."""
+def measured(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, hashes: int, near_only: bool = True) -> DataFrame:
+    """u, v, linked, common (size of the intersection), extra (what u has and v hasn't) of the pairs (u, v) whose estimate is near enough, or of all."""
     small = lambda c: classes.select(F.col("vid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
-    near = pairs.join(small("u"), "u").join(small("v"), "v").where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")).where(estimate("bu", "bv", hashes) >= threshold - MARGIN).select("u", "v")
+    near = pairs if not near_only else pairs.join(small("u"), "u").join(small("v"), "v").where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")).where(estimate("bu", "bv", hashes) >= threshold - MARGIN).select("u", "v")
     full = near.join(sets.select(F.col("vid").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("vid").alias("v"), F.col("set").alias("sv")), "v")
     percent = round(threshold * 100)
 
@@ -222,19 +224,48 @@ def elements(rows: DataFrame) -> DataFrame:
     return rows.select("vid", "part").mapInArrow(released(run), "vid long, e long")
 
 
-def shareable(open_ids: DataFrame, delta: DataFrame, sets: DataFrame) -> DataFrame:
-    """vid, most: how many elements each of `open_ids` can share with any other of them, at most.
+def beyond_hubs(open_ids: DataFrame, delta: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vid, inner), (vid, e, f): how many elements of a class some hub has too; its others, if they occur again, with their number of classes.
 
-    An element that a class has in common with its hub counts; one that it has beyond the hub counts only if another
-    class, or a hub, has it too. Near copies with edits of their own thus lose their edits, and need not be tried.
+    Two classes share at most the smaller `inner` of elements that hubs have, and all else they share is among the
+    second table's rows. A class without a hub counts as one itself: it has no row in either table.
     """
     known = delta.join(open_ids, F.col("u") == F.col("vid"), "left_semi")
     whole = open_ids.join(known.select("u"), F.col("vid") == F.col("u"), "left_anti").unionByName(known.select(F.col("v").alias("vid"))).distinct()
-    own = elements(known.select(F.col("u").alias("vid"), F.col("extra").alias("part")))
-    held = own.unionByName(elements(sets.join(whole, "vid", "left_semi").select("vid", F.col("set").alias("part"))))
-    again = held.groupBy("e").agg(F.min("vid").alias("x"), F.max("vid").alias("y")).where("x < y").select("e")
-    counted = own.join(again, "e", "left_semi").groupBy("vid").agg(F.count("*").alias("more"))
-    return known.select(F.col("u").alias("vid"), "common").join(counted, "vid", "left").select("vid", (F.col("common") + F.coalesce("more", F.lit(0))).alias("most"))
+    own = materialize(elements(known.select(F.col("u").alias("vid"), F.col("extra").alias("part"))))
+    hubs = elements(sets.join(whole, "vid", "left_semi").select("vid", F.col("set").alias("part")))
+    stats = own.select("e", F.lit(1).alias("f"), F.lit(0).alias("hub")).unionByName(hubs.select("e", F.lit(0).alias("f"), F.lit(1).alias("hub"))).groupBy("e").agg(F.sum("f").alias("f"), F.max("hub").alias("hub")).where("f > 1 OR (f = 1 AND hub = 1)")
+    again = materialize(own.join(stats, "e"))
+    counted = again.groupBy("vid").agg(F.sum("hub").alias("more"))
+    inner = known.select(F.col("u").alias("vid"), "common").join(counted, "vid", "left").select("vid", (F.col("common") + F.coalesce("more", F.lit(0))).alias("inner"))
+    return inner, again.where("hub = 0").select("vid", "e", "f")
+
+
+def residual(sized: DataFrame, outer: DataFrame, threshold: float) -> DataFrame:
+    """u, v: every pair of different components that share a bucket and can be linked.
+
+    sized: bucket, vid, root, main, n, inner. A link needs |u & v| >= share * (|u| + |v|).
+    """
+    share = threshold / (1 + threshold)
+    step = lambda n: F.floor(F.log(n) / np.log(1.02)).cast("int")
+    # the hub parts alone may do: this bounds the partner's size, and sizes are a join key
+    upper = F.least(F.col("n") / threshold, F.col("inner") / share - F.col("n"))
+    u = sized.where("root <> main").withColumn("upper", upper + 1e-6).where(F.col("upper") >= threshold * F.col("n") - 1e-6)
+    u = u.select("bucket", F.col("vid").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("inner").alias("mu"), "main", F.explode(F.sequence(step(F.greatest(threshold * F.col("n") - 1e-6, F.lit(1.0))), step(F.greatest("upper", F.lit(1.0))))).alias("size"))
+    v = sized.select("bucket", F.col("vid").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("inner").alias("mv"), step(F.col("n")).alias("size"))
+    # from both sides a pair outside the main component is needed once only
+    inside = u.join(v, ["bucket", "size"]).where((F.col("ru") != F.col("rv")) & ((F.col("rv") == F.col("main")) | (F.col("u") < F.col("v")) | (F.col("mv") / share - F.col("nv") + 1e-6 < F.col("nu"))) & (F.least("mu", "mv") + 1e-6 >= share * (F.col("nu") + F.col("nv"))))
+    # or they don't: then enough of what lies beyond the hubs is shared, and the first shared element has the rest behind it
+    of = Window.partitionBy("vid")
+    ranked = outer.withColumn("left", F.count("*").over(of) - F.row_number().over(of.orderBy("f", "e")) + 1).select("vid", "e", "left")
+    places = sized.groupBy("vid").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("inner").alias("inner"), F.max(F.col("root") != F.col("main")).alias("open"))
+    side = materialize(ranked.join(places, "vid"))
+    named = lambda c: side.select("e", F.col("vid").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("inner").alias(f"m{c}"), F.col("left").alias(f"l{c}"), F.col("open").alias(f"o{c}"))
+    needed = share * (F.col("nu") + F.col("nv")) - F.least("mu", "mv")
+    fits = (F.least("nu", "nv") + 1e-6 >= threshold * F.greatest("nu", "nv")) & (needed > 0) & (F.least("lu", "lv") + 1e-6 >= needed)
+    outside = named("u").where("ou").join(named("v"), "e").where((F.col("ru") != F.col("rv")) & fits & (~F.col("ov") | (F.col("u") < F.col("v"))))
+    pairs = inside.select("u", "v").unionByName(outside.select("u", "v"))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -286,7 +317,7 @@ def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: in
     if sets.count() > wanted.count():  # repeated ids with the same text
         sets = materialize(sets.dropDuplicates(["vid"]))
     wanted = wanted.select("vid", "n_shingles", "bits")
-    check = lambda pairs: materialize(measured(pairs, wanted, sets, threshold, hashes))
+    check = lambda pairs, near_only=True: materialize(measured(pairs, wanted, sets, threshold, hashes, near_only))
     best = F.max(F.struct("w", (-F.col("vid")).alias("minus"))).alias("hub")
 
     def starred(rows: DataFrame) -> DataFrame:
@@ -302,7 +333,8 @@ def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: in
         main = now.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         return now.join(main.select("bucket", F.col("main.root").alias("main")), "bucket")
 
-    delta = check(starred(placed))
+    first = materialize(starred(placed))
+    delta = check(first)
     links = delta.where("linked").select("u", "v")
     apart = mixed(links).where("root <> main").select("bucket", "vid")
     sizes = apart.groupBy("bucket").agg(F.count("*").alias("n"))
@@ -310,19 +342,13 @@ def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: in
     again = again.join(again.groupBy("vid").agg(F.sum("n").alias("w")), "vid")
     links = materialize(links.unionByName(check(starred(again)).where("linked").select("u", "v")))
     open_ = materialize(mixed(links))
-    most = shareable(open_.select("vid").distinct(), delta, sets)
-    sized = open_.join(wanted.select("vid", F.col("n_shingles").alias("n")), "vid").join(most, "vid", "left").withColumn("most", F.least("n", F.coalesce("most", "n")))
-    sized = materialize(sized.select("bucket", "vid", "root", "main", "n", "most"))
-    # a link needs |u & v| >= share * (|u| + |v|); with |u & v| <= most this bounds the partner's size, and sizes are a join key
-    share = threshold / (1 + threshold)
-    step = lambda n: F.floor(F.log(n) / np.log(1.02)).cast("int")
-    upper = F.least(F.col("n") / threshold, F.col("most") / share - F.col("n"))
-    u = sized.where("root <> main").withColumn("upper", upper + 1e-6).where(F.col("upper") >= threshold * F.col("n") - 1e-6)
-    u = u.select("bucket", F.col("vid").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("most").alias("mu"), "main", F.explode(F.sequence(step(F.greatest(threshold * F.col("n") - 1e-6, F.lit(1.0))), step(F.greatest("upper", F.lit(1.0))))).alias("size"))
-    v = sized.select("bucket", F.col("vid").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("most").alias("mv"), step(F.col("n")).alias("size"))
-    # from both sides a pair outside the main component is needed once only
-    pairs = u.join(v, ["bucket", "size"]).where((F.col("ru") != F.col("rv")) & ((F.col("rv") == F.col("main")) | (F.col("u") < F.col("v")) | (F.col("mv") / share - F.col("nv") + 1e-6 < F.col("nu"))) & (F.least("mu", "mv") + 1e-6 >= share * (F.col("nu") + F.col("nv"))))
-    rest = check(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    ids = materialize(open_.select("vid").distinct())
+    unmeasured = first.join(ids, F.col("u") == F.col("vid"), "left_semi").join(delta.select("u"), "u", "left_anti")
+    delta = delta.unionByName(check(unmeasured, near_only=False))
+    inner, outer = beyond_hubs(ids, delta, sets)
+    sized = open_.join(wanted.select("vid", F.col("n_shingles").alias("n")), "vid").join(inner, "vid", "left").withColumn("inner", F.coalesce("inner", "n"))
+    sized = materialize(sized.select("bucket", "vid", "root", "main", "n", "inner"))
+    rest = check(residual(sized, outer, threshold))
     return links.unionByName(rest.where("linked").select("u", "v"))
 
 

@@ -60,6 +60,38 @@ def test_near_duplicates(spark):
     assert got == plain_components(rows)
 
 
+def families(seed=3):
+    """Families of near copies that all are too far from the text they come from, some from two texts, linked through their own edits only."""
+    rng = random.Random(seed)
+    word = lambda: f"z{rng.randrange(10**7)}"
+    rows, texts = [], [[word() for _ in range(140)] for _ in range(2)]
+    for f in range(24):
+        w = list(texts[f % 2])
+        for k in rng.sample(range(0, 140, 6), rng.randint(3, 8)):
+            w[k] = word()
+        w = w[: rng.choice([100, 120, 140])]
+        for _ in range(rng.randint(2, 9)):
+            v = list(w)
+            for k in rng.sample(range(len(v)), rng.randint(0, 3)):
+                v[k] = rng.choice([word(), f"q{f}"])
+            rows.append((len(rows) * 7 % 1009 + 1, " ".join(v)))
+    for t in texts:
+        for _ in range(25):
+            v = list(t)
+            for k in rng.sample(range(140), 2):
+                v[k] = word()
+            rows.append((len(rows) * 7 % 1009 + 1, " ".join(v)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_near_duplicates_in_families(spark, seed):
+    rows = families(seed)
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_components(rows)
+    assert 4 < len({r[2] for r in got}) < 60
+
+
 def test_near_duplicates_defined_cases(spark):
     rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (2, "h i j k l m n"), (2, "h i j k l m n")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
