@@ -10,6 +10,12 @@ already chosen centroid is nearer to that centroid than the vector is. A query
 reads the `least` nearest lists, and of the others those whose centroids are
 within `ratio` of its nearest one's distance, `probes` in all at most; if these hold fewer than k candidates it reads all.
 
+How many lists recall needs depends on the vectors and their number, so it is
+measured in each run: for `trial` queries (those with the smallest hash of the
+id) the true neighbours are found among all rows, and `least` and `probes` are
+raised until the nearest lists of these queries hold `target` of them. They
+are never lowered. Vectors without structure need a large share of all lists.
+
 Every row is indexed. Lists and their queries are dealt out in blocks of
 bounded size, so a list with a third of all rows (equal vectors) is many tasks.
 Distances are exact, in double precision, on the original vectors.
@@ -109,8 +115,15 @@ class Graph:
         row, j = np.nonzero(keep)
         return row, ids[row, j]
 
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids and their squared distances, nearest first; exact."""
+        dist = squares(x, self.c)
+        ids = np.argsort(dist, 1, kind="stable")
+        return ids, np.take_along_axis(dist, ids, 1)
+
     def probes(self, x: np.ndarray, most: int, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, dist = self.search(x, most)
+        ids, dist = self.nearest(x)
+        ids, dist = ids[:, :most], np.sqrt(dist[:, :most])
         keep = ((dist <= ratio * dist[:, :1]) | (np.arange(ids.shape[1]) < least)) & np.isfinite(dist)
         keep[:, 0] = True
         row, j = np.nonzero(keep)
@@ -141,7 +154,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (size[0].d if size else 0))
 
 
-def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100, sample: int = 16_000, most_lists: int = 4096, balance: float = 2.0, copies: int = 4, slack: float = 0.1, probes: int = 64, ratio: float = 1.8, least: int = 32, block: int = 20_000) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100, sample: int = 16_000, most_lists: int = 4096, balance: float = 2.0, copies: int = 4, slack: float = 0.1, probes: int = 64, ratio: float = 1.8, least: int = 32, block: int = 20_000, trial: int = 100, target: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()))
@@ -168,6 +181,8 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
         return df.mapInArrow(released(run), "list int, " + ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
 
     posted = materialize(listed(rows, lambda g, x: g.postings(x, copies, slack)))
+    least = max(least, needed(rows, queries, posted, graph.value, k, trial, target))
+    probes = max(probes, least)
     asked = materialize(listed(queries, lambda g, x: g.probes(x, probes, ratio, least)))
     found = materialize(scanned(posted, asked, k, block, result))
     enough = found.groupBy("q").agg(F.count_distinct("row").alias("n"))
@@ -180,6 +195,53 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def needed(rows: DataFrame, queries: DataFrame, posted: DataFrame, graph: Graph, k: int, trial: int, target: float) -> int:
+    """The nearest lists to read so that `trial` queries find `target` of their true neighbours."""
+    asked = queries.orderBy(F.xxhash64("id"), "row").limit(trial).select("row", "v").toArrow()
+    if not asked.num_rows:
+        return 0
+    own, y = asked.column("row").to_numpy(), matrix(asked.column("v"))
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast((own, y))
+
+    def run(batches):  # one row a task: the k best of each query among the task's rows
+        own, y = sent.value
+        best = [(np.zeros(0, np.int64), None, np.zeros(0))] * len(own)
+        for batch in batches:
+            x, row, ids = matrix(batch.column("v")), batch.column("row").to_numpy(), batch.column("id").to_numpy(zero_copy_only=False)
+            for i in range(len(own)):
+                d = np.sqrt(((x - y[i]) ** 2).sum(1))
+                d[row == own[i]] = np.inf
+                some = top(ids, row, d, k)
+                r, a, s = best[i]
+                r, a, s = np.concatenate([r, row[some]]), ids[some] if a is None else np.concatenate([a, ids[some]]), np.concatenate([s, d[some]])
+                some = top(a, r, s, k)
+                some = some[np.isfinite(s[some])]
+                best[i] = r[some], a[some], s[some]
+        full = [(i, *b) for i, b in enumerate(best) if len(b[0])]
+        if full:
+            q = np.repeat([b[0] for b in full], [len(b[1]) for b in full])
+            columns = [q, *(np.concatenate([b[j] for b in full]) for j in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tolist()], pa.list_(t)) for c, t in zip(columns, (pa.int64(), pa.int64(), kind, pa.float64()))], names=["q", "row", "id", "score"])
+
+    kind = rows.limit(0).toArrow().schema.field("id").type
+    parts = rows.mapInArrow(released(run), f"q array<long>, row array<long>, id array<{dict(rows.dtypes)['id']}>, score array<double>").toArrow()
+    if not parts.num_rows:
+        return 0
+    q, row, ids, score = (parts.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("q", "row", "id", "score"))
+    order = np.lexsort([row, ids, score, q])
+    q, row = q[order], row[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    q, row = q[place < k], row[place < k]
+    true = F.broadcast(spark.createDataFrame([(r,) for r in np.unique(row).tolist()], "row long"))
+    where: dict[int, list[int]] = {}
+    for r in posted.join(true, "row").select("row", "list").collect():  # at most trial * k * copies
+        where.setdefault(r.row, []).append(r["list"])
+    rank = np.argsort(graph.nearest(y)[0], 1)
+    depth = np.sort([rank[i, where[r]].min() for i, r in zip(q.tolist(), row.tolist())])
+    return int(depth[int(np.ceil(target * len(depth))) - 1]) + 1
+
+
 def scanned(posted: DataFrame, asked: DataFrame, k: int, block: int, result: str) -> DataFrame:
     """Each list against its queries; the k best of each query in each block of the list."""
     sizes = posted.groupBy("list").agg(F.count("*").alias("n"))

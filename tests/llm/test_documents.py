@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gaugeworks.llm import ann, decontaminate, langid, neardup, quality, registry, repeats
@@ -227,6 +228,24 @@ def test_neighbours(spark):
     assert ann.neighbours(df.where("false")).count() == 0
 
 
+def test_neighbours_of_many_lists_without_structure(spark):
+    """With 400 lists the 16 nearest hold too few of the neighbours: more have to be read."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    df = spark.createDataFrame(table)
+    got = collections.defaultdict(set)
+    for r in ann.neighbours(df, every=200, sample=4000, probes=16, least=8).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 200):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 10 * 200
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
