@@ -431,6 +431,15 @@ def dedup_ttl(x: Flow):
     return dedup.accepted_by_ttl(seen, "event_id", "t", 86_400)
 
 
+@query("sent", """, s AS (SELECT event_id, list(DISTINCT received_at + k * INTERVAL 20 HOUR) AS ts FROM sent, range(6) r(k) WHERE k <= seq % 6 GROUP BY 1),
+acc AS (SELECT event_id, ts, list_min(ts) AS t FROM s UNION ALL SELECT event_id, ts, list_min([x FOR x IN ts IF x >= t + INTERVAL 24 HOUR]) FROM acc WHERE list_max(ts) >= t + INTERVAL 24 HOUR)
+SELECT event_id, t AS accepted_at FROM acc""", "RECURSIVE ")
+def dedup_ttl_all(x: Flow):
+    """All deliveries of all events; `dedup_ttl` holds every tenth event, as its SQL does."""
+    seen = usage.deliveries(x.spark, x.sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("seq") % 6).cast("int"))))
+    return dedup.accepted_by_ttl(seen.select("event_id", (F.col("received_at") + F.make_dt_interval(hours=F.col("k") * 20)).alias("t")), "event_id", "t", 86_400)
+
+
 @query("log", 'SELECT "partition", count(*) AS deliveries, count(DISTINCT event_id) AS processed, count(*) - count(DISTINCT event_id) AS duplicates FROM log GROUP BY ALL')
 def dedup_stats(x: Flow):
     return dedup.stats(x.log)

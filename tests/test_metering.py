@@ -138,6 +138,20 @@ def test_ttl_is_anchored_at_the_last_accepted(spark):
     assert got == [0, 30, 60]
 
 
+def test_ttl_query_holds_all_events(spark):
+    import __spark_entry__ as entry
+
+    sf, expected = "/root/testdata/sf0.001", set()
+    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
+        start = r.ts + timedelta(hours=48 if r.event_id % 20 == 0 else 2 if r.event_id % 7 == 0 else 0)
+        last = None
+        for at in sorted(start + timedelta(minutes=m, hours=20 * k) for k in range(r.event_id % 6 + 1) for m in ((0, 10) if r.event_id % 50 == 0 else (0,))):
+            if last is None or at >= last + timedelta(hours=24):
+                expected.add((str(r.event_id), last := at))
+    got = [tuple(r) for r in entry.queries()["dedup_ttl_all"](spark, sf).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+
+
 def test_append_guard(spark, tmp_path):
     rows = windows.classified(log(spark, [("a", 200, 10), ("b", 1, 120), ("c", 50, 20)]), 60, 30)
     revs = aggregates.revisions(rows)
