@@ -7,9 +7,10 @@ other forms (a phone number without `+`, an address spelled with "at" and
 it is trained from a small labelled table (`labelled`: text with the spans in
 {kind:...} marks; `TRAINING` by default) and decoded by Viterbi in batches.
 
-The CRF reads the stretches of a text around its digits, at-signs and "dot"s,
-`REACH` characters to either side and merged where they meet; elsewhere no
-kind has a form. A found span that overlaps a pattern's is dropped, so the
+The CRF reads the stretches of a text around its digits, at-signs and the words
+"at" and "dot" in any case: `REACH` characters to either side, then on to the
+next white space, merged where they meet. An e-mail span
+that `complete` accepts has an "at" or "@", and the other kinds have digits. A found span that overlaps a pattern's is dropped, so the
 patterns' spans all stay.
 
 Defined cases: a null text is empty and has none; texts are read whole; rows
@@ -37,7 +38,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 REACH = 60
-TRIGGER = re.compile(r"[0-9@]|\bdot\b")
+TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])(?:at|dot)(?![A-Za-z])", re.IGNORECASE | re.ASCII)
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 CUES = {"at", "dot", "tel", "phone", "call", "card", "mail"}
 SUFFIXES = {"com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "co", "eu"}
@@ -220,12 +221,19 @@ def stretches(text: str) -> list[tuple[int, int]]:
             out[-1][1] = b
         else:
             out.append([a, b])
-    for s in out:  # whole tokens only
-        while s[0] > 0 and text[s[0] - 1].isalnum() and text[s[0]].isalnum():
-            s[0] -= 1
-        while s[1] < len(text) and text[s[1] - 1].isalnum() and text[s[1]].isalnum():
-            s[1] += 1
-    return [(a, b) for a, b in out]
+    merged: list[tuple[int, int]] = []
+    for a, b in out:  # whole words only; no character is passed twice
+        done = merged[-1][1] if merged else 0
+        a, b = max(a, done), max(b, done)
+        while a > done and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        if merged and a == done:
+            merged[-1] = merged[-1][0], b
+        else:
+            merged.append((a, b))
+    return merged
 
 
 def rendered(spans: list[tuple[int, int, int]]) -> str:

@@ -36,6 +36,20 @@ def test_personal_data_rows(spark):
     assert pii.personal_data(spark.createDataFrame([(1, "(212) 555-0188")], "doc_id long, text string"), labelled=[]).first().spans == ""
 
 
+def test_addresses_far_from_digits_are_decoded(spark):
+    prose = "the old house stands by the river and nobody goes there in the evening, " * 2
+    forms = [t[a:b] for t, spans in map(pii.parse, pii.TRAINING) for k, a, b in spans if k == 0 and not re.search(r"[0-9]", t[a:b])]
+    forms += [f.upper() for f in forms] + ["jane_dot_doe_at_mail_dot_com", "x" * 90 + "_" + "y" * 90 + " (at) " + "z" * 90 + ".example.com"]
+    for form in forms:
+        text = f"{prose}write to {form} soon, {prose}"
+        at = text.index(form)
+        assert any(a <= at and at + len(form) <= b for a, b in pii.stretches(text)), form
+    said = ["address max.mustermann [at] mail.example.com or", "e-mail: anna_k (at) web.de.", "write JANE DOT DOE AT MAIL DOT COM soon"]
+    found = [r.found for r in pii.personal_data(spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [[t[s.start : s.end] for s in f] for t, f in zip(said, found)] == [["max.mustermann [at] mail.example.com"], ["anna_k (at) web.de"], ["JANE DOT DOE AT MAIL DOT COM"]]
+    assert pii.stretches(prose) == [] and pii.stretches(("x" * 200 + "7") * 5000) == [(0, 1_005_000)]  # linear
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
