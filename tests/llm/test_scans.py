@@ -50,6 +50,13 @@ def test_addresses_far_from_digits_are_decoded(spark):
     assert pii.stretches(prose) == [] and pii.stretches(("x" * 200 + "7") * 5000) == [(0, 1_005_000)]  # linear
 
 
+def test_addresses_of_many_tokens():
+    tagger = pii.fit(pii.TRAINING)
+    for form in ("jane [dot] doe [at] mail [dot] example [dot] com", "jane dot m dot doe [at] cs [dot] mail [dot] example [dot] org"):
+        text = f"write {form} soon"
+        assert [text[a:b] for _, a, b in tagger.spans([pii.tokens(text, 0, len(text))])[0]] == [form]
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
