@@ -290,6 +290,11 @@ def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.75, bands: int = 32, rows: int = 4, keep: list[str] | None = None) -> DataFrame:
     """key, `keep`, n_shingles, component_id, kept: one row for each row of `docs`."""
+    return grouped(docs, key, text, shingle, threshold, bands, rows, keep).drop("__group")
+
+
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.75, bands: int = 32, rows: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """Like near_duplicates, with the group's number in `__group` (null for rows that are in none): groups can share a component_id where ids repeat."""
     keep = keep or []
     sig = materialize(signatures(docs, key, text, shingle, bands, rows, keep))
     hashes = bands * rows
@@ -299,10 +304,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     root = components(links)
     rooted = classes.join(root, F.col("vid") == F.col("node"), "left").select("f1", "f2", "id", F.coalesce("root", "vid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    named = rooted.join(least, "root").select("f1", "f2", "least")
+    named = rooted.join(least, "root").select("f1", "f2", "least", "root")
     out = sig.select(key, *keep, "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("least")).otherwise(F.col(key))
-    return out.select(key, *keep, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    member = (F.col("n_shingles") > 0) & F.col(key).isNotNull()
+    component = F.when(member, F.col("least")).otherwise(F.col(key))
+    return out.select(key, *keep, "n_shingles", component.alias("component_id"), F.when(member, F.col("root")).alias("__group")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
 def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, threshold: float, hashes: int) -> DataFrame:
@@ -353,12 +359,18 @@ def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: in
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay: one of each group. Rows equal in id and text count as one document."""
+    """The rows of `docs` that stay: one of each group, with the smallest id and among equal ids the smallest row digest."""
     rid = F.xxhash64(F.col(key), F.col(text)).alias("__rid")
     rows = docs.withColumn("__rid", rid)
-    found = materialize(near_duplicates(rows, key, text, keep=["__rid"], **options))
-    out = rows.join(found.where("NOT kept").select("__rid").distinct(), "__rid", "left_anti")
-    again = found.where("kept AND n_shingles > 0").where(F.col(key).isNotNull()).groupBy("__rid").count().where("count > 1").select("__rid")
+    found = materialize(grouped(rows, key, text, keep=["__rid"], **options))
+    kept = found.where("kept AND __group IS NOT NULL")
+    # of a group that keeps several rows, all ids equal, those of one digest stay
+    several = kept.groupBy("__group").agg(F.min("__rid").alias("first"), F.max("__rid").alias("last")).where("first < last")
+    gone = found.where("NOT kept").select("__rid")
+    if several.limit(1).count():
+        gone = gone.unionByName(kept.join(several, "__group").where("__rid > first").select("__rid"))
+    out = rows.join(gone.distinct(), "__rid", "left_anti")
+    again = kept.groupBy("__rid").count().where("count > 1").select("__rid")
     if again.limit(1).count():
         out = out.join(again, "__rid", "left_anti").unionByName(out.join(again, "__rid", "left_semi").dropDuplicates(["__rid"]))
     return out.select(*docs.columns)

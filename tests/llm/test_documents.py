@@ -102,6 +102,16 @@ def test_near_duplicates_defined_cases(spark):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_one_row_of_a_group_stays_where_its_id_repeats(spark):
+    words = [f"w{i}" for i in range(80)]
+    edited = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(5, 75, 10)]
+    rows = [(1, t) for t in edited] + [(1, "one other text of this id " * 3)] * 2 + [(2, edited[0]), (3, None), (None, edited[1])]
+    got = [(r.doc_id, r.text) for r in neardup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(t in edited for i, t in got if i == 1) == 1
+    assert collections.Counter(x for x in got if x[1] not in edited or x[0] is None) == collections.Counter([(1, rows[7][1]), (None, edited[1]), (3, None)])
+    assert len(got) == 4
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     got = {r.node: r.root for r in neardup.components(edges).collect()}
