@@ -11,7 +11,8 @@ rows of two neighbouring bytes are added up beforehand (bytes first go to 64
 classes), which changes nothing in the result.
 
 The network is trained by Adam on windows from a bounded sample of rows
-outside the held-out fold (`sample` documents of each language).
+outside the held-out fold (`sample` documents of each language, every language
+with such a row).
 
 Defined cases: `und` with score 0 for a null text or one without a letter;
 rows whose language is null teach nothing; with no language to learn from
@@ -20,9 +21,11 @@ every text is `und`; texts are read whole, row by row, repeated ids stay.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import held_out, released
 from .crf import Adam
@@ -142,19 +145,29 @@ def fit(texts: list[str], langs: list[str], rounds: int = 400, per_text: int = 1
     return net
 
 
-def training_rows(docs: DataFrame, sample: int, key: str, text: str, lang: str, most_langs: int = 200) -> list:
-    """At most `sample` texts of each of the most frequent languages: those with the smallest hash of the id."""
+def training_rows(docs: DataFrame, sample: int, key: str, text: str, lang: str) -> list:
+    """At most `sample` texts of each language: those with the smallest hash of the id."""
+    spark, kinds = docs.sparkSession, "__k " + docs.schema[key].dataType.simpleString() + ", __l " + docs.schema[lang].dataType.simpleString()
     known = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    langs = [r[0] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_langs).collect()]
-    ids = []
-    for value in langs:
-        few = known.where(F.col(lang) == value).select(F.col(key).alias("__k"), F.xxhash64(F.col(key)).alias("__h")).orderBy("__h", "__k").limit(sample)
-        ids += [(r["__k"], value) for r in few.collect()]
-    if not ids:
+    hashed = known.select(F.col(key).alias("__k"), F.col(lang).alias("__l"), F.xxhash64(F.col(key)).alias("__h"))
+    sizes = {r[0]: r[1] for r in hashed.groupBy("__l").count().collect()}
+
+    def least(share: dict) -> list:
+        """The rows chosen, looked for among that share of a language's hashes."""
+        bounds = spark.createDataFrame([(v, -(2.0**63) + 2.0**64 * min(1.0, p)) for v, p in share.items()], kinds.split(", ")[1] + ", __b double")
+        some = hashed.join(F.broadcast(bounds), "__l").where(F.col("__h") <= F.col("__b"))
+        first = Window.partitionBy("__l").orderBy("__h", "__k")
+        return some.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= sample).select("__k", "__l").collect()
+
+    if not sizes:
         return []
-    few = docs.sparkSession.createDataFrame(ids, "__k " + docs.schema[key].dataType.simpleString() + ", __l " + docs.schema[lang].dataType.simpleString()).distinct()
+    ids = least({v: 2 * sample / n for v, n in sizes.items()})
+    found = Counter(r["__l"] for r in ids)
+    if short := {v for v, n in sizes.items() if found[v] < min(sample, n)}:
+        ids = [r for r in ids if r["__l"] not in short] + least(dict.fromkeys(short, 1.0))
+    few = spark.createDataFrame(ids, kinds).distinct()
     rows = known.select(F.col(key).alias("__k"), F.col(lang).alias("__l"), F.col(text).alias("__t")).join(F.broadcast(few), ["__k", "__l"])
-    return rows.orderBy("__k", "__l", "__t").limit(4 * sample * len(langs)).collect()
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("__l").orderBy("__k", "__t"))).where(F.col("__n") <= 4 * sample).drop("__n").orderBy("__k", "__l", "__t").collect()
 
 
 def languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 250) -> DataFrame:

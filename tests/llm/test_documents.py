@@ -199,6 +199,13 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([got[r.doc_id].lang_pred == r.lang for r in test]) >= 0.95
 
 
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"words of language {i % 230}", f"l{i % 230}") for i in range(2300)]
+    rows = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 3, "doc_id", "text", "lang")
+    count = collections.Counter(r["__l"] for r in rows)
+    assert len(count) == 230 and max(count.values()) == 3
+
+
 def test_language_without_letters(spark):
     df = spark.createDataFrame([(1, None, "en"), (2, "12 !", "en"), (4, "", None), (5, "some words here", "en"), (7, "x", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in langid.languages(df).collect()}
