@@ -9,14 +9,17 @@ table is recomputed until it agrees with the old one over a longest token's
 length, from where on the old entries hold.
 
 Defined cases: a null text is empty; an empty text has no tokens; every other
-text, however long, is encoded whole; repeated rows give repeated rows; other
-columns are not read. Words are memoised up to `memo_size` entries a worker,
-after which the memo starts afresh, as it does with each task.
+text, however long, is encoded whole; repeated rows give repeated rows, also of
+one id; further columns are not read; an empty table gives no rows. The pieces
+of texts are memoised with their ids and the bytes decoded from these: the
+memo has two generations of about `memo_size` pieces, and what the younger one
+lacks comes from the older one or is encoded, all new pieces of a batch at once.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 
@@ -27,8 +30,10 @@ from .common import released
 
 #: Unicode White_Space, as the pretoken pattern's \s takes it.
 SPACES = "\t-\r \x85\xa0  -     　"
-#: A text in which every space stands alone between two other characters needs no further look.
-UNEVEN = re.compile(f"^ | $|[{SPACES}] | [{SPACES}]")
+#: First character of a memo key that stands for the rest of itself alone; no piece behind one space begins with it.
+ALONE = " "
+#: A piece of more characters than that is split into pretokens by itself.
+LONG = 1000
 PIECES = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
 
@@ -41,21 +46,39 @@ NEVER = 1 << 60
 
 
 class BytePairs:
-    """Encoder of single pretokens. Tables hold ranks; -1 stands before the first token."""
+    """Encoder of single pretokens. Tables hold ranks; -1 stands before the first token.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        import ahocorasick
+    States are the longest ends of what was read that begin a token; those met are kept, with the tokens that end there.
+    """
 
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.base = max(ranks.values()) + 2
+        self.size = [0] * self.base  # the last is of rank -1
+        for t, i in ranks.items():
+            self.size[i] = len(t)
         self.fits: dict[int, bool] = {}
         self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self.ends = ahocorasick.Automaton()  # bytes as latin-1; yields the tokens that end at each place, longest first
-        for t, i in ranks.items():
-            self.ends.add_word(t.decode("latin-1"), (i, len(t)))
-        self.ends.make_automaton()
+        self.begins = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
+        self.state = {b"": 0}
+        self.read_so_far, self.ending, self.next = [b""], [()], {}
+
+    def step(self, state: int, byte: int) -> int:
+        """The state after `byte`."""
+        end = self.read_so_far[state] + bytes([byte])
+        while end and end not in self.begins:
+            end = end[1:]
+        if end not in self.state:
+            self.state[end] = len(self.ending)
+            self.read_so_far.append(end)
+            some = (end[i:] for i in range(len(end)))
+            self.ending.append(tuple((self.ranks[t], len(t)) for t in some if t in self.ranks and self.reachable(t)))  # longest first
+        if len(self.next) > 500_000:
+            self.next.clear()
+        to = self.next[state << 8 | byte] = self.state[end]
+        return to
 
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts of the last merge that makes `token`; None if merging its bytes doesn't give it."""
@@ -92,25 +115,38 @@ class BytePairs:
     def new_pair(self, left: int, token: int) -> bool:
         if len(self.fits) > 400_000:
             self.fits.clear()
-        good = self.reachable(self.tokens[token]) and (left < 0 or self.fit(self.tokens[left], self.tokens[token]))
+        good = left < 0 or self.fit(self.tokens[left], self.tokens[token])
         self.fits[left * self.base + token] = good
         return good
 
-    def extend(self, data: bytes, last: list[int]) -> list[int]:
-        """last[i]: the token that ends the encoding of data[:i]; last[0] is -1. Goes on from len(last)."""
+    def extend(self, data: bytes, last: list[int], states: list[int] | None = None) -> list[int]:
+        """last[i]: the token that ends the encoding of data[:i]; last[0] is -1. Goes on from len(last).
+
+        states: the state after each prefix, for as many as `last` has; found again where not given.
+        """
         if not last:
             last.append(-1)
-        known, base, at, after = self.fits.get, self.base, len(last), max(0, len(last) - self.longest)
-        for end, (token, n) in self.ends.iter(data[after:].decode("latin-1")):
-            end += after + 1
-            if end == at and n <= end:
-                left = last[end - n]
+        done = len(last) - 1
+        onward, known, base, ending = self.next.get, self.fits.get, self.base, self.ending
+        if states is None:
+            states = [0]
+            for b in data[max(0, done - self.longest) : done]:
+                states.append(self.step(states[-1], b))
+        elif not states:
+            states.append(0)
+        state = states[-1]
+        for b in data[done:]:
+            to = onward(state << 8 | b)
+            state = self.step(state, b) if to is None else to
+            states.append(state)
+            for token, n in ending[state]:
+                left = last[-n]
                 good = known(left * base + token)
                 if good or good is None and self.new_pair(left, token):
                     last.append(token)
-                    at += 1
-        if at != len(data) + 1:
-            raise ValueError(f"no token ends at byte {at}")
+                    break
+            else:
+                raise ValueError(f"no token ends at byte {len(last)}")
         return last
 
     def edit(self, data: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
@@ -123,11 +159,13 @@ class BytePairs:
         return out, self.extend(out, table)
 
     def read(self, last: list[int]) -> list[int]:
-        out, i = [], len(last) - 1
+        out, i, size = [], len(last) - 1, self.size
         while i > 0:
-            out.append(last[i])
-            i -= len(self.tokens[last[i]])
-        return out[::-1]
+            token = last[i]
+            out.append(token)
+            i -= size[token]
+        out.reverse()
+        return out
 
     def encode(self, data: bytes) -> list[int]:
         """A pretoken that is a token stands for itself, as in the public encoders."""
@@ -135,19 +173,42 @@ class BytePairs:
             return [own]
         return self.read(self.extend(data, []))
 
+    def encode_all(self, words) -> dict[bytes, list[int]]:
+        """`encode` of each word: in order, so that a word goes on from the table of what it begins with."""
+        out, last, states, before = {}, [-1], [0], b""
+        for w in sorted(words):
+            if (own := self.ranks.get(w)) is not None:
+                out[w] = [own]
+                continue
+            same = 0
+            for x, y in zip(w, before):
+                if x != y:
+                    break
+                same += 1
+            del last[same + 1 :], states[same + 1 :]
+            out[w] = self.read(self.extend(w, last, states))
+            before = w
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-class Memo(dict):
-    def __init__(self, make, size: int):
-        self.make, self.size = make, size
+class Memo:
+    """Two generations of `made` values by key. What the younger one lacks comes from the older one."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
 
-    def __missing__(self, key):
-        if len(self) >= self.size:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
+    def missing(self, keys: set) -> set:
+        """Those of `keys` that neither generation has; the younger one has the others from now on."""
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        out = keys.difference(self.young)
+        for k in out.intersection(self.old):
+            self.young[k] = self.old[k]
+            out.discard(k)
+        return out
 
 
 class TextEncoder:
@@ -157,37 +218,83 @@ class TextEncoder:
         import regex
 
         self.pairs, self.find = BytePairs(ranks), regex.compile(pattern).findall
-        self.word = Memo(lambda p: " ".join(map(str, self.pairs.encode(p.encode()))), memo_size)
-        word = lambda s: " ".join(map(self.word.__getitem__, self.find(s)))
-        self.piece = Memo(word, memo_size)
-        self.spaced = Memo(lambda s: word(" " + s), memo_size)
-        self.bytes_of = {str(i): t for i, t in self.pairs.tokens.items()}
-
-    def pieces(self, text: str) -> list[str]:
-        """Ids of the text's pieces, as strings. No pretoken reaches over a change from non-space to space."""
-        if not text:
-            return []
-        if UNEVEN.search(text):
-            return [self.piece[p] for p in PIECES.findall(text)]
-        first, *rest = text.split(" ")
-        return [self.piece[first], *map(self.spaced.__getitem__, rest)]
-
-    def forget(self) -> None:
-        for memo in (self.word, self.piece, self.spaced):
-            memo.clear()
+        self.words, self.pieces = Memo(memo_size), Memo(memo_size)  # values: ids as text, and the bytes decoded from the ids
+
+    def learn(self, keys: set) -> set:
+        """Put pieces into the memo; returns those that it can't hold, since white space is at their ends.
+
+        A key is a piece that has one space before it, or ALONE and any other piece.
+        """
+        new, uneven, spaced, found = self.pieces.missing(keys), set(), [], []
+        for k in new:
+            if k[:1] == ALONE:
+                found.append((k, self.find(k[1:])))
+            elif not k or k[0].isspace() or k[-1].isspace():
+                uneven.add(k)
+            elif len(k) > LONG:
+                found.append((k, self.find(" " + k)))
+            else:
+                spaced.append(k)
+        # no pretoken reaches over a change from non-space to space, and of a piece only the first begins with a space
+        words = self.find(" " + " ".join(spaced)) if spaced else []
+        made = self.words.missing(set(words).union(*(ws for _, ws in found)))
+        put, decode = self.words.young, self.pairs.decode
+        for w, ids in self.pairs.encode_all([w.encode() for w in made]).items():
+            put[w.decode()] = " ".join(map(str, ids)), decode(ids)
+        done, at = self.pieces.young, iter(spaced)
+        for w in words:
+            if w[0] == " ":
+                k = next(at)
+                done[k] = put[w]
+            else:
+                (a, x), (b, y) = done[k], put[w]
+                done[k] = f"{a} {b}", x + y
+        for k, ws in found:
+            done[k] = " ".join([put[w][0] for w in ws]), b"".join([put[w][1] for w in ws])
+        return uneven
+
+    def encode_texts(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """Of each text, its ids joined by spaces, and the bytes that these ids decode to."""
+        parts = []
+        for t in texts:
+            own = t.split(" ")
+            if own[0]:
+                own[0] = ALONE + own[0]
+            else:
+                del own[0]  # nothing is before the first space, or the text is empty
+            parts.append(own)
+        uneven = self.learn(set().union(*parts))
+        odd = [i for i, own in enumerate(parts) if own and own[0][-1:].isspace() or not uneven.isdisjoint(own)]
+        if odd:
+            for i in odd:
+                parts[i] = [ALONE + p for p in PIECES.findall(texts[i])]
+            self.learn(set().union(*parts))
+        memo, out = self.pieces.young.__getitem__, []
+        for own in parts:
+            ids, raw = zip(*map(memo, own)) if own else ((), ())
+            out.append((" ".join(ids), b"".join(raw)))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.pieces(text) for i in p.split()]
+        return [int(i) for i in self.encode_texts([text])[0][0].split()]
 
     def decode(self, ids: list[int]) -> bytes:
         return self.pairs.decode(ids)
 
 
-def slices(batches, rows: int = 500):
-    """Smaller batches, so that the strings of one are few."""
+def slices(batches, rows: int = 1000, size: int = 2_000_000):
+    """(batch, its texts): smaller batches, so that the strings of one are few."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at, texts, n = 0, [], 0
+        for i, t in enumerate(batch.column("__text")):
+            t = t.as_py() or ""
+            if texts and (n + len(t) > size or len(texts) == rows):
+                yield batch.slice(at, len(texts)), texts
+                at, texts, n = i, [], 0
+            texts.append(t)
+            n += len(t)
+        if texts:
+            yield batch.slice(at, len(texts)), texts
 
 
 _encoders: dict = {}
@@ -197,6 +304,9 @@ def encoder(path: str, pattern: str, memo_size: int) -> TextEncoder:
     key = (path, pattern, memo_size)
     if key not in _encoders:
         _encoders[key] = TextEncoder(load_ranks(path), pattern, memo_size)
+        # the tables stay and hold no cycles: looking through them again and again costs a tenth of the time
+        gc.freeze()
+        gc.set_threshold(50_000, 20, 100)
     return _encoders[key]
 
 
@@ -213,18 +323,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
     def run(batches):
         enc = encoder(path, pattern, memo_size)
-        for batch in slices(batches):
-            n, joined, coded, decoded = [], [], [], []
-            for t in batch.column("__text"):
-                pieces = enc.pieces(t.as_py() or "")
-                s = " ".join(pieces)
-                n.append(s.count(" ") + 1 if s else 0)
-                if ids:
-                    joined.append(s)
-                coded.append(hashlib.sha256(s.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(enc.bytes_of.__getitem__, s.split()))).hexdigest())
-            columns = [batch.column(c) for c in keep] + [pa.array(n, pa.int64())] + [pa.array(joined, pa.string())] * ids + [pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+        for batch, texts in slices(batches):
+            pairs = enc.encode_texts(texts)
+            n = [s.count(" ") + 1 if s else 0 for s, _ in pairs]
+            coded, decoded = ([hashlib.sha256(x).hexdigest() for x in xs] for xs in ((s.encode() for s, _ in pairs), (raw for _, raw in pairs)))
+            columns = [batch.column(c) for c in keep] + [pa.array(n, pa.int64())] + [pa.array([s for s, _ in pairs], pa.string())] * ids + [pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"])
-        enc.forget()
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(released(run), schema)

@@ -33,6 +33,15 @@ def test_texts(encoder, public):
         assert encoder.decode(ids) == s.encode()
 
 
+def test_batches_of_texts(encoder, public):
+    """Memos of two generations, texts of one batch, white space of all kinds at all places."""
+    rng, letters = random.Random(5), ["a", "the", "ing", " ", " ", " ", "\n", "\t", "\x85", "é", ".", "!!", "日本", "12", "\x00", "'s"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(6000)] + ["", " ", "\n", " a", "a ", "a\n b", "a \nb", "a\n\n\nb c", "\n a", "x" * 5000 + " y.z" * 3, "a.\n" * 3000]
+    for k in range(0, len(texts), 37):
+        for t, (ids, raw) in zip(texts[k : k + 37], encoder.encode_texts(texts[k : k + 37])):
+            assert [int(i) for i in ids.split(" ") if i] == public.encode_ordinary(t) and raw == t.encode()
+
+
 def test_long_pretoken(encoder, public):
     s = "".join(random.Random(2).choice("theinga") for _ in range(20_000))
     assert encoder.encode(s) == public.encode_ordinary(s)
@@ -58,3 +67,4 @@ def test_rows(spark, public):
     got = bpe.encode_documents(df, ids=False).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((i or 0, len(public.encode_ordinary(t or ""))) for i, t, _ in rows)
     assert bpe.encode_documents(df.where("false")).count() == 0
+    assert {r.ids for r in bpe.encode_documents(df.drop("ids")).where("doc_id IS NULL").collect()} == {" ".join(map(str, public.encode_ordinary("word " * 5000)))}
