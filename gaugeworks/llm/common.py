@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_by_hot_keys(rows: DataFrame, counts: DataFrame, on: list[str], row: Column, n: str = "n", spread: int = 64, most: int = 1000) -> DataFrame:
+    """`rows` joined with `counts` (one row a key, none of them null; `n` says how many of the rows have it), hot keys in many tasks.
+
+    Keys with more than 1 / `most` of all rows are fewer than `most`, so they are broadcast; their rows are dealt
+    over `spread` tasks by `row`, which must be the same in each attempt.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col(n) > total / most).select(*on, F.lit(True).alias("__hot")))
+    one = rows.join(hot, on, "left").withColumn("__part", F.when(F.col("__hot"), F.pmod(F.xxhash64(row), F.lit(spread))).otherwise(F.lit(0).cast("long"))).drop("__hot")
+    none = F.lit(0).cast("long")
+    parts = F.when(F.col("__hot"), F.sequence(none, F.lit(spread - 1).cast("long"))).otherwise(F.array(none))
+    other = counts.join(hot, on, "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    return one.join(other, [*on, "__part"]).drop("__part")
+
+
 def held_out(doc_id="doc_id"):
     """crc32 of the id as text, mod 4, is 2: rows that no model may learn from. A null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

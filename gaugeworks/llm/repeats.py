@@ -19,17 +19,25 @@ are equal too.
    A window that begins n bytes before the trigger is in corpus order by its n
    byte dictionary suffix, then by its parse suffix; neighbours in that order
    with a common prefix of `length` bytes repeat. Only windows of one key can
-   be neighbours, so each key is ordered on its own, many in a task.
-4. A key with more than `bucket` entries isn't gathered: its windows are counted
-   by 128-bit digests of their bytes instead, which is exact as well.
+   be neighbours, so each group of entries is ordered on its own, many in a task.
+4. A key with more than `bucket` entries is split by longer contexts. Windows
+   that begin lo to hi bytes before the trigger are equal only where the lo
+   bytes before it and the length - hi bytes after it are, so the range of n is
+   halved and each half's entries are dealt out by these bytes. Entries alone in
+   their part go; those that agree in all bytes of the half are one entry from
+   there on, and if there are two or more, all their windows in it repeat. Parts
+   small enough are ordered as in 3, others halved again; a part of one n only
+   has one entry left.
 5. The ranges found are joined with the texts, and the bytes cut.
 
-Ranges of hashes are of at most 2 * length bytes. Texts are identified by a
-64-bit hash of id and text, so that repeated ids stay apart; equal rows get
-equal results.
+Ranges of hashes are of at most 2 * length bytes, for which `length` is 256 at
+most: polynomials modulo 2^64 can't be trusted with longer ones. Texts are
+identified by a 64-bit hash of id and text, so that repeated ids stay apart;
+equal rows get equal results.
 
 Defined cases: a null text is empty; texts under `length` bytes keep all;
-matches never cross texts; further columns are not read; texts are used whole.
+matches never cross texts; an empty table gives no rows; further columns are
+not read; texts are used whole.
 """
 
 from __future__ import annotations
@@ -40,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, released
+from .common import joined_by_hot_keys, materialize, released
 from .neardup import mix
 
 U = np.uint64
@@ -149,25 +157,27 @@ def trigger_rows(docs: DataFrame, length: int, whole: bool) -> DataFrame:
     return docs.mapInArrow(released(run), "key long, rid long, t int, a int, b int, f1 long, f2 long" if whole else "key long")
 
 
+#: An entry of a group `g`, which asks for windows n in [low, high]: its place, those of them that it has, and the bytes before and after its trigger.
+ENTRY = {"g": pa.int64(), "low": pa.int32(), "high": pa.int32(), "rid": pa.int64(), "t": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "n": pa.int64(), "left": pa.binary(), "right": pa.binary()}
+ENTRY_DDL = "g long, low int, high int, rid long, t int, lo int, hi int, n long, left binary, right binary"
+
+
 def contexts(docs: DataFrame, entries: DataFrame, length: int) -> DataFrame:
-    """entries: rid, key, t, a, b, n, big. Adds the bytes before and after the trigger."""
-    rows = entries.groupBy("rid").agg(F.collect_list(F.struct("key", "t", "a", "b", "n", "big")).alias("at"))  # at most a text's own triggers
+    """entries: rid, key, t, a, b, n. Adds the bytes before and after the trigger."""
+    rows = entries.groupBy("rid").agg(F.collect_list(F.struct("key", "t", "a", "b", "n")).alias("at"))  # at most a text's own triggers
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "rid", "t", "a", "b", "n", "big", "left", "right")}
+            out: dict[str, list] = {k: [] for k in ENTRY}
             for rid, text, at in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), batch.column("at").to_pylist()):
                 data = (text or "").encode()
                 for x in at:
-                    for k, v in x.items():
+                    t, a, b = x["t"], x["a"], x["b"]
+                    for k, v in zip(ENTRY, (x["key"], 0, length - KEY, rid, t, t - b, t - a, x["n"], data[a:t], data[t : b + length])):
                         out[k].append(v)
-                    out["rid"].append(rid)
-                    out["left"].append(data[x["a"] : x["t"]])
-                    out["right"].append(data[x["t"] : x["b"] + length])
-            types = {"key": pa.int64(), "rid": pa.int64(), "n": pa.int64(), "big": pa.bool_(), "left": pa.binary(), "right": pa.binary()}
-            yield batch_of(**{k: pa.array(v, types.get(k, pa.int32())) for k, v in out.items()})
+            yield batch_of(**{k: pa.array(v, ENTRY[k]) for k, v in out.items()})
 
-    return docs.join(rows, "rid").select("rid", "text", "at").mapInArrow(released(run), "key long, rid long, t int, a int, b int, n long, big boolean, left binary, right binary")
+    return docs.join(rows, "rid").select("rid", "text", "at").mapInArrow(released(run), ENTRY_DDL)
 
 
 def sorted_with_lcp(strings: list[bytes], group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,16 +230,16 @@ def spans_of(mask: np.ndarray, rid: np.ndarray, t: np.ndarray, length: int) -> p
 
 
 def ordered_spans(entries: DataFrame, length: int) -> DataFrame:
-    """By the corpus order of each key; a key's entries are together and few."""
+    """By the corpus order of each group; a group's entries are together and few."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            if not len(keys):
+            groups = batch.column("g").to_numpy()
+            if not len(groups):
                 continue
-            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-            if held and held[-1].column("key")[0].as_py() != keys[0]:
+            cut = int(np.flatnonzero(groups != groups[-1])[-1]) + 1 if groups[0] != groups[-1] else 0
+            if held and held[-1].column("g")[0].as_py() != groups[0]:
                 yield solve(pa.Table.from_batches(held))
                 held = []
             if cut:
@@ -240,54 +250,84 @@ def ordered_spans(entries: DataFrame, length: int) -> DataFrame:
             yield solve(pa.Table.from_batches(held))
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        t, a, b, n, rid = (table.column(c).to_numpy() for c in ("t", "a", "b", "n", "rid"))
-        _, group = np.unique(table.column("key").to_numpy(), return_inverse=True)
-        mask = repeated_windows(group, table.column("left").to_pylist(), table.column("right").to_pylist(), t - b, t - a, length)
+        t, lo, hi, n, rid = (table.column(c).to_numpy() for c in ("t", "lo", "hi", "n", "rid"))
+        _, group = np.unique(table.column("g").to_numpy(), return_inverse=True)
+        mask = repeated_windows(group, table.column("left").to_pylist(), table.column("right").to_pylist(), lo, hi, length)
         mask[n > 1] = False  # those are whole already
         return spans_of(mask, rid, t, length)
 
-    few = entries.repartition("key").sortWithinPartitions("key")
+    few = entries.repartition("g").sortWithinPartitions("g")
     return few.mapInArrow(released(run), "rid long, start int, end int")
 
 
-def counted_spans(entries: DataFrame, length: int) -> DataFrame:
-    """By digests of windows, for keys with very many entries."""
+def halved(entries: DataFrame, length: int) -> DataFrame:
+    """Each entry in the half or halves of its group's range in which it has windows, in a group by the bytes that these windows share at least; s1, s2: digest of all their bytes."""
+
+    def number(digest: bytes) -> int:
+        return int.from_bytes(digest, "big", signed=True)
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            size = np.array([len(x) + len(y) for x, y in zip(left, right)])
-            begin = np.cumsum(size) - size
-            a, b, rid = (batch.column(c).to_numpy() for c in ("a", "b", "rid"))
-            ranges = Ranges(np.frombuffer(b"".join(x + y for x, y in zip(left, right)), np.uint8))
-            windows = (b - a + 1).astype(np.int64)
-            k = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            row = np.repeat(np.arange(len(a)), windows)
-            s = begin[row] + k
-            yield batch_of(w1=ranges.digest(s, s + length, 0).astype(np.int64), w2=ranges.digest(s, s + length, 1).astype(np.int64), rid=rid[row], s=(a[row] + k).astype(np.int32))
-
-    windows = entries.select("rid", "a", "b", "left", "right").mapInArrow(released(run), "w1 long, w2 long, rid long, s int")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1")
-    return windows.join(twice, ["w1", "w2"], "left_semi").select("rid", F.col("s").alias("start"), (F.col("s") + length).cast("int").alias("end"))
+            out: dict[str, list] = {k: [] for k in (*ENTRY, "s1", "s2")}
+            for row in zip(*(batch.column(k).to_pylist() for k in ENTRY)):
+                x = dict(zip(ENTRY, row))
+                left, right, middle = x["left"], x["right"], (x["low"] + x["high"]) // 2
+                for low, high in ((x["low"], middle), (middle + 1, x["high"])):
+                    near, far = max(x["lo"], low), min(x["hi"], high)
+                    if near > far:
+                        continue
+                    shared = hashlib.blake2b(b"%d:%d:" % (low, x["g"]) + left[len(left) - low :] + right[: length - high], digest_size=8).digest()
+                    whole = hashlib.blake2b(b"%d:%d:" % (near, far) + left[len(left) - far :] + right[: length - near], digest_size=16).digest()
+                    half = {"g": number(shared), "low": low, "high": high, "lo": near, "hi": far, "s1": number(whole[:8]), "s2": number(whole[8:])}
+                    for k, v in (x | half).items():
+                        out[k].append(v)
+            yield batch_of(**{k: pa.array(v, ENTRY.get(k, pa.int64())) for k, v in out.items()})
+
+    return entries.mapInArrow(released(run), ENTRY_DDL + ", s1 long, s2 long")
+
+
+def grouped_spans(entries: DataFrame, length: int, bucket: int) -> list[DataFrame]:
+    """Ranges of the repeated windows of all groups. Groups of more than `bucket` entries are split, at most log2(length) times."""
+    out: list[DataFrame] = []
+    place = F.struct("rid", "t")
+    while True:
+        sizes = materialize(entries.groupBy("g").agg(F.count("*").alias("members")).where("members > 1"))
+        sized = joined_by_hot_keys(entries, sizes, ["g"], place, "members")
+        out.append(ordered_spans(sized.where(F.col("members") <= bucket), length))
+        if not sizes.where(F.col("members") > bucket).limit(1).count():
+            return out
+        parts = materialize(halved(sized.where(F.col("members") > bucket), length))
+        same = ["g", "lo", "s1", "s2"]
+        # one entry for all that agree in every byte of the half; its windows begin at t - hi to t - lo
+        rest = [F.min_by(c, place).alias(c) for c in ENTRY if c not in (*same, "n")]
+        again = materialize(parts.groupBy(*same).agg(F.count("*").alias("n"), *rest))
+        whole = joined_by_hot_keys(parts.select(*same, "rid", "t", "hi"), again.where("n > 1").select(*same, "n"), same, place)
+        out.append(whole.select("rid", (F.col("t") - F.col("hi")).alias("start"), (F.col("t") - F.col("lo") + length).cast("int").alias("end")))
+        entries = again.where("low < high").select(*ENTRY)  # where they are the same, all entries of a group agree
 
 
 def repeated_ranges(docs: DataFrame, length: int, bucket: int) -> DataFrame:
     """docs: rid, text. Byte ranges (rid, start, end) that repeated windows cover; together all of them."""
-    twice = trigger_rows(docs, length, False).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    rows = materialize(trigger_rows(docs, length, True).join(twice, "key", "left_semi"))
+    place = F.struct("rid", "t")
+    counts = materialize(trigger_rows(docs, length, False).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    rows = materialize(joined_by_hot_keys(trigger_rows(docs, length, True), counts, ["key"], place, "c").drop("c"))
     entry = ["key", "f1", "f2"]
     entries = materialize(rows.groupBy(*entry).agg(F.count("*").alias("n"), F.min(F.struct("rid", "t", "a", "b")).alias("at")))
-    whole = rows.join(entries.where("n > 1").select(*entry), entry, "left_semi").select("rid", F.col("a").alias("start"), (F.col("b") + length).cast("int").alias("end"))
-    several = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > bucket).alias("big"))
-    mixed = contexts(docs, entries.join(several, "key").select("key", "at.*", "n", "big"), length)
-    mixed = materialize(mixed)
-    return materialize(whole.unionByName(ordered_spans(mixed.where("NOT big"), length)).unionByName(counted_spans(mixed.where("big"), length)))
+    twice = entries.where("n > 1").select(*entry, "n")
+    whole = joined_by_hot_keys(rows, twice, entry, place).select("rid", F.col("a").alias("start"), (F.col("b") + length).cast("int").alias("end"))
+    several = materialize(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    mixed = joined_by_hot_keys(entries.select("key", "at.*", "n"), several, ["key"], place, "c")
+    mixed = materialize(contexts(docs, mixed, length))
+    out = whole
+    for spans in grouped_spans(mixed, length, bucket):
+        out = out.unionByName(spans)
+    return materialize(out)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, bucket: int = 2000, keep: list[str] | None = None, kept_text: bool = False) -> DataFrame:
     """key, `keep`, n_bytes, n_removed, n_spans, kept_sha256; with kept_text also the remaining bytes."""
+    if not KEY < length <= 256:
+        raise ValueError(f"length must be over {KEY} and at most 256 bytes")
     keep = [key, *(keep or [])]
     rid = F.xxhash64(F.col(key), F.col(text)).alias("rid")
     plain = docs.select(rid, F.col(text).alias("text"))

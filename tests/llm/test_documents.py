@@ -132,7 +132,7 @@ def plain_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bucket", [2000, 6])
+@pytest.mark.parametrize("bucket", [2000, 6, 2])
 def test_repeats(spark, bucket):
     rng = random.Random(5)
     some = lambda n: "".join(rng.choice("abc déf") for _ in range(n))
@@ -144,6 +144,18 @@ def test_repeats(spark, bucket):
     assert repeats.without_repeats(df.where("false")).count() == 0
 
 
+def test_repeats_of_one_very_hot_key(spark):
+    """5,000 different contexts of one passage: with 130 bytes no window repeats, with 230 only a few do, beside families that share more."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghij klmno") for _ in range(n))
+    short, long, tails = some(130), some(230), [some(40) for _ in range(20)]
+    rows = [(i, some(rng.randint(60, 90)) + short + some(90)) for i in range(3000)]
+    rows += [(i, some(rng.randint(60, 90)) + long + some(90)) for i in range(3000, 5000)]
+    rows += [(i, some(70) + rng.choice(tails)[rng.randint(0, 20) :] + short + rng.choice(tails) + some(70)) for i in range(5000, 5600)]
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bucket=50)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain_repeats(rows, 200)
+
+
 def test_decontamination(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
