@@ -55,8 +55,8 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     begins = np.concatenate([[0], breaks[:-1] + 1])
     length = breaks - begins
     line_of = np.repeat(np.arange(len(lines)), length + 1)
-    tally = np.bincount(line_of * 10 + CLASSES[data], minlength=len(lines) * 10).reshape(-1, 10)
-    share = tally[:, 1:] / np.maximum(length, 1)[:, None]
+    counted = np.bincount(line_of * 10 + CLASSES[data], minlength=len(lines) * 10).reshape(-1, 10)
+    share = counted[:, 1:] / np.maximum(length, 1)[:, None]
     n_size = np.array(size, np.int64)
     cols = [np.searchsorted(EDGES, share[:, k]) + 9 * k for k in range(9)]  # 9 x 9
     at = 81

@@ -122,9 +122,9 @@ def tested(spans: Column, text_skew: float, order_level: float) -> Column:
 
 def cuts(candidates: DataFrame, fdr: float) -> list:
     """Smallest accepted bin of each stratum: Benjamini-Hochberg on bin counts."""
-    tally = candidates.select(F.explode("tests").alias("t")).groupBy("t.encoding", "t.size", "t.bin").agg(F.count("*").alias("n")).collect()  # at most strata x 400 rows
+    counted = candidates.select(F.explode("tests").alias("t")).groupBy("t.encoding", "t.size", "t.bin").agg(F.count("*").alias("n")).collect()  # at most strata x 400 rows
     strata: dict = {}
-    for r in tally:
+    for r in counted:
         strata.setdefault((r.encoding, r["size"]), {})[r.bin] = r.n
     out = []
     for (enc, size), bins in sorted(strata.items()):
