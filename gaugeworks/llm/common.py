@@ -41,19 +41,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def joined_by_hot_keys(rows: DataFrame, counts: DataFrame, on: list[str], row: Column, n: str = "n", spread: int = 64, most: int = 1000) -> DataFrame:
-    """`rows` joined with `counts` (one row a key, none of them null; `n` says how many of the rows have it), hot keys in many tasks.
+def joined_by_hot_keys(rows: DataFrame, counts: DataFrame, on: list[str], row: Column, n: str = "n", other: DataFrame | None = None) -> DataFrame:
+    """`rows` joined with `other` (one row a key; `counts` by default), hot keys in many tasks.
 
-    Keys with more than 1 / `most` of all rows are fewer than `most`, so they are broadcast; their rows are dealt
-    over `spread` tasks by `row`, which must be the same in each attempt.
+    `counts` has one row a key, none of them null; `n` says how many of the rows have it. Keys with more rows than a
+    shuffle partition has on average are fewer than the partitions, so they are broadcast. Their rows are dealt over
+    twice as many parts as they would fill, by `row`, which must be the same in each attempt.
     """
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    hot = F.broadcast(counts.where(F.col(n) > total / most).select(*on, F.lit(True).alias("__hot")))
-    one = rows.join(hot, on, "left").withColumn("__part", F.when(F.col("__hot"), F.pmod(F.xxhash64(row), F.lit(spread))).otherwise(F.lit(0).cast("long"))).drop("__hot")
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum(n)).first()[0] or 1
+    hot = F.broadcast(counts.where(F.col(n) > total / partitions).select(*on, F.ceil(F.col(n) * (2 * partitions / total)).alias("__parts")))
     none = F.lit(0).cast("long")
-    parts = F.when(F.col("__hot"), F.sequence(none, F.lit(spread - 1).cast("long"))).otherwise(F.array(none))
-    other = counts.join(hot, on, "left").withColumn("__part", F.explode(parts)).drop("__hot")
-    return one.join(other, [*on, "__part"]).drop("__part")
+    one = rows.join(hot, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(row), "__parts"), none)).drop("__parts")
+    every = (counts if other is None else other).join(hot, on, "left").withColumn("__part", F.explode(F.sequence(none, F.coalesce(F.col("__parts") - 1, none)))).drop("__parts")
+    return one.join(every, [*on, "__part"]).drop("__part")
 
 
 def held_out(doc_id="doc_id"):

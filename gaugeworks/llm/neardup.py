@@ -25,23 +25,29 @@
 With 32 bands of 4 a pair at similarity 0.75 is missed with probability 5e-6.
 
 Defined cases: a null or wordless text has an empty set, no links, and its own
-id as component; fewer words than `shingle` make one shingle; a null id is
-linked with nothing and has a null component; rows that share an id are
-documents of their own (each gets the smallest id that its text reaches);
-further columns are not read. Texts are used whole.
+id as component; fewer words than `shingle` make one shingle; a row with a null
+id is linked like any other, its component is the smallest id reachable (null
+if none is), and its `kept` is null, as `doc_id = component_id` is; rows that
+share an id are documents of their own (each gets the smallest id that its text
+reaches); an empty table gives no rows; further columns are not read. Texts are
+used whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize, released
+from .common import joined_by_hot_keys, materialize, released
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 U = np.uint64
 BITS, MARGIN = 4, 0.25
+#: Longer words are known by a digest: sums of powers agree for some different long words.
+LONG = 64
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, U), np.ones(1, U)]
 
@@ -74,6 +80,8 @@ def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
     up, down = powers(len(raw) + 1)
     total = np.concatenate([[U(0)], np.cumsum((raw.astype(U) + U(1)) * up[: len(raw)])])
     word = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        word[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
     bound = np.searchsorted(start, np.flatnonzero(raw == 10))  # words before each text's end
     joined = np.zeros(max(0, len(word) - size + 1), U)
     for k in range(size):
@@ -124,7 +132,8 @@ def prints(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
 
 
 def signatures(docs: DataFrame, key: str, text: str, shingle: int, bands: int, rows: int, keep: list[str]) -> DataFrame:
-    """key, n_shingles, f1, f2, bands (keys), bits (64-bit words of the packed signature)"""
+    """key, `keep`, __rid, n_shingles, f1, f2, bands (keys), bits (64-bit words of the packed signature)"""
+    keep = [*keep, "__rid"]
 
     def run(batches):
         per = 64 // BITS
@@ -150,9 +159,14 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int, bands: int, r
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(map(len, sets), pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, longs), pa.array(packed, longs)], names=[key, *keep, "n_shingles", "f1", "f2", "bands", "bits"])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    source = docs.select(key, *keep[:-1], row_id(key, text).alias("__rid"), F.col(text).alias("__text"))
+    kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in (key, *keep))
     schema = f"{kept}, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>"
-    return docs.select(key, *keep, F.col(text).alias("__text")).mapInArrow(released(run), schema)
+    return source.mapInArrow(released(run), schema)
+
+
+def row_id(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key), F.col(text))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,26 +204,53 @@ def estimate(a: str, b: str, hashes: int) -> F.Column:
     return (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def measured(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, hashes: int, near_only: bool = True) -> DataFrame:
-    """u, v, linked, common (size of the intersection), extra (what u has and v hasn't) of the pairs (u, v) whose estimate is near enough, or of all."""
+def measured(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, threshold: float, hashes: int, near_only: bool = True) -> DataFrame:
+    """u, v, linked, common (size of the intersection), extra (what u has and v hasn't) of the pairs (u, v) whose estimate is near enough, or of all.
+
+    Texts travel rather than sets, which are larger and don't compress; a hub's text goes to many tasks.
+    """
     small = lambda c: classes.select(F.col("vid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
     near = pairs if not near_only else pairs.join(small("u"), "u").join(small("v"), "v").where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")).where(estimate("bu", "bv", hashes) >= threshold - MARGIN).select("u", "v")
-    full = near.join(sets.select(F.col("vid").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("vid").alias("v"), F.col("set").alias("sv")), "v")
+    near = materialize(near)
+    hubs = materialize(near.groupBy("v").agg(F.count("*").alias("n")))
+    named = lambda c: texts.select(F.col("vid").alias(c), F.col("text").alias(f"t{c}"))
+    full = joined_by_hot_keys(near.join(named("u"), "u"), hubs, ["v"], F.col("u"), other=hubs.join(named("v"), "v").select("v", "tv"))
     percent = round(threshold * 100)
 
+    def run(batches):
+        last, y = None, None
+        for batch in batches:
+            at, v, of = 0, batch.column("v").to_pylist(), batch.column("tv")
+            for some in portions(batch.column("tu").to_pylist()):
+                linked, common, extra = [], [], []
+                for i, x in enumerate(shingles(some, shingle), at):
+                    if v[i] != last:
+                        last, y = v[i], shingles([of[i].as_py()], shingle)[0]
+                    own = np.setdiff1d(x, y, assume_unique=True)
+                    both = len(x) - len(own)
+                    linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                    common.append(both)
+                    extra.append(own.tobytes())
+                ids = [batch.column(c).slice(at, len(some)) for c in ("u", "v")]
+                at += len(some)
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(linked, pa.bool_()), pa.array(common, pa.int64()), pa.array(extra, pa.binary())], names=["u", "v", "linked", "common", "extra"])
+
+    return full.select("u", "v", "tu", "tv").mapInArrow(released(run), "u long, v long, linked boolean, common long, extra binary")
+
+
+def texts_elements(rows: DataFrame, shingle: int) -> DataFrame:
+    """vid, e for each shingle e of vid's `text`."""
+
     def run(batches):
         for batch in batches:
-            linked, common, extra = [], [], []
-            for a, b in zip(batch.column("su"), batch.column("sv")):
-                x, y = (np.frombuffer(s.as_buffer(), U) for s in (a, b))
-                own = np.setdiff1d(x, y, assume_unique=True)
-                both = len(x) - len(own)
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-                common.append(both)
-                extra.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(common, pa.int64()), pa.array(extra, pa.binary())], names=["u", "v", "linked", "common", "extra"])
+            at = 0
+            for some in portions(batch.column("text").to_pylist()):
+                sets = shingles(some, shingle)
+                vid = batch.column("vid").slice(at, len(some)).to_numpy()
+                at += len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(vid, [len(x) for x in sets])), pa.array(np.concatenate(sets).astype(np.int64))], names=["vid", "e"])
 
-    return full.mapInArrow(released(run), "u long, v long, linked boolean, common long, extra binary")
+    return rows.select("vid", "text").mapInArrow(released(run), "vid long, e long")
 
 
 def elements(rows: DataFrame) -> DataFrame:
@@ -224,7 +265,7 @@ def elements(rows: DataFrame) -> DataFrame:
     return rows.select("vid", "part").mapInArrow(released(run), "vid long, e long")
 
 
-def beyond_hubs(open_ids: DataFrame, delta: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def beyond_hubs(open_ids: DataFrame, delta: DataFrame, texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(vid, inner), (vid, e, f): how many elements of a class some hub has too; its others, if they occur again, with their number of classes.
 
     Two classes share at most the smaller `inner` of elements that hubs have, and all else they share is among the
@@ -233,7 +274,7 @@ def beyond_hubs(open_ids: DataFrame, delta: DataFrame, sets: DataFrame) -> tuple
     known = delta.join(open_ids, F.col("u") == F.col("vid"), "left_semi")
     whole = open_ids.join(known.select("u"), F.col("vid") == F.col("u"), "left_anti").unionByName(known.select(F.col("v").alias("vid"))).distinct()
     own = materialize(elements(known.select(F.col("u").alias("vid"), F.col("extra").alias("part"))))
-    hubs = elements(sets.join(whole, "vid", "left_semi").select("vid", F.col("set").alias("part")))
+    hubs = texts_elements(texts.join(whole, "vid", "left_semi"), shingle)
     stats = own.select("e", F.lit(1).alias("f"), F.lit(0).alias("hub")).unionByName(hubs.select("e", F.lit(0).alias("f"), F.lit(1).alias("hub"))).groupBy("e").agg(F.sum("f").alias("f"), F.max("hub").alias("hub")).where("f > 1 OR (f = 1 AND hub = 1)")
     again = materialize(own.join(stats, "e"))
     counted = again.groupBy("vid").agg(F.sum("hub").alias("more"))
@@ -268,47 +309,34 @@ def residual(sized: DataFrame, outer: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """vid, set (sorted hashes as bytes) of the classes in `wanted` (vid, id, f1, f2), read again from one of their texts."""
-
-    def run(batches):
-        for batch in batches:
-            vids, f1, f2 = (batch.column(c).to_pylist() for c in ("vid", "f1", "f2"))
-            at, out, names = 0, [], []
-            for some in portions(batch.column("__text").to_pylist()):
-                sets = shingles(some, shingle)
-                for i, (s, a, b) in enumerate(zip(sets, *prints(sets))):
-                    if (a, b) == (f1[at + i], f2[at + i]):  # a repeated id may bring another text
-                        names.append(vids[at + i])
-                        out.append(s.tobytes())
-                at += len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["vid", "set"])
-
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("__text")).join(wanted.select("vid", "id", "f1", "f2"), "id")
-    return rows.select("vid", "f1", "f2", "__text").mapInArrow(released(run), "vid long, set binary")
+def class_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """vid, text of the classes in `wanted` (vid, id, rid), read again from one of their rows; once for each row that is repeated."""
+    rows = docs.select(F.col(key).alias("__id"), row_id(key, text).alias("rid"), F.col(text).alias("text"))
+    return rows.join(wanted.select("vid", "id", "rid"), "rid").where(F.col("id").eqNullSafe(F.col("__id"))).select("vid", "text")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.75, bands: int = 32, rows: int = 4, keep: list[str] | None = None) -> DataFrame:
     """key, `keep`, n_shingles, component_id, kept: one row for each row of `docs`."""
-    return grouped(docs, key, text, shingle, threshold, bands, rows, keep).drop("__group")
+    return grouped(docs, key, text, shingle, threshold, bands, rows, keep).drop("__group", "__rid")
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.75, bands: int = 32, rows: int = 4, keep: list[str] | None = None) -> DataFrame:
-    """Like near_duplicates, with the group's number in `__group` (null for rows that are in none): groups can share a component_id where ids repeat."""
+    """Like near_duplicates, with the digest of id and text in `__rid` and the group's number in `__group` (null for rows that are in none): groups can share a component_id where ids repeat."""
     keep = keep or []
     sig = materialize(signatures(docs, key, text, shingle, bands, rows, keep))
     hashes = bands * rows
-    alike = sig.where((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy("f1", "f2").agg(F.min(F.struct(F.col(key).alias("id"), "n_shingles", "bands", "bits")).alias("s"))
+    one = F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("id"), F.col("__rid").alias("rid"), "n_shingles", "bands", "bits")
+    alike = sig.where(F.col("n_shingles") > 0).groupBy("f1", "f2").agg(F.min(one).alias("s"))
     classes = materialize(alike.select(F.monotonically_increasing_id().alias("vid"), "f1", "f2", "s.*"))
     links = linked(docs, classes, key, text, shingle, threshold, hashes)
     root = components(links)
     rooted = classes.join(root, F.col("vid") == F.col("node"), "left").select("f1", "f2", "id", F.coalesce("root", "vid").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("least"))
     named = rooted.join(least, "root").select("f1", "f2", "least", "root")
-    out = sig.select(key, *keep, "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
-    member = (F.col("n_shingles") > 0) & F.col(key).isNotNull()
+    out = sig.select(key, *keep, "__rid", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
+    member = F.col("n_shingles") > 0
     component = F.when(member, F.col("least")).otherwise(F.col(key))
-    return out.select(key, *keep, "n_shingles", component.alias("component_id"), F.when(member, F.col("root")).alias("__group")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    return out.select(key, *keep, "__rid", "n_shingles", component.alias("component_id"), F.when(member, F.col("root")).alias("__group")).withColumn("kept", F.col(key) == F.col("component_id"))
 
 
 def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, threshold: float, hashes: int) -> DataFrame:
@@ -319,11 +347,11 @@ def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: in
     weight = placed.groupBy("vid").agg(F.sum("n").alias("w"))
     placed = materialize(placed.join(weight, "vid"))  # bucket, vid, n, w
     wanted = classes.join(placed.select("vid").distinct(), "vid", "left_semi")
-    sets = materialize(class_sets(docs, wanted, key, text, shingle))
-    if sets.count() > wanted.count():  # repeated ids with the same text
-        sets = materialize(sets.dropDuplicates(["vid"]))
+    texts = materialize(class_texts(docs, wanted, key, text))
+    if texts.count() > wanted.count():  # repeated rows
+        texts = materialize(texts.dropDuplicates(["vid"]))
     wanted = wanted.select("vid", "n_shingles", "bits")
-    check = lambda pairs, near_only=True: materialize(measured(pairs, wanted, sets, threshold, hashes, near_only))
+    check = lambda pairs, near_only=True: materialize(measured(pairs, wanted, texts, shingle, threshold, hashes, near_only))
     best = F.max(F.struct("w", (-F.col("vid")).alias("minus"))).alias("hub")
 
     def starred(rows: DataFrame) -> DataFrame:
@@ -349,9 +377,11 @@ def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: in
     links = materialize(links.unionByName(check(starred(again)).where("linked").select("u", "v")))
     open_ = materialize(mixed(links))
     ids = materialize(open_.select("vid").distinct())
+    if not ids.limit(1).count():
+        return links
     unmeasured = first.join(ids, F.col("u") == F.col("vid"), "left_semi").join(delta.select("u"), "u", "left_anti")
     delta = delta.unionByName(check(unmeasured, near_only=False))
-    inner, outer = beyond_hubs(ids, delta, sets)
+    inner, outer = beyond_hubs(ids, delta, texts, shingle)
     sized = open_.join(wanted.select("vid", F.col("n_shingles").alias("n")), "vid").join(inner, "vid", "left").withColumn("inner", F.coalesce("inner", "n"))
     sized = materialize(sized.select("bucket", "vid", "root", "main", "n", "inner"))
     rest = check(residual(sized, outer, threshold))
@@ -360,16 +390,14 @@ def linked(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: in
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs` that stay: one of each group, with the smallest id and among equal ids the smallest row digest."""
-    rid = F.xxhash64(F.col(key), F.col(text)).alias("__rid")
-    rows = docs.withColumn("__rid", rid)
-    found = materialize(grouped(rows, key, text, keep=["__rid"], **options))
-    kept = found.where("kept AND __group IS NOT NULL")
+    found = materialize(grouped(docs, key, text, **options).select("__rid", "__group", F.col(key).eqNullSafe(F.col("component_id")).alias("first")))
+    kept = found.where("first AND __group IS NOT NULL")
     # of a group that keeps several rows, all ids equal, those of one digest stay
-    several = kept.groupBy("__group").agg(F.min("__rid").alias("first"), F.max("__rid").alias("last")).where("first < last")
-    gone = found.where("NOT kept").select("__rid")
+    several = kept.groupBy("__group").agg(F.min("__rid").alias("least"), F.max("__rid").alias("last")).where("least < last")
+    gone = found.where("NOT first").select("__rid")
     if several.limit(1).count():
-        gone = gone.unionByName(kept.join(several, "__group").where("__rid > first").select("__rid"))
-    out = rows.join(gone.distinct(), "__rid", "left_anti")
+        gone = gone.unionByName(kept.join(several, "__group").where("__rid > least").select("__rid"))
+    out = docs.withColumn("__rid", row_id(key, text)).join(gone.distinct(), "__rid", "left_anti")
     again = kept.groupBy("__rid").count().where("count > 1").select("__rid")
     if again.limit(1).count():
         out = out.join(again, "__rid", "left_anti").unionByName(out.join(again, "__rid", "left_semi").dropDuplicates(["__rid"]))
