@@ -9,13 +9,18 @@ it is trained from a small labelled table (`labelled`: text with the spans in
 
 The CRF reads the stretches of a text around its digits, at-signs and the words
 "at" and "dot" in any case: `REACH` characters to either side, then on to the
-next white space, merged where they meet. An e-mail span
-that `complete` accepts has an "at" or "@", and the other kinds have digits. A found span that overlaps a pattern's is dropped, so the
-patterns' spans all stay.
+next white space, merged where they meet. An e-mail span that `complete` accepts
+has an "at" or "@", and the other kinds have digits, so no accepted span lies
+elsewhere. A stretch is decoded in windows of `STEP` tokens with `OVER` more on
+either side, and of a window the spans that begin among its own tokens count;
+so memory is bounded however long a text. A found span that overlaps a pattern's
+is dropped, so the patterns' spans all stay.
 
 Defined cases: a null text is empty and has none; texts are read whole; rows
-are judged one by one, so repeated ids stay; further columns are not read; an
-empty training table leaves the patterns alone.
+are judged one by one, so repeated ids and rows stay; equal scores of two label
+paths go to the label listed first; an empty table gives no rows; further
+columns are not read, whatever their names; an empty training table leaves the
+patterns alone.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 REACH = 60
+STEP, OVER = 400, 100
 TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])(?:at|dot)(?![A-Za-z])", re.IGNORECASE | re.ASCII)
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 CUES = {"at", "dot", "tel", "phone", "call", "card", "mail"}
@@ -86,22 +92,22 @@ TRAINING = [
     "call me at {phone:(415) 555-0132} after six", "phone {phone:415-555-0199} or write", "tel. {phone:020 7946 0018} today", "ring {phone:555-0142} now",
     "mobile: {phone:07700 900123}.", "fax {phone:(212) 555 0188}, office", "she said {phone:0151 496 0744} is the number", "contact {phone:030-1234567} bitte",
     "numéro {phone:01 23 45 67 89} merci", "teléfono {phone:912 345 678} gracias", "Telefon {phone:(030) 901820}", "reach us on {phone:800.555.0111}, toll free",
-    "thinre {phone:(617) 555-7713} rethsh on", "onble {phone:614-555-8001} ingin in", "was {phone:942.555.3625} thth",
-    "phone {phone:+1 (415) 555-0132} now", "tel {phone:+44 20 7946 0018}, please", "the {phone:+1 (766) 555-2373} is", "to {phone:+33 1 23 45 67 89}.",
+    "under {phone:(617) 555-0171} until noon", "or {phone:614-555-0126} in May", "was {phone:303.555.0164} then",
+    "phone {phone:+1 (415) 555-0132} now", "tel {phone:+44 20 7946 0018}, please", "the {phone:+1 (206) 555-0147} is", "to {phone:+33 1 23 45 67 89}.",
     "write to {email:jane dot doe at mail dot com} soon", "mail {email:bob [at] example [dot] org} please", "{email:info (at) firma (dot) de} schreiben", "ask {email:sales at shop dot net}, thanks",
-    "address {email:max.mustermann [at] mail.example.com} or", "e-mail: {email:anna_k (at) web.de}.", "thly {email:reader at mail7 dot example dot com} bleedon",
+    "address {email:max.mustermann [at] mail.example.com} or", "e-mail: {email:anna_k (at) web.de}.", "then {email:reader at post dot example dot com} again",
     "or {email:joe at corp dot com} today with 12 others", "to {email:mary dot lee [at] x [dot] org}, then 3 more", "and {email:tom (at) mail dot net} was there in 2020", "the {email:team at example dot org} of 5", "via {email:kim at data dot io} or at the desk 4",
-    "write {email:jane.doe@mail.com} soon", "thinbleing.{email:27@mail6.example.com} bleedon", "mail to {email:a_b@x.org}, please",
-    "from {ip:97.51.17.173} to", "host {ip:192.168.0.1} is up", "server {ip:43.21.141.162}, down", "at {ip:8.8.8.8}.", "| {ip:106.158.249.239} |",
-    "card {card:4111 1111 1111 1111} was charged", "visa {card:4111-1111-1111-1111}, expires", "mente {card:9807915762804490} raie", "number {card:5500005555555559}.", "card {card:340000000000009} amex",
+    "write {email:jane.doe@mail.com} soon", "below.{email:42@post.example.org} again", "mail to {email:a_b@x.org}, please",
+    "from {ip:203.0.113.77} to", "host {ip:192.168.0.1} is up", "server {ip:198.51.100.24}, down", "at {ip:8.8.8.8}.", "| {ip:172.16.254.3} |",
+    "card {card:4111 1111 1111 1111} was charged", "visa {card:4111-1111-1111-1111}, expires", "paid {card:6011000990139424} twice", "number {card:5500005555555559}.", "card {card:340000000000009} amex",
     "in 1998 and 2004 the", "on 2024-01-15 at noon", "version 2.0.1 of the", "page 12, line 7", "chapter 3.2 of 10", "costs 1,200.50 dollars", "the 15th of May", "pi is 3.14159 about", "room 404 on floor 4",
-    "order 1234567 shipped", "isbn 978-3-16-148410-0 book", "from 10:30 to 11:45", "10 000 people in 120 towns", "token = \"b44e15e09fd311c3cf3163b66d5a9875\" as", "a dot on the map", "meet at noon", "look at 5 pages",
+    "order 1234567 shipped", "isbn 978-3-16-148410-0 book", "from 10:30 to 11:45", "10 000 people in 120 towns", "token = \"5f1c0a7e3b9d2648c0ffee1234abcd98\" as", "a dot on the map", "meet at noon", "look at 5 pages",
     "score 3-2 at home", "lines 100-200 of it", "between 1914-1918 and", "step 1. then step 2.", "item 7: 20 kg at 30 percent", "the dot at the end", "Apache License, Version 2.0", "id 86400 of 1000000",
     "the quick brown fox jumps over the lazy dog near 12 old barns and then sleeps for the night in peace", "und der die das nicht mit einer von 7 alten zu dem im haus auf für sie ist",
     "le chat de la maison et les 3 petits dans une rue avec du pain pour le soir est", "el perro de la casa con los 4 gatos y una mesa por la noche que no es", "Released under the MIT License. Copyright 2019 the authors of it, all rights reserved by them",
-    "Thatin ofed erha. Onthe there 43.21.141.162 of, Reha inst onble thesed andin erly to the and with", "Shre hewhha thlystti 9807915762804490 rethsh on toonreeawh inhest, on in the. Erthan ofblees", "Licensed under CC BY-SA 4.0. Onthan",
-    "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" thhantou with. Esatnd. Ontiti ofonedanen", "see the house at the corner and 2 more at the lake, then look at it again", "Lyon, erndes atorat loser hendannt inenat 5 heth on the way",
-    "| thwhor | 12 | ontionwh | thatwh | onhewhly | anstatble |", "thshre 12 onble 345 the", "key=9f86d081884c7d65 end", "3 x 4 = 12", "in section 555 of law 1972", "road 66, exit 415", "sum of 555 and 0132",
+    "They came late. Of these 27 were old, Some had left early and the rest went home to sleep", "Licensed under CC BY-SA 4.0. See below",
+    "token = \"0badc0de7711aa55ee99cc33dd22ff6688004e1b\" once more. Later on. Nothing else", "see the house at the corner and 2 more at the lake, then look at it again", "Lyon, at the border of the plain, is 5 hours on the way",
+    "| apples | 12 | pears | plums | cherries | figs |", "about 12 and 345 more the", "key=9f86d081884c7d65 end", "3 x 4 = 12", "in section 555 of law 1972", "road 66, exit 415", "sum of 555 and 0132",
 ]
 
 
@@ -164,12 +170,12 @@ class Tagger:
 
 
 def complete(kind: int, inside: list[str]) -> bool:
-    """A found span must have its kind's parts: an at and a dot, or the right number of digits."""
+    """A found span must have its kind's parts: an at and a dot, four numbers, or the right number of digits, with the right sum for a card."""
     if kind == 0:
         low = [t.lower() for t in inside]
         return ("@" in low or "at" in low) and ("." in low or "dot" in low) and low[-1].isalnum()
-    digits = sum(len(t) for t in inside if t.isdigit())
-    return {1: len(inside) == 7, 2: 13 <= digits <= 19, 3: 7 <= digits <= 15}[kind]
+    digits = "".join(t for t in inside if t.isdigit() and t.isascii())
+    return {1: len(inside) == 7, 2: 13 <= len(digits) <= 19 and luhn(digits), 3: 7 <= len(digits) <= 15}[kind]
 
 
 def fit(labelled: list[str], rounds: int = 150) -> Tagger | None:
@@ -205,11 +211,51 @@ def fit(labelled: list[str], rounds: int = 150) -> Tagger | None:
     return Tagger(w, move, first, known)
 
 
-def tokens(text: str, start: int, end: int) -> list[tuple[str, bool, int, int]]:
-    out, before = [], -1
+def read_tokens(text: str, start: int, end: int):
+    before = -1
     for m in TOKEN.finditer(text, start, end):
-        out.append((m[0], m.start() != before, m.start(), m.end()))
+        yield m[0], m.start() != before, m.start(), m.end()
         before = m.end()
+
+
+def tokens(text: str, start: int, end: int) -> list[tuple[str, bool, int, int]]:
+    return [*read_tokens(text, start, end)]
+
+
+def windows(text: str):
+    """(tokens, first, last) of all stretches: the spans that begin at a token in first:last are the window's own."""
+    for a, b in stretches(text):
+        held, own = [], 0
+        for token in read_tokens(text, a, b):
+            held.append(token)
+            if len(held) == own + STEP + OVER:
+                yield held, own, own + STEP
+                held, own = held[own + STEP - OVER :], OVER
+        if len(held) > own:
+            yield held, own, len(held)
+
+
+def decoded(tagger: Tagger, texts: list[str], most: int = 20_000) -> list[list[tuple[int, int, int]]]:
+    """Spans of each text, about `most` tokens at a time."""
+    out: list[list] = [[] for _ in texts]
+    waiting, n = [], 0
+
+    def flush():
+        for (i, (held, first, last)), found in zip(waiting, tagger.spans([w[0] for _, w in waiting])):
+            low, high = held[first][2], held[last - 1][3]
+            for kind, a, b in found:
+                if low <= a < high and (not out[i] or out[i][-1][2] <= a):
+                    out[i].append((kind, a, b))
+        waiting.clear()
+
+    for i, text in enumerate(texts):
+        for window in windows(text):
+            waiting.append((i, window))
+            n += len(window[0])
+            if n >= most:
+                flush()
+                n = 0
+    flush()
     return out
 
 
@@ -249,16 +295,7 @@ def personal_data(docs: DataFrame, labelled: list[str] | None = None, key: str =
         for batch in batches:
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             base = [base_spans(t) for t in texts]
-            where, parts = [], []
-            for i, t in enumerate(texts):
-                for a, b in stretches(t):
-                    where.append(i)
-                    parts.append(tokens(t, a, b))
-            more: list[list] = [[] for _ in texts]
-            if tagger.value:
-                for lo in range(0, len(parts), 2000):
-                    for i, found in zip(where[lo : lo + 2000], tagger.value.spans(parts[lo : lo + 2000])):
-                        more[i] += found
+            more = decoded(tagger.value, texts) if tagger.value else [[] for _ in texts]
             every = []
             for own, found in zip(base, more):
                 every.append(sorted([*own, *free(found, own)]))

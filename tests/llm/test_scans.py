@@ -1,6 +1,7 @@
 """Personal data, secrets and URL rules against plain loops."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -34,6 +35,7 @@ def test_personal_data_rows(spark):
     assert one.base_sha256 == hashlib.sha256(b"email:6:12").hexdigest() and "phone:21:35" in one.spans and one.spans.startswith("email:6:12")
     assert next(r for r in got if r.n_ip).spans == "ip:2:9"
     assert pii.personal_data(spark.createDataFrame([(1, "(212) 555-0188")], "doc_id long, text string"), labelled=[]).first().spans == ""
+    assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string, spans string")).count() == 0
 
 
 def test_addresses_far_from_digits_are_decoded(spark):
@@ -50,6 +52,58 @@ def test_addresses_far_from_digits_are_decoded(spark):
     assert pii.stretches(prose) == [] and pii.stretches(("x" * 200 + "7") * 5000) == [(0, 1_005_000)]  # linear
 
 
+def test_windows_of_a_long_text_hold_every_token_once():
+    rng = random.Random(6)
+    text = "".join(rng.choice(["7 ", "at ", "x.y ", "@", "12-3 ", "(5) "]) for _ in range(6000))
+    own = [t for held, first, last in pii.windows(text) for t in held[first:last]]
+    assert own == pii.tokens(text, 0, len(text)) and max(len(held) for held, _, _ in pii.windows(text)) <= pii.STEP + 2 * pii.OVER
+    tagger = pii.fit(pii.TRAINING)
+    call = "call (415) 555-0132 now, or write to anna_k (at) web.de. Then 12 more. "
+    text = call * 400
+    found = pii.decoded(tagger, [text, call], 3000)
+    assert found[0] == [(k, a + i * len(call), b + i * len(call)) for i in range(400) for k, a, b in found[1]] and len(found[1]) == 2
+
+
+def test_long_text_of_numbers_in_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+sys.path.insert(0, '.')
+from gaugeworks.llm import pii
+tagger = pii.fit(pii.TRAINING)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = '12 345 6 ' * 110_000
+pii.base_spans(text)
+pii.decoded(tagger, [text])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 300_000  # KB
+
+
+def plain_spans(tagger, text):
+    """The tagger's spans by trying all label paths of a short text."""
+    own = pii.tokens(text, 0, len(text))
+    emit = tagger.weights[[[tagger.known.get(f, len(tagger.known)) for f in fs] for fs in pii.features([t[:2] for t in own])]].sum(1)
+    score = lambda path: tagger.first[path[0]] + sum(emit[i, k] for i, k in enumerate(path)) + sum(tagger.move[a, b] for a, b in zip(path, path[1:]))
+    path = max(itertools.product(range(len(pii.LABELS)), repeat=len(own)), key=score)
+    out = []
+    for (_, _, a, b), k in zip(own, path):
+        if k % 2:
+            out.append([(k - 1) // 2, a, b])
+        elif k:
+            out[-1][2] = b
+    return [tuple(s) for s in out if pii.complete(s[0], [t[0] for t in own if s[1] <= t[2] and t[3] <= s[2]])]
+
+
+def test_crf_spans_by_trying_all_paths():
+    tagger = pii.fit(pii.TRAINING)
+    for text in ("tel 555-0142 now", "bob at x.org", "8.8.8", "in 1998 a", "ask 415 5550"):
+        assert tagger.spans([pii.tokens(text, 0, len(text))])[0] == plain_spans(tagger, text), text
+
+
 def test_addresses_of_many_tokens():
     tagger = pii.fit(pii.TRAINING)
     for form in ("jane [dot] doe [at] mail [dot] example [dot] com", "jane dot m dot doe [at] cs [dot] mail [dot] example [dot] org"):
