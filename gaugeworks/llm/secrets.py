@@ -19,12 +19,15 @@ class), over the candidates of all documents: p-values go into bins of a tenth
 of a decade, whose counts (at most strata x 400 rows) give each stratum's cut.
 A discovery is a span of kind `random` unless it overlaps a pattern's span.
 
-Positions come from splitting the text at the matches and adding up lengths,
-so they count code points. Rows with matches are few; texts are read once and
-never shuffled, and what the tests need is kept as a table of small rows.
-
-Defined cases: a null text is empty; repeated ids stay as rows of their own;
-further columns are not read.
+Positions come from splitting the text at the matches and adding up lengths
+(code points, and bytes for cutting texts), in blocks, so that the time is
+nearly linear in the matches. Rows with matches are few; texts are read once
+and never shuffled, and what the tests need is kept as a table of small rows.
+
+Defined cases: a null text is empty; texts are read whole; repeated ids and
+rows stay as rows of their own; p-values of one bin are accepted or refused
+together; an empty table gives no rows; further columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -39,30 +42,64 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"  # a maximal run, as [0-9a-f]+ takes it
 KINDS = ("assign", "access", "hex")
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-SPAN = "array<struct<start:int,end:int>>"
+PLACE = ("start", "end", "byte_start", "byte_end")
+SPAN = f"array<struct<{','.join(f'{p}:int' for p in PLACE)}>>"
+BLOCK = 256
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with `value` worked out once however often `body` has it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(items: Column, start: Column, step, together, make, kind: str) -> Column:
+    """make(item, state before it) for each item; step(state, item) is the state after it, together(state, block) after a block.
+
+    An array grows by one copy an item, so it is built in blocks.
+    """
+
+    def of_blocks(blocks):
+        states = F.aggregate(blocks, F.struct(start.alias("s"), F.array(start).alias("all")), lambda a, b: bound(together(a["s"], b), lambda s: F.struct(s.alias("s"), F.array_append(a["all"], s).alias("all"))), lambda a: a["all"])
+        none = F.array().cast(f"array<{kind}>")
+
+        def within(block, state):
+            first = F.struct(state.alias("s"), none.alias("out"))
+            return F.aggregate(block, first, lambda a, x: F.struct(step(a["s"], x).alias("s"), F.array_append(a["out"], make(x, a["s"])).alias("out")), lambda a: a["out"])
+
+        return bound(states, lambda known: F.flatten(F.transform(blocks, lambda b, i: within(b, F.get(known, i)))))
+
+    def cut(whole):
+        count = F.ceil(F.size(whole) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(whole, i * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(whole) > 0, bound(blocks, of_blocks)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return bound(items, cut)
 
 
 def located(text: Column, pattern: str) -> Column:
-    """(start, end, match) of every match of `pattern`, leftmost and non-overlapping."""
+    """(start, end, byte_start, byte_end, match) of every match of `pattern`, leftmost and non-overlapping."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(F.length(g).alias("gap"), F.octet_length(g).alias("gap_bytes"), F.length(m).alias("n"), F.octet_length(m).alias("bytes"), m.alias("match")))
+    both = lambda c, b: F.struct(c.cast("int").alias("c"), b.cast("int").alias("b"))
+    after = lambda s, x: both(s["c"] + x["gap"] + x["n"], s["b"] + x["gap_bytes"] + x["bytes"])
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))).alias("out"))
+    def made(x, s):
+        start, byte = s["c"] + x["gap"], s["b"] + x["gap_bytes"]
+        return F.struct(start.alias("start"), (start + x["n"]).alias("end"), byte.alias("byte_start"), (byte + x["bytes"]).alias("byte_end"), x["match"].alias("match"))
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    # after the last match there is one more gap, without a match
+    matches = F.slice(pairs, 1, F.size(found))
+    return running(matches, both(F.lit(0), F.lit(0)), after, lambda s, block: F.aggregate(block, s, after), made, SPAN[6:-2] + ",match:string>")
 
 
 def base_spans(text: Column) -> list[Column]:
     none = F.array().cast(SPAN)
-    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["end"]))
+    place = lambda s: F.struct(*(s[p].alias(p) for p in PLACE))
+    bare = lambda spans: F.transform(spans, place)
     assign = located(text, ASSIGN)
     long = F.filter(F.arrays_zip(assign.alias("s"), F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), F.length).alias("n")), lambda z: z["n"] >= 8)
-    assigned = F.transform(long, lambda z: F.struct(z["s"]["start"].alias("start"), z["s"]["end"].alias("end")))
+    assigned = F.transform(long, lambda z: place(z["s"]))
     access = F.filter(located(text, ACCESS), lambda s: s["end"] - s["start"] >= 16)
     return [
         F.when(text.rlike(ASSIGN), assigned).otherwise(none).cast(SPAN),
@@ -115,7 +152,7 @@ def tested(spans: Column, text_skew: float, order_level: float) -> Column:
         serial = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + p["a"] * p["b"]) / F.greatest(power, F.lit(1e-9)) * F.sqrt(n)
         ordered = (2 * tail(F.abs(runs)) < order_level) | (2 * tail(F.abs(serial)) < order_level)
         p = F.when(ordered, 1.0).otherwise(F.greatest(uniform, F.lit(1e-39)))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), enc.alias("encoding"), F.floor(F.log2(n)).cast("int").alias("size"), F.floor(-10 * F.log10(p)).cast("int").alias("bin"))
+        return F.struct(*(s[p].alias(p) for p in PLACE), enc.alias("encoding"), F.floor(F.log2(n)).cast("int").alias("size"), F.floor(-10 * F.log10(p)).cast("int").alias("bin"))
 
     return F.transform(F.filter(spans, lambda s: encoding(s["match"]).isNotNull()), one)
 
@@ -139,12 +176,12 @@ def cuts(candidates: DataFrame, fdr: float) -> list:
 
 
 def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 20, text_skew: float = 2.0, order_level: float = 1e-3, fdr: float = 0.01, keep: list[str] | None = None) -> DataFrame:
-    """key, `keep`, n_assign, n_access, n_hex, base_sha256, spans (text), found (structs of kind, start, end)."""
+    """key, `keep`, n_assign, n_access, n_hex, base_sha256, spans (text), found (structs of kind, start, end, byte_start, byte_end)."""
     keep = keep or []
     t = F.col("__t")
     candidate = f"[A-Za-z0-9+/_=-]{{{min_length},}}"
     assign, access, hexes = base_spans(t)
-    tests = F.when(t.rlike(candidate), tested(located(t, candidate), text_skew, order_level)).otherwise(F.array().cast("array<struct<start:int,end:int,encoding:string,size:int,bin:int>>"))
+    tests = F.when(t.rlike(candidate), tested(located(t, candidate), text_skew, order_level)).otherwise(F.array().cast(SPAN[:-2] + ",encoding:string,size:int,bin:int>>"))
     rows = docs.select(key, *keep, F.coalesce(F.col(text), F.lit("")).alias("__t")).select(key, *keep, assign.alias("assign"), access.alias("access"), hexes.alias("hex"), tests.alias("tests"))
     rows = materialize(rows)
     taken = cuts(rows, fdr)
@@ -155,7 +192,7 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_length
             out = out | ((x["encoding"] == enc) & (x["size"] == size) & (x["bin"] >= cut))
         return out
 
-    tagged = lambda spans, order, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+    tagged = lambda spans, order, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["byte_start"].alias("byte_start"), s["byte_end"].alias("byte_end")))
     base = F.concat(*(tagged(F.col(k), i, k) for i, k in enumerate(KINDS)))
     random = F.filter("tests", lambda x: discovered(x) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     joined = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -164,7 +201,7 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", min_length
         .withColumn("found", F.array_sort(F.concat("base", tagged(random, len(KINDS), "random"))))
         .select(
             key, *keep, *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
-            F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("found"),
+            F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), *(s[p].alias(p) for p in PLACE))).alias("found"),
         )
     )
 
@@ -174,13 +211,14 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", marker: s
     # the row goes along as one column, so none of its names can clash
     found = secrets(docs.select(key, text, F.struct(*docs.columns).alias("__doc")), key, text, keep=["__doc"], **options)
     old = F.col("__doc")[text]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        gap = F.substring(old, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = (s["end"] > acc["at"]) & (s["start"] >= acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(marker))).otherwise(acc["out"]).alias("out"))
+    def cleaned(raw):
+        """Bytes are cut, since a place in a string is found by counting from its start; spans that overlap become one marker."""
+        furthest = lambda s, block: F.greatest(s, F.array_max(F.transform(block, lambda x: x["byte_end"])))
+        piece = lambda x, s: F.when(x["byte_start"] >= s, F.concat(F.substring(raw, s + 1, x["byte_start"] - s).cast("string"), F.lit(marker))).otherwise("")
+        pieces = running(F.col("found"), F.lit(0), lambda s, x: F.greatest(s, x["byte_end"]), furthest, piece, "string")
+        last = F.array_max(F.transform("found", lambda x: x["byte_end"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(raw, last + 1, F.octet_length(raw)).cast("string"))
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(old, acc["at"] + 1, F.length(old))))
-    new = F.when(F.size("found") > 0, clean).otherwise(old)
+    new = F.when(F.size("found") > 0, bound(old.cast("binary"), cleaned)).otherwise(old)
     return found.select(F.col("__doc").withField(text, new).alias("__doc")).select("__doc.*")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -141,6 +142,68 @@ def test_random_tokens_are_found_and_names_are_not(spark):
     assert len(found) >= 85 and set(found) == {"random:2:42"}
 
 
+def plain_tail(z):
+    x = min(max(z, -30.0), 30.0)
+    return 1 / (1 + math.exp(1.5976 * x + 0.07056 * x**3))
+
+
+def plain_test(token):
+    """(encoding, length class, bin of the p-value) of a candidate, or None: the battery as its docstring states it."""
+    if re.fullmatch("[0-9]+", token):
+        return None
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
+        enc, own, letters = "hex", token.lower(), "0123456789abcdef"
+    elif re.fullmatch("[A-Z2-7]+=*", token) and re.search("[2-7]", token):
+        enc, own, letters = "base32", token.rstrip("="), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    elif re.search("[A-Za-z]", token) and (re.search("[0-9]", token) or re.search("[a-z]", token) and re.search(".[A-Z]", token)) and not re.search("[+/_-]{3}", token):
+        enc, own, letters = "base64", token.replace("-", "+").replace("_", "/").replace("=", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    else:
+        return None
+    n, k = len(own), len(letters)
+    x = n * (k * sum((own.count(c) / n) ** 2 for c in letters) - 1)
+    skew = 2.0
+    p = 1 - plain_tail((x - (k - 1 + (n - 1) * skew)) / math.sqrt(2 * (k - 1) + 4 * n * skew))
+    v = [letters.index(c) - (k - 1) / 2 for c in own]
+    changes, high = sum((a > 0) != (b > 0) for a, b in zip(v, v[1:])), sum(a > 0 for a in v)
+    both = 2 * high * (n - high)
+    runs = (changes - both / n) / math.sqrt(max(both * (both - n) / (n * n * (n - 1)), 1e-9))
+    serial = sum(a * b for a, b in zip(v, v[1:])) / max(sum(a * a for a in v), 1e-9) * math.sqrt(n)
+    if 2 * plain_tail(abs(runs)) < 1e-3 or 2 * plain_tail(abs(serial)) < 1e-3:
+        p = 1
+    return enc, int(math.log2(n)), math.floor(-10 * math.log10(max(p, 1e-39)))
+
+
+def test_battery_and_false_discovery_control_against_plain_loops(spark):
+    rng = random.Random(9)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    make = [
+        lambda: some(secrets.ALPHABETS["base64"], rng.randint(20, 90)), lambda: some(secrets.ALPHABETS["base32"], rng.randint(20, 60)) + "=" * rng.randint(0, 3), lambda: some("0123456789ABCDEF", rng.randint(20, 80)),
+        lambda: some("aaaeeiostrn", 30) + "X" + some("aeiotn", 9), lambda: "-".join(some("abcdefgh", 6) for _ in range(5)) + "7", lambda: "abcdefghijklmnopqrstuvwxyzABC" + some("0123456789", 2), lambda: some("0123456789", 30), lambda: "A1" * 20, lambda: some("abc", 12) + some("xyzXYZ", 18),
+    ]
+    rows = [(i, "é " + " | ".join(rng.choice(make)() for _ in range(rng.randint(0, 4))) + " .") for i in range(700)]
+    found = [(i, m.start(), m.end(), plain_test(m[0])) for i, t in rows for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t)]
+    found = [x for x in found if x[3]]
+    expected = set()
+    for stratum in {x[3][:2] for x in found}:
+        bins = [x[3][2] for x in found if x[3][:2] == stratum]
+        good = [b for b in set(bins) if len(bins) * 10 ** (-b / 10) <= 0.01 * sum(c >= b for c in bins)]
+        expected |= {x[:3] for x in found if x[3][:2] == stratum and good and x[3][2] >= min(good)}
+    taken = {i: plain_secrets(t) for i, t in rows}
+    expected = {(i, a, b) for i, a, b in expected if not any(s < b and a < e for s, _, e in taken[i])}
+    got = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, s.start, s.end) for r in got for s in r.found if s.kind == "random"} == expected and 100 < len(expected) < len(found) - 100
+
+
+def test_secrets_in_a_long_text(spark):
+    """Nearly linear in the matches; bytes and code points differ; overlapping spans become one marker."""
+    n = 40_000
+    df = spark.createDataFrame([(1, "é token = abcdefgh1234 x " * n), (2, "é secret=" + "0123456789abcdef" * 2 + "-tail é")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.secrets(df.withColumn("assign", df.doc_id).withColumn("tests", df.doc_id)).collect()}
+    assert got[1].n_assign == n and got[2].n_assign == got[2].n_hex == 1
+    assert {r.doc_id: r.text for r in secrets.redacted(df).collect()} == {1: "é [SECRET] x " * n, 2: "é [SECRET] é"}
+    assert secrets.secrets(df.where("false")).count() == secrets.redacted(df.where("false")).count() == 0
+
+
 def test_url_rules(spark):
     urls = ["https://WWW.Example.com/en/x", "http://m.example.com/en/1", "http://a.net/es/?q", "http://b.net/es", "https://casino.example.org/", "https://casinos.example.org/", "https://casino.xyz/", "nothing", None, "http://net/fr/", "http://track.example.net/public/x", "http://x.net/banner/9/ad?z", "://com/"]
     rows = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
