@@ -1,20 +1,22 @@
 """Nearest neighbours by balanced posting lists.
 
-Centroids are fitted on a bounded sample (`sample` rows, those with the
-smallest hash of the id): k-means, after which a list that holds more than
-`balance` times the mean of the sample is split. They are joined into a graph
-(each with its nearest ones) that lives in memory and is searched best-first
-in batches. Every vector is posted to its nearest list and, as a boundary
-vector, to up to `copies` lists whose centroids are nearly as near, unless an
-already chosen centroid is nearer to that centroid than the vector is. A query
-reads the `least` nearest lists, and of the others those whose centroids are
-within `ratio` of its nearest one's distance, `probes` in all at most; if these hold fewer than k candidates it reads all.
-
-How many lists recall needs depends on the vectors and their number, so it is
-measured in each run: for `trial` queries (those with the smallest hash of the
-id) the true neighbours are found among all rows, and `least` and `probes` are
-raised until the nearest lists of these queries hold `target` of them. They
-are never lowered. Vectors without structure need a large share of all lists.
+Centroids are fitted on a bounded sample (those with the smallest hash of the
+id; `sample` rows, or `per_list` a list if that is more): k-means, after which a
+list that holds more than `balance` times the mean of the sample is split. They
+are joined into a graph (each with its nearest ones) that lives in memory and is
+searched best-first in batches. Every vector is posted to its nearest list and,
+as a boundary vector, to up to `copies` lists whose centroids are nearly as
+near, unless an already chosen centroid is nearer to that centroid than the
+vector is. A query reads the lists whose centroids are within `ratio` times the
+distance of its nearest one, however many these are; if they hold fewer than k
+candidates it reads all.
+
+What ratio recall needs depends on the vectors and their number, so unless it is
+given it is measured in each run: for `trial` queries (those with the smallest
+hash of the id) the true neighbours are found among all rows, and the ratio is
+the least whose lists hold `target` of them. Vectors in clusters are pruned to
+few lists; vectors without structure need a large share of all. An infinite
+ratio reads all lists, which is exact.
 
 Every row is indexed. Lists and their queries are dealt out in blocks of
 bounded size, so a list with a third of all rows (equal vectors) is many tasks.
@@ -22,8 +24,8 @@ Distances are exact, in double precision, on the original vectors.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those of another dimension than the most
-frequent one, nor rows with a null id; repeated ids are rows of their own;
-ties go to the smaller id; fewer than k candidates are all returned; an empty
+frequent one, nor rows with a null id; repeated ids are rows of their own (a copy with the
+query's id is a candidate); ties go to the smaller id; fewer than k candidates are all returned; an empty
 table gives no rows; further columns are not read.
 """
 
@@ -45,7 +47,8 @@ def kmeans(x: np.ndarray, k: int, balance: float, rounds: int = 8, seed: int = 5
     x = np.unique(x, axis=0)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = np.concatenate([squares(x[i : i + 4096], c).argmin(1) for i in range(0, len(x), 4096)])
+        part = max(1, 8_000_000 // len(c))
+        near = np.concatenate([squares(x[i : i + part], c).argmin(1) for i in range(0, len(x), part)])
         n = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -63,7 +66,7 @@ class Graph:
     def __init__(self, centroids: np.ndarray, degree: int = 24, seed: int = 5):
         self.c, n = centroids, len(centroids)
         rng = np.random.default_rng(seed)
-        near = np.concatenate([np.argsort(squares(centroids[i : i + 1024], centroids), 1)[:, 1 : degree + 1] for i in range(0, n, 1024)]) if n > 1 else np.zeros((n, 0), int)
+        near = np.concatenate([np.argsort(squares(centroids[i : i + 256], centroids), 1)[:, 1 : degree + 1] for i in range(0, n, 256)]) if n > 1 else np.zeros((n, 0), int)
         far = rng.integers(0, n, (n, 4))  # a few long edges keep the graph connected
         self.edges = np.concatenate([near, far], 1)
         self.entry = rng.permutation(n)[:16]
@@ -73,7 +76,7 @@ class Graph:
         """The k nearest centroids found and their distances, nearest first; best-first with a beam of `width`."""
         n, rows = len(self.c), np.arange(len(x))[:, None]
         k = min(k, n)
-        width = min(n, width or max(2 * k, 32))
+        width = min(n, width or max(k + k // 2, 16))
         seen = np.zeros((len(x), n), bool)
         seen[:, self.entry] = True
         ids = np.repeat(self.entry[None], len(x), 0)
@@ -115,16 +118,22 @@ class Graph:
         row, j = np.nonzero(keep)
         return row, ids[row, j]
 
-    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All centroids and their squared distances, nearest first; exact."""
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids and their distances, nearest first; exact."""
         dist = squares(x, self.c)
         ids = np.argsort(dist, 1, kind="stable")
-        return ids, np.take_along_axis(dist, ids, 1)
+        return ids, np.sqrt(np.take_along_axis(dist, ids, 1))
 
-    def probes(self, x: np.ndarray, most: int, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, dist = self.nearest(x)
-        ids, dist = ids[:, :most], np.sqrt(dist[:, :most])
-        keep = ((dist <= ratio * dist[:, :1]) | (np.arange(ids.shape[1]) < least)) & np.isfinite(dist)
+    def probes(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs: the lists within `ratio` times the nearest one's distance. The beam grows until it holds one that isn't."""
+        k, n = 32, len(self.c)
+        while True:
+            # where most lists are wanted the graph saves nothing
+            ids, dist = self.search(x, k) if k < n / 4 else self.ranked(x)
+            if ids.shape[1] == n or (dist[:, -1] > ratio * dist[:, 0]).all():
+                break
+            k *= 4
+        keep = (dist <= ratio * dist[:, :1]) & np.isfinite(dist)
         keep[:, 0] = True
         row, j = np.nonzero(keep)
         return row, ids[row, j]
@@ -154,22 +163,28 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (size[0].d if size else 0))
 
 
-def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100, sample: int = 16_000, most_lists: int = 4096, balance: float = 2.0, copies: int = 4, slack: float = 0.1, probes: int = 64, ratio: float = 1.8, least: int = 32, block: int = 20_000, trial: int = 100, target: float = 0.95) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose id is divisible by `every`."""
-    spark = vectors.sparkSession
-    rows = materialize(usable(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()))
-    n = rows.count()
-    kind = dict(rows.dtypes)["id"]
-    result = f"q long, query_id {kind}, row long, vec_id {kind}, score double"
-    if not n:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    cut = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    fitted = matrix(rows.where(F.xxhash64("id") <= cut).select("v").limit(2 * sample).toArrow().column("v"))
-    lists = int(min(most_lists, max(1, 2 * np.sqrt(n))))
-    graph = spark.sparkContext.broadcast(Graph(kmeans(fitted, min(lists, len(fitted)), balance)))  # at most 2 * most_lists vectors
-    queries = rows.where(F.col("id") % every == 0)
-
-    def listed(df: DataFrame, find) -> DataFrame:
+class Index:
+    """Posting lists of `vectors`, and the ratio to search them with."""
+
+    def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100, sample: int = 16_000, per_list: int = 8, most_lists: int = 16_384, balance: float = 2.0, copies: int = 4, slack: float = 0.1, ratio: float | None = None, trial: int = 100, target: float = 0.95):
+        self.k, self.spark = k, vectors.sparkSession
+        self.rows = materialize(usable(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()))
+        self.n, self.kind = self.rows.count(), dict(self.rows.dtypes)["id"]
+        self.queries = self.rows.where(F.col("id") % every == 0)
+        if not self.n:
+            return
+        lists = int(min(most_lists, max(1, 2 * np.sqrt(self.n))))
+        sample = max(sample, per_list * lists)
+        cut = self.rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        fitted = matrix(self.rows.where(F.xxhash64("id") <= cut).select("v").limit(2 * sample).toArrow().column("v"))
+        self.graph = self.spark.sparkContext.broadcast(Graph(kmeans(fitted, min(lists, len(fitted)), balance)))  # at most 2 * most_lists vectors
+        self.posted = materialize(self.listed(self.rows, lambda g, x: g.postings(x, copies, slack)))
+        self.ratio = self.needed(trial, target) if ratio is None else ratio
+
+    def listed(self, df: DataFrame, find) -> DataFrame:
+        """`df` with a row for each list that find(graph, vectors) gives."""
+        graph = self.graph
+
         def run(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
@@ -180,29 +195,57 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
 
         return df.mapInArrow(released(run), "list int, " + ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
 
-    posted = materialize(listed(rows, lambda g, x: g.postings(x, copies, slack)))
-    least = max(least, needed(rows, queries, posted, graph.value, k, trial, target))
-    probes = max(probes, least)
-    asked = materialize(listed(queries, lambda g, x: g.probes(x, probes, ratio, least)))
-    found = materialize(scanned(posted, asked, k, block, result))
-    enough = found.groupBy("q").agg(F.count_distinct("row").alias("n"))
-    short = queries.join(enough.where(F.col("n") >= min(k, n - 1)), F.col("row") == F.col("q"), "left_anti")
-    if short.count():
-        everywhere = listed(short, lambda g, x: (np.repeat(np.arange(len(x)), len(g.c)), np.tile(np.arange(len(g.c)), len(x))))
-        found = found.unionByName(scanned(posted, materialize(everywhere), k, block, result))
-    best = Window.partitionBy("q").orderBy("score", "vec_id", "row")
-    ranked = found.dropDuplicates(["q", "row"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def needed(rows: DataFrame, queries: DataFrame, posted: DataFrame, graph: Graph, k: int, trial: int, target: float) -> int:
-    """The nearest lists to read so that `trial` queries find `target` of their true neighbours."""
-    asked = queries.orderBy(F.xxhash64("id"), "row").limit(trial).select("row", "v").toArrow()
-    if not asked.num_rows:
-        return 0
-    own, y = asked.column("row").to_numpy(), matrix(asked.column("v"))
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast((own, y))
+    def asked(self) -> DataFrame:
+        ratio = self.ratio
+        return self.listed(self.queries, lambda g, x: g.probes(x, ratio))
+
+    def needed(self, trial: int, target: float) -> float:
+        """The ratio with which `trial` queries find `target` of their true neighbours."""
+        asked = self.queries.orderBy(F.xxhash64("id"), "row").limit(trial).select("row", "v").toArrow()
+        if not asked.num_rows:
+            return 1.0
+        own, y = asked.column("row").to_numpy(), matrix(asked.column("v"))
+        q, row = true_neighbours(self.rows, own, y, self.k)
+        if not len(q):
+            return 1.0
+        true = F.broadcast(self.spark.createDataFrame([(r,) for r in np.unique(row).tolist()], "row long"))
+        where: dict[int, list[int]] = {}
+        for r in self.posted.join(true, "row").select("row", "list").collect():  # at most trial * k * copies
+            where.setdefault(r.row, []).append(r["list"])
+        dist = np.sqrt(squares(y, self.graph.value.c))
+        least = np.maximum(dist.min(1), 1e-12)
+        ratios = np.sort([dist[i, where[r]].min() / least[i] for i, r in zip(q.tolist(), row.tolist())])
+        return float(max(1.0, ratios[int(np.ceil(target * len(ratios))) - 1]) * (1 + 1e-6))
+
+    def share_read(self) -> float:
+        """Postings read by all queries, of rows times queries."""
+        sizes = self.posted.groupBy("list").agg(F.count("*").alias("n"))
+        return self.asked().groupBy("list").agg(F.count("*").alias("m")).join(sizes, "list").agg(F.sum(F.col("n") * F.col("m"))).first()[0] / (self.n * self.queries.count())
+
+    def search(self, block: int = 20_000) -> DataFrame:
+        """query_id, rank, vec_id, score."""
+        if not self.n:
+            return self.spark.createDataFrame([], f"query_id {self.kind}, rank int, vec_id {self.kind}, score double")
+        k, result = self.k, f"q long, query_id {self.kind}, row long, vec_id {self.kind}, score double"
+        found = materialize(scanned(self.posted, materialize(self.asked()), k, block, result))
+        enough = found.groupBy("q").agg(F.count_distinct("row").alias("n"))
+        short = self.queries.join(enough.where(F.col("n") >= min(k, self.n - 1)), F.col("row") == F.col("q"), "left_anti")
+        if short.count():
+            everywhere = self.listed(short, lambda g, x: (np.repeat(np.arange(len(x)), len(g.c)), np.tile(np.arange(len(g.c)), len(x))))
+            found = found.unionByName(scanned(self.posted, materialize(everywhere), k, block, result))
+        best = Window.partitionBy("q").orderBy("score", "vec_id", "row")
+        ranked = found.dropDuplicates(["q", "row"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, block: int = 20_000, **options) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose id is divisible by `every`; the options are those of Index."""
+    return Index(vectors, key, vector, k, **options).search(block)
+
+
+def true_neighbours(rows: DataFrame, own: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the query, row) of the k nearest rows of each of a few queries (row, vector), by brute force."""
+    sent = rows.sparkSession.sparkContext.broadcast((own, y))
 
     def run(batches):  # one row a task: the k best of each query among the task's rows
         own, y = sent.value
@@ -227,19 +270,12 @@ def needed(rows: DataFrame, queries: DataFrame, posted: DataFrame, graph: Graph,
     kind = rows.limit(0).toArrow().schema.field("id").type
     parts = rows.mapInArrow(released(run), f"q array<long>, row array<long>, id array<{dict(rows.dtypes)['id']}>, score array<double>").toArrow()
     if not parts.num_rows:
-        return 0
+        return np.zeros(0, int), np.zeros(0, int)
     q, row, ids, score = (parts.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("q", "row", "id", "score"))
     order = np.lexsort([row, ids, score, q])
     q, row = q[order], row[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
-    q, row = q[place < k], row[place < k]
-    true = F.broadcast(spark.createDataFrame([(r,) for r in np.unique(row).tolist()], "row long"))
-    where: dict[int, list[int]] = {}
-    for r in posted.join(true, "row").select("row", "list").collect():  # at most trial * k * copies
-        where.setdefault(r.row, []).append(r["list"])
-    rank = np.argsort(graph.nearest(y)[0], 1)
-    depth = np.sort([rank[i, where[r]].min() for i, r in zip(q.tolist(), row.tolist())])
-    return int(depth[int(np.ceil(target * len(depth))) - 1]) + 1
+    return q[place < k], row[place < k]
 
 
 def scanned(posted: DataFrame, asked: DataFrame, k: int, block: int, result: str) -> DataFrame:

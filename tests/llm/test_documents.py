@@ -286,22 +286,37 @@ def test_neighbours(spark):
     assert ann.neighbours(df.where("false")).count() == 0
 
 
-def test_neighbours_of_many_lists_without_structure(spark):
-    """With 400 lists the 16 nearest hold too few of the neighbours: more have to be read."""
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(40_000, 64)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    table = pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
-    df = spark.createDataFrame(table)
-    got = collections.defaultdict(set)
-    for r in ann.neighbours(df, every=200, sample=4000, probes=16, least=8).collect():
-        got[r.query_id].add(r.vec_id)
+def recall(got, x, every, k=10):
+    found = collections.defaultdict(set)
+    for r in got.collect():
+        found[r.query_id].add(r.vec_id)
     hit = 0
-    for q in range(0, len(x), 200):
+    for q in range(0, len(x), every):
         d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
         d[q] = np.inf
-        hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
-    assert hit >= 0.9 * 10 * 200
+        hit += len(found[q] & set(np.argsort(d)[:k].tolist()))
+    return hit / (k * len(range(0, len(x), every)))
+
+
+def vectors(spark, x):
+    return spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+
+
+def test_neighbours_in_clusters_read_few_rows(spark):
+    """Vectors about 300 centres, as embeddings are: the ratio prunes nearly all lists, and enough is found."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(300, 32))[rng.integers(0, 300, 40_000)] + 0.45 * rng.normal(size=(40_000, 32))).astype(np.float32)
+    index = ann.Index(vectors(spark, x), every=200, sample=4000)
+    assert index.share_read() < 0.2 and recall(index.search(), x, 200) >= 0.9
+
+
+def test_neighbours_without_structure(spark):
+    """Nothing tells the lists apart, so more of them have to be read; with all of them the search is exact."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 48)).astype(np.float32)
+    df = vectors(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert recall(ann.neighbours(df, every=200, sample=4000), x / np.linalg.norm(x, axis=1, keepdims=True), 200) >= 0.9
+    assert recall(ann.neighbours(df, every=1000, sample=2000, ratio=float("inf")), x / np.linalg.norm(x, axis=1, keepdims=True), 1000) == 1
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
