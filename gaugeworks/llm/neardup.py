@@ -210,8 +210,12 @@ def measured(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     Texts travel rather than sets, which are larger and don't compress; a hub's text goes to many tasks.
     """
     small = lambda c: classes.select(F.col("vid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
-    near = pairs if not near_only else pairs.join(small("u"), "u").join(small("v"), "v").where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")).where(estimate("bu", "bv", hashes) >= threshold - MARGIN).select("u", "v")
-    near = materialize(near)
+    near = materialize(pairs)
+    if near_only:
+        hubs = near.groupBy("v").agg(F.count("*").alias("n"))
+        both = joined_by_hot_keys(near.join(small("u"), "u"), hubs, ["v"], F.col("u"), other=hubs.join(small("v"), "v").drop("n"))
+        alike = (F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")) & (estimate("bu", "bv", hashes) >= threshold - MARGIN)
+        near = materialize(both.where(alike).select("u", "v"))
     hubs = materialize(near.groupBy("v").agg(F.count("*").alias("n")))
     named = lambda c: texts.select(F.col("vid").alias(c), F.col("text").alias(f"t{c}"))
     full = joined_by_hot_keys(near.join(named("u"), "u"), hubs, ["v"], F.col("u"), other=hubs.join(named("v"), "v").select("v", "tv"))
