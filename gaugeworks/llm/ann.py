@@ -7,9 +7,10 @@ are joined into a graph (each with its nearest ones) that lives in memory and is
 searched best-first in batches. Every vector is posted to its nearest list and,
 as a boundary vector, to up to `copies` lists whose centroids are nearly as
 near, unless an already chosen centroid is nearer to that centroid than the
-vector is. A query reads the lists whose centroids are within `ratio` times the
-distance of its nearest one, however many these are; if they hold fewer than k
-candidates it reads all.
+vector is. A query reads its nearest list, and those whose centroids are within `ratio`
+times the distance of its `base`-th nearest one, however many these are; if they
+hold fewer than k candidates it reads all. (The distance of the very nearest one
+varies too much to compare with.)
 
 What ratio recall needs depends on the vectors and their number, so unless it is
 given it is measured in each run: for `trial` queries (those with the smallest
@@ -124,16 +125,17 @@ class Graph:
         ids = np.argsort(dist, 1, kind="stable")
         return ids, np.sqrt(np.take_along_axis(dist, ids, 1))
 
-    def probes(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: the lists within `ratio` times the nearest one's distance. The beam grows until it holds one that isn't."""
-        k, n = 32, len(self.c)
+    def probes(self, x: np.ndarray, ratio: float, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs: the lists within `ratio` times the distance of the `base`-th nearest one. The beam grows until it holds one that isn't."""
+        n = len(self.c)
+        k, base = max(32, 2 * base), min(base, n)
         while True:
             # where most lists are wanted the graph saves nothing
             ids, dist = self.search(x, k) if k < n / 4 else self.ranked(x)
-            if ids.shape[1] == n or (dist[:, -1] > ratio * dist[:, 0]).all():
+            if ids.shape[1] == n or (dist[:, -1] > ratio * dist[:, base - 1]).all():
                 break
             k *= 4
-        keep = (dist <= ratio * dist[:, :1]) & np.isfinite(dist)
+        keep = (dist <= ratio * dist[:, base - 1 : base]) & np.isfinite(dist)
         keep[:, 0] = True
         row, j = np.nonzero(keep)
         return row, ids[row, j]
@@ -166,8 +168,8 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 class Index:
     """Posting lists of `vectors`, and the ratio to search them with."""
 
-    def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100, sample: int = 16_000, per_list: int = 8, most_lists: int = 16_384, balance: float = 2.0, copies: int = 4, slack: float = 0.1, ratio: float | None = None, trial: int = 100, target: float = 0.95):
-        self.k, self.spark = k, vectors.sparkSession
+    def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100, sample: int = 16_000, per_list: int = 8, most_lists: int = 16_384, balance: float = 2.0, copies: int = 2, slack: float = 0.1, ratio: float | None = None, base: int = 4, trial: int = 100, target: float = 0.95):
+        self.k, self.base, self.spark = k, base, vectors.sparkSession
         self.rows = materialize(usable(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()))
         self.n, self.kind = self.rows.count(), dict(self.rows.dtypes)["id"]
         self.queries = self.rows.where(F.col("id") % every == 0)
@@ -196,8 +198,8 @@ class Index:
         return df.mapInArrow(released(run), "list int, " + ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
 
     def asked(self) -> DataFrame:
-        ratio = self.ratio
-        return self.listed(self.queries, lambda g, x: g.probes(x, ratio))
+        ratio, base = self.ratio, self.base
+        return self.listed(self.queries, lambda g, x: g.probes(x, ratio, base))
 
     def needed(self, trial: int, target: float) -> float:
         """The ratio with which `trial` queries find `target` of their true neighbours."""
@@ -213,9 +215,11 @@ class Index:
         for r in self.posted.join(true, "row").select("row", "list").collect():  # at most trial * k * copies
             where.setdefault(r.row, []).append(r["list"])
         dist = np.sqrt(squares(y, self.graph.value.c))
-        least = np.maximum(dist.min(1), 1e-12)
-        ratios = np.sort([dist[i, where[r]].min() / least[i] for i, r in zip(q.tolist(), row.tolist())])
-        return float(max(1.0, ratios[int(np.ceil(target * len(ratios))) - 1]) * (1 + 1e-6))
+        order = np.sort(dist, 1)
+        far = np.maximum(order[:, min(self.base, order.shape[1]) - 1], 1e-12)
+        # the nearest list is read in any case
+        ratios = np.sort([0.0 if least <= order[i, 0] else least / far[i] for i, least in ((i, dist[i, where[r]].min()) for i, r in zip(q.tolist(), row.tolist()))])
+        return float(ratios[int(np.ceil(target * len(ratios))) - 1] * (1 + 1e-6))
 
     def share_read(self) -> float:
         """Postings read by all queries, of rows times queries."""
