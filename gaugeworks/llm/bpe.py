@@ -14,6 +14,7 @@ one id; further columns are not read; an empty table gives no rows. The pieces
 of texts are memoised with their ids and the bytes decoded from these: the
 memo has two generations of about `memo_size` pieces, and what the younger one
 lacks comes from the older one or is encoded, all new pieces of a batch at once.
+Of a task's memo a few thousand pieces stay for the next one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import base64
 import gc
 import hashlib
 import re
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -113,7 +115,7 @@ class BytePairs:
                 return True
 
     def new_pair(self, left: int, token: int) -> bool:
-        if len(self.fits) > 400_000:
+        if len(self.fits) > 200_000:
             self.fits.clear()
         good = left < 0 or self.fit(self.tokens[left], self.tokens[token])
         self.fits[left * self.base + token] = good
@@ -211,10 +213,15 @@ class Memo:
         return out
 
 
+    def forget(self, hot: int = 5000) -> None:
+        """Keep what a generation met first: these are mostly its most frequent keys."""
+        self.old, self.young = {}, dict(islice(self.young.items(), hot))
+
+
 class TextEncoder:
     """Encoder of whole texts: pretokens by `pattern`, each encoded separately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_size: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_size: int = 150_000):
         import regex
 
         self.pairs, self.find = BytePairs(ranks), regex.compile(pattern).findall
@@ -282,7 +289,7 @@ class TextEncoder:
         return self.pairs.decode(ids)
 
 
-def slices(batches, rows: int = 1000, size: int = 2_000_000):
+def slices(batches, rows: int = 500, size: int = 1_500_000):
     """(batch, its texts): smaller batches, so that the strings of one are few."""
     for batch in batches:
         at, texts, n = 0, [], 0
@@ -310,7 +317,7 @@ def encoder(path: str, pattern: str, memo_size: int) -> TextEncoder:
     return _encoders[key]
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, memo_size: int = 200_000, ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, memo_size: int = 150_000, ids: bool = True) -> DataFrame:
     """Encode and decode each text: key, `keep` columns, n_tokens, ids (decimal, space-joined; if wanted), ids_sha256, decoded_sha256.
 
     Map-only: no shuffle, and the vocabulary file is read once a worker.
@@ -329,5 +336,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             coded, decoded = ([hashlib.sha256(x).hexdigest() for x in xs] for xs in ((s.encode() for s, _ in pairs), (raw for _, raw in pairs)))
             columns = [batch.column(c) for c in keep] + [pa.array(n, pa.int64())] + [pa.array([s for s, _ in pairs], pa.string())] * ids + [pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"])
+        enc.words.forget()
+        enc.pieces.forget()
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(released(run), schema)
