@@ -47,6 +47,18 @@ def money(value) -> Column:
     return F.lit(value).cast(MONEY)
 
 
+def bloom_positions(item: Column, bits: int, hashes: int) -> Column:
+    """The bits of an item in a Bloom filter, by double hashing: (h1 + i * h2) mod bits, h1 and h2 being SHA-256 of the item and of the item with ":salt"."""
+
+    def rest(text: Column) -> Column:
+        digits = F.sha2(text, 256)
+        words = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.conv(F.substring(digits, 4 * k + 1, F.lit(4)), 16, 10).cast("long"))
+        return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: (acc * 65_536 + w) % bits)
+
+    both = F.struct(rest(item).alias("one"), rest(F.concat(item, F.lit(":salt"))).alias("two"))
+    return F.transform(F.array(both), lambda h: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (h["one"] + i * h["two"]) % bits))[0]
+
+
 def bloom_size(elements: int, false_positives: float) -> tuple[int, int]:
     """Bits and hash functions of a Bloom filter."""
     bits = max(64, int(-elements * math.log(false_positives) / math.log(2) ** 2))

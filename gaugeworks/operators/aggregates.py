@@ -51,13 +51,21 @@ def open_windows(rows: DataFrame, watermarks: DataFrame) -> DataFrame:
     return on_time(rows).join(watermarks, "partition", "left").where("watermark IS NULL OR watermark < window_end").drop("watermark")
 
 
-def corrections(rows: DataFrame, base: DataFrame) -> DataFrame:
-    """One revision for each late event, each on top of the one before; without a revision 0 from a base of 0."""
-    late = rows.where("is_late").join(base.select(*KEY, F.col("quantity").alias("__q"), F.col("event_count").alias("__n")), KEY, "left")
-    chain = Window.partitionBy(*KEY).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("offset"))
-    quantity = (F.coalesce("__q", F.lit(0).cast(MONEY)) + F.sum("quantity").over(chain)).cast(MONEY)
-    return late.select("tenant_id", "metric", "partition", "window_start", "window_end", quantity.alias("quantity"), (F.coalesce("__n", F.lit(0)) + nth).cast("long").alias("event_count"), nth.alias("revision"), F.col("watermark").alias("sealed_at"))
+def corrections(rows: DataFrame, base: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """One revision for each late event, each on top of the one before; without a revision 0 from a base of 0.
+
+    A window's late events are summed by chunks of offsets, and within a chunk on top of the chunks before it.
+    """
+    late = rows.where("is_late").withColumn("__chunk", F.floor(F.col("offset") / chunk))
+    sums = late.groupBy(*KEY, "__chunk").agg(F.sum("quantity").alias("__q"), F.count("*").alias("__n"))  # a row a chunk
+    earlier = Window.partitionBy(*KEY).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(MONEY)
+    before = sums.select(*KEY, "__chunk", F.coalesce(F.sum("__q").over(earlier), zero).alias("__q"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"))
+    before = before.join(base.select(*KEY, F.col("quantity").alias("__q0"), F.col("event_count").alias("__n0")), KEY, "left")
+    inner = Window.partitionBy(*KEY, "__chunk").orderBy("offset")
+    nth = F.col("__n") + F.row_number().over(inner)
+    quantity = (F.coalesce("__q0", zero) + F.col("__q") + F.sum("quantity").over(inner.rowsBetween(Window.unboundedPreceding, 0))).cast(MONEY)
+    return late.join(before, [*KEY, "__chunk"]).select("tenant_id", "metric", "partition", "window_start", "window_end", quantity.alias("quantity"), (F.coalesce("__n0", F.lit(0)) + nth).cast("long").alias("event_count"), nth.cast("int").alias("revision"), F.col("watermark").alias("sealed_at"))
 
 
 def revisions(rows: DataFrame) -> DataFrame:

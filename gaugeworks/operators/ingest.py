@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 REQUIRED = ("event_id", "tenant_id", "metric", "quantity", "occurred_at", "received_at")
 MAX_BATCH = 1000
+#: Fixed texts of the outcomes.
+MESSAGES = {
+    "OK": "Accepted for ingestion",
+    "DUPLICATE_EVENT": "Event already acknowledged (idempotent)",
+    "LOW_PRIORITY_SHED": "Event shed due to critical produce buffer saturation",
+    "INVALID_SCHEMA": "Event does not fit the schema",
+}
 
 
 def invalid(prefix: str = "") -> Column:
@@ -37,14 +44,27 @@ def shed(events: DataFrame, depth: Column, shed_mark: int = 15_000, high_mark: i
 
 
 def outcomes(deliveries: DataFrame, order: list[str]) -> DataFrame:
-    """One row for each delivery: accepted and reason_code. deliveries: with reason_code (validation) and is_shed.
+    """One row for each delivery: outcome, accepted and message. deliveries: with reason_code (validation) and is_shed.
 
     A repeated id is accepted, as a duplicate; the first admitted delivery is the one that counts.
     """
     admitted = F.when((F.col("reason_code") == "OK") & ~F.col("is_shed"), 1).otherwise(0)
     earlier = F.coalesce(F.sum(admitted).over(Window.partitionBy("event_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     code = F.when(F.col("reason_code") != "OK", F.col("reason_code")).when(F.col("is_shed"), "LOW_PRIORITY_SHED").when(earlier > 0, "DUPLICATE_EVENT").otherwise("OK")
-    return deliveries.withColumn("outcome", code).withColumn("accepted", F.col("outcome").isin("OK", "DUPLICATE_EVENT"))
+    said = F.create_map(*(F.lit(x) for pair in MESSAGES.items() for x in pair))
+    return deliveries.withColumn("outcome", code).withColumn("accepted", F.col("outcome").isin("OK", "DUPLICATE_EVENT")).withColumn("message", F.element_at(said, F.col("outcome")))
+
+
+def results(outcome_rows: DataFrame, batch: list[str], order: list[str]) -> DataFrame:
+    """The result of each id in each batch: that of its last delivery, since later ones overwrite."""
+    last = F.max_by(F.struct("accepted", F.col("outcome").alias("reason_code"), "message"), F.struct(*order))
+    return outcome_rows.groupBy(*batch, "event_id").agg(last.alias("r")).select(*batch, "event_id", "r.*")
+
+
+def result_maps(outcome_rows: DataFrame, batch: list[str], order: list[str]) -> DataFrame:
+    """One row a batch: its results by event id. A batch has MAX_BATCH events at most (`check_batch`)."""
+    entry = F.struct("event_id", F.struct("event_id", "accepted", "reason_code", "message"))
+    return results(outcome_rows, batch, order).where("event_id IS NOT NULL").groupBy(*batch).agg(F.map_from_entries(F.collect_list(entry)).alias("results"))
 
 
 def response(outcome_rows: DataFrame, batch: list[str], order: list[str]) -> DataFrame:

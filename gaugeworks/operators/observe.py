@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def end_offsets(log: DataFrame) -> DataFrame:
@@ -37,8 +37,34 @@ def overview(lags: DataFrame, watermarks: DataFrame, now) -> DataFrame:
     return rows.select("partition", "end_offset", "lag", F.coalesce(gap, F.lit(0).cast("long")).alias("watermark_lag_ms"))
 
 
-def buffer_percent(depth: int, shed_mark: int) -> int:
-    return min(100, int(depth / shed_mark * 100 + 0.5))
+def buffer_percent(depth: Column, shed_mark: int) -> Column:
+    """Filling of the produce buffer, 100 at most, a half rounded up."""
+    return F.least(F.lit(100), F.floor(depth / shed_mark * 100 + 0.5).cast("int"))
+
+
+def pipeline_status(lags: DataFrame, outcome_rows: DataFrame, processed: DataFrame, outbox: DataFrame, now, high_mark: int = 10_000, shed_mark: int = 15_000) -> DataFrame:
+    """One row: depth of the buffer (what is not consumed yet) and its marks, and the counts of shed events, known ids and messages to send."""
+    one = lags.agg(F.coalesce(F.sum("lag"), F.lit(0)).cast("long").alias("buffer_depth"))
+    for count in (outcome_rows.agg(F.count_if(F.col("outcome") == "LOW_PRIORITY_SHED").alias("shed_count")), processed.agg(F.count("*").alias("bloom_count")), outbox.agg(F.count_if(F.col("published_at").isNull()).alias("outbox_pending"))):
+        one = one.join(F.broadcast(count), how="full_outer", on=F.lit(True))  # a row each
+    marks = (F.lit(high_mark).alias("high_watermark"), F.lit(shed_mark).alias("shed_watermark"), buffer_percent(F.col("buffer_depth"), shed_mark).alias("buffer_percent"))
+    return one.select(F.lit("healthy").alias("status"), now.alias("timestamp"), "buffer_depth", *marks, "shed_count", "bloom_count", "outbox_pending")
+
+
+def health(status: DataFrame) -> DataFrame:
+    return status.select("status", "buffer_depth", "timestamp")
+
+
+def metrics(status: DataFrame) -> DataFrame:
+    return status.select("buffer_depth", "shed_count", "bloom_count")
+
+
+def tenant(tenants: DataFrame, tenant_id: str) -> DataFrame:
+    return tenants.where(F.col("tenant_id") == tenant_id)
+
+
+def tenant_list(tenants: DataFrame) -> DataFrame:
+    return tenants.orderBy("tenant_id")
 
 
 def tenant_upsert(existing: DataFrame, changes: DataFrame) -> DataFrame:

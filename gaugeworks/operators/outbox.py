@@ -15,7 +15,7 @@ def messages(revs: DataFrame) -> DataFrame:
     key = aggregate_key(F.col("tenant_id"), F.col("metric"), F.col("window_start"), F.col("revision"))
     payload = F.to_json(F.struct("tenant_id", "metric", "window_start", "window_end", F.col("quantity").cast("string").alias("quantity"), "event_count", "revision", "sealed_at"), WIRE_TIMES)
     rows = revs.withColumn("aggregate_key", key).withColumn("payload", payload).withColumn("created_at", F.col("sealed_at"))
-    out = numbered_globally(rows, "tenant_id", ["metric", "window_start", "revision"])
+    out = numbered_globally(rows, ["tenant_id", "metric"], ["window_start", "revision"])
     return out.select("id", "aggregate_key", "payload", "tenant_id", "metric", "window_start", "revision", "quantity", "event_count", "created_at")
 
 
@@ -50,11 +50,23 @@ def delivery_counts(deliveries: DataFrame) -> DataFrame:
     return deliveries.groupBy("aggregate_key").agg(F.count("*").alias("delivery_count"))
 
 
+def of_window(outbox: DataFrame, tenant_id: str, metric: str, window_start: str) -> DataFrame:
+    """Messages of all revisions of one window: those whose key begins with tenant:metric:start (in UTC, without its offset)."""
+    return outbox.where(F.col("aggregate_key").startswith(f"{tenant_id}:{metric}:{window_start}+"))
+
+
+def memory_sink(df: DataFrame, failing: bool = False) -> DataFrame:
+    """Deliveries to a sink that takes everything, or nothing while it fails: id and delivered."""
+    return df.select("id", F.lit(not failing).alias("delivered"))
+
+
 def webhook(df: DataFrame, url: str, timeout: float = 5.0) -> DataFrame:
-    """POST each message with its key as idempotency header; id and delivered (200, 201 or 202). Run it from foreachBatch."""
+    """POST {aggregate_key, payload} with the key as idempotency header; id and delivered (200, 201 or 202). Run it from foreachBatch."""
 
     def send(batches):
+        import json
         import urllib.request
+        from http.client import HTTPException
 
         import pandas as pd
 
@@ -62,10 +74,11 @@ def webhook(df: DataFrame, url: str, timeout: float = 5.0) -> DataFrame:
             done = []
             for m in pdf.itertuples():
                 try:
-                    request = urllib.request.Request(url, m.payload.encode(), {"Content-Type": "application/json", "Idempotency-Key": m.aggregate_key})
+                    body = json.dumps({"aggregate_key": m.aggregate_key, "payload": json.loads(m.payload)}).encode()
+                    request = urllib.request.Request(url, body, {"Content-Type": "application/json", "X-Idempotency-Key": m.aggregate_key})
                     with urllib.request.urlopen(request, timeout=timeout) as answer:
                         done.append(answer.status in (200, 201, 202))
-                except OSError:
+                except (OSError, HTTPException):
                     done.append(False)
             yield pd.DataFrame({"id": pdf["id"], "delivered": done})
 

@@ -30,14 +30,17 @@ def synced(counts: DataFrame, exact: DataFrame) -> DataFrame:
     return counts.select("tenant_id", "metric", "usage").join(exact.select("tenant_id", "metric", F.col("quantity").alias("exact")), ["tenant_id", "metric"], "full_outer").select("tenant_id", "metric", F.coalesce("exact", "usage").cast(MONEY).alias("usage"), F.col("exact").isNotNull().alias("overridden"))
 
 
-def checked(usage: DataFrame, tenants: DataFrame, proposed: int = 0) -> DataFrame:
-    """allowed if usage + proposed <= limit; a metric without quota is unlimited, an unknown tenant has the default limit."""
+def checked(usage: DataFrame, tenants: DataFrame, proposed: int = 0, as_of=None) -> DataFrame:
+    """allowed if usage + proposed <= limit; a metric without quota is unlimited, an unknown tenant has the default limit.
+
+    as_of: the time of the check, now if none is given. Counters are the approximate path, so every result says so.
+    """
     known = small(tenants.select("tenant_id", "plan"))
     limits = quotas(tenants).drop("plan")
     rows = usage.join(known, "tenant_id", "left").join(small(limits), ["tenant_id", "metric"], "left")
     limit = F.when(F.col("plan").isNull(), F.lit(DEFAULT_LIMIT).cast(MONEY)).otherwise(F.col("limit"))
     allowed = limit.isNull() | (F.col("usage") + F.lit(proposed).cast(MONEY) <= limit)
-    return rows.select("tenant_id", "metric", F.col("usage").alias("current_usage"), limit.alias("limit"), F.coalesce(allowed, F.lit(True)).alias("allowed")).withColumn("reason_code", F.when(F.col("allowed"), "OK").otherwise("QUOTA_EXCEEDED"))
+    return rows.select("tenant_id", "metric", F.col("usage").alias("current_usage"), limit.alias("limit"), F.coalesce(allowed, F.lit(True)).alias("allowed")).withColumn("reason_code", F.when(F.col("allowed"), "OK").otherwise("QUOTA_EXCEEDED")).withColumn("as_of", F.localtimestamp() if as_of is None else as_of).withColumn("approximate", F.lit(True))
 
 
 def drift(usage: DataFrame, exact: DataFrame) -> DataFrame:
@@ -64,7 +67,14 @@ def overview(tenants: DataFrame, usage: DataFrame, exact: DataFrame) -> DataFram
     return rows.select("tenant_id", "plan", "metric", "limit", "approximate_usage", "exact_usage", F.when(F.col("exact_usage") > 0, F.bround(percent(gap, F.col("exact_usage")), 2)).otherwise(0.0).alias("drift_percent"))
 
 
-def sliding_usage(events: DataFrame, interval: str) -> DataFrame:
-    """Usage over the time range that ends with each event."""
-    trailing = F.expr(f"sum(quantity) OVER (PARTITION BY tenant_id, metric ORDER BY occurred_at RANGE BETWEEN INTERVAL {interval} PRECEDING AND CURRENT ROW)")
-    return events.select("event_id", "tenant_id", "metric", "occurred_at", trailing.cast(MONEY).alias("trailing_quantity"))
+def sliding_usage(events: DataFrame, seconds: int) -> DataFrame:
+    """Usage over the `seconds` that end with each event.
+
+    Time is cut in stretches of that length, and each event also stands in the next stretch, as what can precede
+    the events there: so a hot tenant is a task a stretch.
+    """
+    stretch = F.floor(F.unix_micros(F.col("occurred_at").cast("timestamp")) / (seconds * 1_000_000))
+    twice = events.select("event_id", "tenant_id", "metric", "occurred_at", "quantity", F.posexplode(F.array(stretch, stretch + 1)).alias("__before", "__stretch"))
+    trailing = F.expr(f"sum(quantity) OVER (PARTITION BY tenant_id, metric, __stretch ORDER BY occurred_at RANGE BETWEEN INTERVAL '{seconds}' SECOND PRECEDING AND CURRENT ROW)")
+    rows = twice.withColumn("trailing_quantity", trailing.cast(MONEY)).where("__before = 0")
+    return rows.select("event_id", "tenant_id", "metric", "occurred_at", "trailing_quantity")

@@ -21,6 +21,13 @@ class Flow:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def stored(self) -> Flow:
+        """The same flow with its classified rows and its revisions written once, for queries that read them several times."""
+        x = Flow(self.spark, self.sf_dir)
+        x.rows = x.unique = usage.written(self.rows)
+        x.revisions = usage.written(x.revisions)
+        return x
+
     @cached_property
     def log(self) -> DataFrame:
         return usage.usage_log(self.spark, self.sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeworks.functions.scalar import bloom_size, key_partition
+from gaugeworks.functions.scalar import bloom_positions, bloom_size, key_partition
 from gaugeworks.operators import aggregates, dedup, ingest, observe, outbox, quota, reconcile, windows
 from gaugeworks.plans.flow import CUT, LATENESS, NOW, RANGE, WINDOW, Flow, at
 from gaugeworks.sources import usage
@@ -108,17 +108,24 @@ def append_guard(x: Flow):
     return aggregates.appended(x.sealed.where("day(window_start) <= 10"), x.revisions)
 
 
-@query("ten", """SELECT * FROM (SELECT tenant_id, coalesce(c.plan, t.plan) AS plan, coalesce(t.created_at, c.created_at) AS created_at FROM (SELECT *, TIMESTAMP '2024-01-01' AS created_at FROM ten) t
-FULL JOIN (SELECT 'tenant_' || i AS tenant_id, 'custom' AS plan, TIMESTAMP '2024-01-15' AS created_at FROM range(6, 12) r(i)) c USING (tenant_id))""")
+@query("quotas", """SELECT tenant_id, plan, TIMESTAMP '2024-01-01' AS created_at, metric, "limit" FROM quotas WHERE tenant_id < 'tenant_6'
+UNION ALL SELECT 'tenant_' || i, 'custom', CASE WHEN i < 9 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-15' END, 'view', CAST(77.5 AS DECIMAL(38,9)) FROM range(6, 12) r(i)""")
 def tenant_upsert(x: Flow):
-    base = x.tenants.select("tenant_id", "plan", "created_at")
-    change = lambda plan, seq: x.spark.range(6, 12).select(F.concat(F.lit("tenant_"), F.col("id").cast("string")).alias("tenant_id"), F.lit(plan).alias("plan"), at("2024-01-15 00:00:00").alias("created_at"), F.lit(seq).cast("long").alias("seq"))
-    return observe.tenant_upsert(base, change("trial", 1).unionByName(change("custom", 2)))
+    """Plan and quotas of the last change, created_at of the first row; a row for each quota."""
+    limits = lambda metric, limit: F.create_map(F.lit(metric), F.lit(limit).cast(usage.MONEY))
+    change = lambda plan, seq, quotas: x.spark.range(6, 12).select(F.concat(F.lit("tenant_"), F.col("id").cast("string")).alias("tenant_id"), F.lit(plan).alias("plan"), quotas.alias("quotas"), at("2024-01-15 00:00:00").alias("created_at"), F.lit(seq).cast("long").alias("seq"))
+    after = observe.tenant_upsert(x.tenants, change("trial", 1, limits("click", "1")).unionByName(change("custom", 2, limits("view", "77.5"))))
+    return after.select("tenant_id", "plan", "created_at", F.explode("quotas").alias("metric", "limit"))
 
 
 @query("quotas", 'SELECT tenant_id, plan, metric, "limit" FROM quotas')
 def tenant_list(x: Flow):
-    return quota.quotas(x.tenants)
+    return quota.quotas(observe.tenant_list(x.tenants))
+
+
+@query("quotas", """SELECT tenant_id, plan, metric, "limit" FROM quotas WHERE tenant_id = 'tenant_4'""")
+def tenant_lookup(x: Flow):
+    return quota.quotas(observe.tenant(x.tenants, "tenant_4"))
 
 
 @query("outb", "SELECT aggregate_key, CAST(1 + (id % 13 = 0)::INT AS BIGINT) AS delivery_count FROM outb WHERE published_at IS NOT NULL")
@@ -153,13 +160,25 @@ OUTCOMES = """oc AS (SELECT *, CASE WHEN bad THEN 'INVALID_SCHEMA' WHEN shed THE
 FROM (SELECT *, quantity < 0 AS bad, "offset" >= 1500 AND priority = 'low' AS shed FROM log))"""
 
 
+SAID = "CASE {0} WHEN 'OK' THEN 'Accepted for ingestion' WHEN 'DUPLICATE_EVENT' THEN 'Event already acknowledged (idempotent)' WHEN 'LOW_PRIORITY_SHED' THEN 'Event shed due to critical produce buffer saturation' ELSE 'Event does not fit the schema' END"
+
+
 def judged_deliveries(x: Flow) -> DataFrame:
     return ingest.outcomes(ingest.shed(ingest.validated(x.log), F.col("offset"), 1500, 1000), ["received_at", "partition", "offset"])
 
 
-@query("log", f""", {OUTCOMES} SELECT "partition", "offset", event_id, outcome, outcome IN ('OK', 'DUPLICATE_EVENT') AS accepted FROM oc""")
+@query("log", f""", {OUTCOMES} SELECT "partition", "offset", event_id, outcome, outcome IN ('OK', 'DUPLICATE_EVENT') AS accepted, {SAID.format("outcome")} AS message FROM oc""")
 def ingest_outcomes(x: Flow):
-    return judged_deliveries(x).select("partition", "offset", "event_id", "outcome", "accepted")
+    return judged_deliveries(x).select("partition", "offset", "event_id", "outcome", "accepted", "message")
+
+
+@query("log", f""", {OUTCOMES}, lasts AS (SELECT "partition", "offset" // 250 AS batch, event_id, max_by(outcome, "offset") AS reason_code FROM oc GROUP BY ALL)
+SELECT "partition", batch, event_id, reason_code, reason_code IN ('OK', 'DUPLICATE_EVENT') AS accepted, {SAID.format("reason_code")} AS message FROM lasts""")
+def ingest_results(x: Flow):
+    """The maps of results by event id, a row for each entry."""
+    rows = judged_deliveries(x).withColumn("batch", F.floor(F.col("offset") / 250))
+    entries = ingest.result_maps(rows, ["partition", "batch"], ["offset"]).select("partition", "batch", F.explode("results").alias("event_id", "r"))
+    return entries.select("partition", "batch", "event_id", "r.reason_code", "r.accepted", "r.message")
 
 
 @query("log", f""", {OUTCOMES}, lasts AS (SELECT "partition", "offset" // 250 AS batch, event_id, max_by(outcome, "offset") AS o, count_if(outcome IN ('OK', 'DUPLICATE_EVENT')) AS a, count_if(outcome NOT IN ('OK', 'DUPLICATE_EVENT')) AS r FROM oc GROUP BY ALL)
@@ -174,7 +193,9 @@ def route_hot(x: Flow):
     return ingest.routed(x.log, ["tenant_1", "tenant_7"]).groupBy("tenant_id", "topic").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("log", """, bit AS (SELECT tenant_id, 0 AS b, CAST(4294967295 AS BIGINT) AS crc FROM (SELECT DISTINCT tenant_id FROM log)
+UNION ALL SELECT tenant_id, b + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END FROM (SELECT tenant_id, b, CASE WHEN b % 8 = 0 THEN xor(crc, ascii(substr(tenant_id, b // 8 + 1, 1))::BIGINT) ELSE crc END AS c FROM bit WHERE b < 8 * length(tenant_id)))
+SELECT tenant_id, CAST(xor(crc, 4294967295::BIGINT) % 8 AS INTEGER) AS "partition" FROM bit WHERE b = 8 * length(tenant_id)""", "RECURSIVE ")
 def partition_for_key(x: Flow):
     return x.log.select("tenant_id").distinct().withColumn("partition", key_partition(F.col("tenant_id"), 8))
 
@@ -220,9 +241,9 @@ def dedup_against_processed(x: Flow):
 
 
 @query("cnt", """SELECT c.tenant_id, c.metric, c.usage AS current_usage, l AS "limit", coalesce(c.usage + 100 <= l, true) AS allowed, CASE WHEN coalesce(c.usage + 100 <= l, true) THEN 'OK' ELSE 'QUOTA_EXCEEDED' END AS reason_code
-FROM (SELECT c.*, CASE WHEN t.tenant_id IS NULL THEN CAST(1000000 AS DECIMAL(38,9)) ELSE q."limit" END AS l FROM cnt c LEFT JOIN ten t USING (tenant_id) LEFT JOIN quotas q USING (tenant_id, metric)) c""")
+FROM (SELECT c.*, CASE WHEN t.tenant_id IS NULL THEN CAST(1000000 AS DECIMAL(38,9)) ELSE q."limit" END AS l FROM cnt c LEFT JOIN ten t USING (tenant_id) LEFT JOIN quotas q USING (tenant_id, metric)) c""".replace("SELECT c.tenant_id", f"SELECT TIMESTAMP '{NOW}' AS as_of, true AS approximate, c.tenant_id"))
 def quota_check(x: Flow):
-    return quota.checked(x.usage, x.tenants, 100)
+    return quota.checked(x.usage, x.tenants, 100, at(NOW))
 
 
 DRIFT = """SELECT tenant_id, metric, approximate, exact, CAST(abs(approximate - exact) AS DECIMAL(38,9)) AS drift, CASE WHEN exact = 0 THEN CASE WHEN approximate = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END ELSE round(CAST(abs(approximate - exact) AS DOUBLE) / CAST(exact AS DOUBLE) * 100, 6) END AS drift_percent
@@ -251,9 +272,13 @@ def revisions(x: Flow):
     return x.corrections
 
 
+def audited(x: Flow, gated: bool = True) -> DataFrame:
+    x = x.stored()
+    return reconcile.reconciled(reconcile.recomputed(x.rows), x.served, x.rows.where("is_late"), x.watermarks, x.lags, outbox.pending(x.outbox), gated)
+
+
 def judged(x: Flow, gated: bool) -> DataFrame:
-    out = reconcile.reconciled(reconcile.recomputed(windows.assigned(x.unique, WINDOW)), x.served, x.rows.where("is_late"), x.watermarks, x.lags, outbox.pending(x.outbox), gated)
-    return out.select("tenant_id", "metric", "window_start", "recomputed_quantity", "served_quantity", "late_quantity", "difference", "gate_reason", "divergence_class")
+    return audited(x, gated).select("tenant_id", "metric", "window_start", "recomputed_quantity", "served_quantity", "late_quantity", "difference", "gate_reason", "divergence_class")
 
 
 VERDICT = "CASE WHEN difference = 0 THEN 'MATCH' WHEN abs(difference) = late_quantity THEN 'LATE_ARRIVAL' ELSE 'REAL' END"
@@ -269,10 +294,23 @@ def reconcile_ungated(x: Flow):
     return judged(x, False)
 
 
+ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime({0}, '%f') = '000000' THEN '' ELSE '.' || strftime({0}, '%f') END || '+00:00'"
+
+
+@query("judged", f"""SELECT tenant_id, metric, window_start, CASE gate_reason
+WHEN 'WATERMARK_BEFORE_WINDOW_END' THEN 'Gated out: Watermark (' || coalesce({ISO.format("m.watermark")}, 'unknown') || ') has not yet passed window_end (' || {ISO.format("window_end")} || ')'
+WHEN 'CONSUMER_LAG' THEN 'Gated out: Consumer partition lag is ' || coalesce(CAST(g.lag AS VARCHAR), 'unknown') || ' (pipeline still actively processing events)'
+WHEN 'OUTBOX_PENDING' THEN 'Gated out: Outbox has ' || (SELECT count(*) FROM outb o WHERE o.published_at IS NULL AND (o.tenant_id, o.metric, o.window_start) = (j.tenant_id, j.metric, j.window_start)) || ' pending messages for this window'
+ELSE CASE WHEN difference = 0 THEN 'Exact match: recomputed and served quantities agree perfectly.' WHEN abs(difference) = late_quantity THEN 'Difference of ' || difference || ' matches known audited late arrivals (' || late_quantity || ').'
+ELSE 'Genuine unexplained discrepancy: recomputed=' || recomputed_quantity || ', served=' || served_quantity || ', diff=' || difference || '.' END END AS evidence
+FROM judged j LEFT JOIN marks m ON m."partition" = j."partition" LEFT JOIN lags g ON g."partition" = j."partition" """)
+def reconcile_evidence(x: Flow):
+    return audited(x).select("tenant_id", "metric", "window_start", "evidence")
+
+
 @query("judged", """SELECT "partition", coalesce(gate_reason, 'SETTLED') AS reason, count(*) AS n FROM judged GROUP BY ALL""")
 def completion_gate(x: Flow):
-    out = reconcile.reconciled(reconcile.recomputed(windows.assigned(x.unique, WINDOW)), x.served, x.rows.where("is_late"), x.watermarks, x.lags, outbox.pending(x.outbox))
-    return out.groupBy("partition", F.coalesce("gate_reason", F.lit("SETTLED")).alias("reason")).agg(F.count("*").alias("n"))
+    return audited(x).groupBy("partition", F.coalesce("gate_reason", F.lit("SETTLED")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("lags", 'SELECT "partition", end_offset, checkpoint, lag FROM lags')
@@ -283,6 +321,7 @@ def consumer_lag(x: Flow):
 @query("outb", f"""SELECT id, aggregate_key, CASE WHEN tried AND id % 11 <> 0 THEN TIMESTAMP '{NOW}' ELSE published_at END AS published_at, CAST(attempts + (tried AND id % 11 = 0)::INT AS INTEGER) AS attempts
 FROM (SELECT *, id IN (SELECT id FROM outb WHERE published_at IS NULL AND attempts < 5 ORDER BY id LIMIT 100) AS tried FROM outb)""")
 def outbox_relay(x: Flow):
+    x = x.stored()
     return outbox.relayed(x.outbox, x.outbox.select("id", (F.col("id") % 11 != 0).alias("delivered")), at(NOW)).select("id", "aggregate_key", "published_at", "attempts")
 
 
@@ -407,7 +446,7 @@ def watermark_lag(x: Flow):
 
 @query("uniq", "SELECT event_id, tenant_id, metric, occurred_at, sum(quantity) OVER (PARTITION BY tenant_id, metric ORDER BY occurred_at RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW)::DECIMAL(38,9) AS trailing_quantity FROM uniq")
 def sliding_usage(x: Flow):
-    return quota.sliding_usage(x.unique, "'2' DAY")
+    return quota.sliding_usage(x.unique, 2 * 86_400)
 
 
 @query("uniq", """, s AS (SELECT tenant_id, make_timestamp((epoch_us(occurred_at) // 21600000000) * 21600000000 - k * 21600000000) AS window_start, quantity FROM uniq, range(2) r(k))
@@ -417,25 +456,29 @@ def sliding_windows(x: Flow):
     return rows.select("tenant_id", F.col("w.start").alias("window_start"), "quantity", "event_count")
 
 
-@query()
+@query(None, """SELECT elements, false_positives, bits, CAST(greatest(1, floor(bits / elements * ln(2))) AS INTEGER) AS hashes
+FROM (SELECT *, greatest(64, CAST(floor(-elements * ln(false_positives) / power(ln(2), 2)) AS BIGINT)) AS bits FROM (VALUES (1000000::BIGINT, 0.01::DOUBLE), (100000, 0.01), (1, 0.5)) v(elements, false_positives))""")
 def bloom_sizing(x: Flow):
     return x.spark.createDataFrame([(n, p, *bloom_size(n, p)) for n, p in ((1_000_000, 0.01), (100_000, 0.01), (1, 0.5))], "elements long, false_positives double, bits long, hashes int")
 
 
-@query("raw", """, s AS (SELECT DISTINCT event_id, received_at + k * INTERVAL 20 HOUR AS t FROM raw, range(6) r(k) WHERE seq % 10 = 0 AND k <= seq % 6),
-acc AS (SELECT event_id, min(t) AS t FROM s GROUP BY 1 UNION ALL SELECT acc.event_id, (SELECT min(s.t) FROM s WHERE s.event_id = acc.event_id AND s.t >= acc.t + INTERVAL 24 HOUR) FROM acc WHERE EXISTS (SELECT 1 FROM s WHERE s.event_id = acc.event_id AND s.t >= acc.t + INTERVAL 24 HOUR))
-SELECT event_id, t AS accepted_at FROM acc""", "RECURSIVE ")
-def dedup_ttl(x: Flow):
-    some = usage.deliveries(x.spark, x.sf_dir).where("redelivery = 0 AND seq % 10 = 0")
-    seen = some.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("seq") % 6).cast("int")))).select("event_id", (F.col("received_at") + F.make_dt_interval(hours=F.col("k") * 20)).alias("t"))
-    return dedup.accepted_by_ttl(seen, "event_id", "t", 86_400)
+#: SHA-256 of ? as a number, modulo 958,505: digits in four words of 16.
+REST = "0::HUGEINT"
+for k in range(4):
+    REST = f"(({REST}) * 18446744073709551616::HUGEINT + CAST('0x' || substr(sha256(?), {16 * k + 1}, 16) AS UBIGINT)) % 958505"
+
+
+@query(None, f"""SELECT 'tenant_' || i AS item, k AS nth, CAST((one + k * two) % 958505 AS BIGINT) AS position FROM (SELECT i, {REST.replace('?', "'tenant_' || i")} AS one, {REST.replace('?', "'tenant_' || i || ':salt'")} AS two FROM range(10) t(i)), range(6) h(k)""")
+def bloom_hashes(x: Flow):
+    """Bits of the tenants' names in a filter of 958,505 bits and 6 hash functions."""
+    items = x.spark.range(10).select(F.concat(F.lit("tenant_"), F.col("id").cast("string")).alias("item"))
+    return items.select("item", F.posexplode(bloom_positions(F.col("item"), 958_505, 6)).alias("nth", "position")).select("item", F.col("nth").cast("long").alias("nth"), "position")
 
 
 @query("sent", """, s AS (SELECT event_id, list(DISTINCT received_at + k * INTERVAL 20 HOUR) AS ts FROM sent, range(6) r(k) WHERE k <= seq % 6 GROUP BY 1),
 acc AS (SELECT event_id, ts, list_min(ts) AS t FROM s UNION ALL SELECT event_id, ts, list_min([x FOR x IN ts IF x >= t + INTERVAL 24 HOUR]) FROM acc WHERE list_max(ts) >= t + INTERVAL 24 HOUR)
 SELECT event_id, t AS accepted_at FROM acc""", "RECURSIVE ")
-def dedup_ttl_all(x: Flow):
-    """All deliveries of all events; `dedup_ttl` holds every tenth event, as its SQL does."""
+def dedup_ttl(x: Flow):
     seen = usage.deliveries(x.spark, x.sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("seq") % 6).cast("int"))))
     return dedup.accepted_by_ttl(seen.select("event_id", (F.col("received_at") + F.make_dt_interval(hours=F.col("k") * 20)).alias("t")), "event_id", "t", 86_400)
 
@@ -478,6 +521,18 @@ def pipeline_overview(x: Flow):
     return observe.overview(x.lags, x.watermarks, at(NOW))
 
 
+@query("outb", f"""SELECT 'healthy' AS status, TIMESTAMP '{NOW}' AS timestamp, CAST((SELECT sum(lag) FROM lags) AS BIGINT) AS buffer_depth, 10000 AS high_watermark, 15000 AS shed_watermark,
+least(100, CAST(floor((SELECT sum(lag) FROM lags) / 15000 * 100 + 0.5) AS INTEGER)) AS buffer_percent, (SELECT count(*) FROM log WHERE quantity >= 0 AND "offset" >= 1500 AND priority = 'low') AS shed_count,
+(SELECT count(DISTINCT event_id) FROM log WHERE received_at < TIMESTAMP '{CUT}' AND "partition" < 3) AS bloom_count, (SELECT count(*) FROM outb WHERE published_at IS NULL) AS outbox_pending""")
+def pipeline_status(x: Flow):
+    return observe.pipeline_status(x.lags, judged_deliveries(x), x.consumed.select("event_id").distinct(), x.outbox, at(NOW))
+
+
+@query("outb", "SELECT id, aggregate_key, revision FROM outb WHERE starts_with(aggregate_key, 'tenant_2:view:2024-01-10T00:00:00:') OR starts_with(aggregate_key, 'tenant_2:view:2024-01-10T00:00:00+')")
+def outbox_of_window(x: Flow):
+    return outbox.of_window(x.outbox, "tenant_2", "view", "2024-01-10T00:00:00").select("id", "aggregate_key", "revision")
+
+
 @query("outb", "SELECT id, aggregate_key, tenant_id, metric, window_start, revision, quantity, event_count, created_at FROM outb")
 def outbox_rows(x: Flow):
     return outbox.messages(x.revisions).drop("payload")

@@ -5,6 +5,10 @@ Times are UTC in TIMESTAMP_NTZ columns, so no session time zone can shift them.
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 MONEY = T.DecimalType(38, 9)
@@ -16,6 +20,24 @@ USAGE_EVENT = T.StructType([
 ])
 #: Microseconds survive the wire.
 WIRE_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+#: Declared schemas of what is stored.
+SCHEMAS = {
+    "tenants": "tenant_id STRING NOT NULL, plan STRING NOT NULL, quotas MAP<STRING, DECIMAL(38,9)> NOT NULL, created_at TIMESTAMP_NTZ NOT NULL",
+    "aggregates": "tenant_id STRING NOT NULL, metric STRING NOT NULL, window_start TIMESTAMP_NTZ NOT NULL, window_end TIMESTAMP_NTZ NOT NULL, quantity DECIMAL(38,9) NOT NULL, event_count BIGINT NOT NULL, revision INT NOT NULL, sealed_at TIMESTAMP_NTZ, computed_at TIMESTAMP_NTZ NOT NULL",
+    "processed_events": "event_id STRING NOT NULL, tenant_id STRING NOT NULL, processed_at TIMESTAMP_NTZ NOT NULL",
+    "outbox": "id BIGINT NOT NULL, aggregate_key STRING NOT NULL, payload STRING NOT NULL, created_at TIMESTAMP_NTZ NOT NULL, published_at TIMESTAMP_NTZ, attempts INT NOT NULL",
+    "checkpoints": "consumer STRING NOT NULL, `partition` INT NOT NULL, `offset` BIGINT NOT NULL, state STRING NOT NULL, updated_at TIMESTAMP_NTZ NOT NULL",
+    "late_arrivals": "event_id STRING NOT NULL, tenant_id STRING NOT NULL, metric STRING NOT NULL, window_start TIMESTAMP_NTZ NOT NULL, quantity DECIMAL(38,9) NOT NULL, lateness_ms BIGINT NOT NULL, occurred_at TIMESTAMP_NTZ NOT NULL, received_at TIMESTAMP_NTZ NOT NULL",
+}
+
+
+def bootstrap(spark: SparkSession, database: str, path: str) -> None:
+    """Create the stored tables under `path`, where they don't exist yet."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name, schema in SCHEMAS.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({schema}) USING parquet LOCATION '{path.rstrip('/')}/{name}'")
+
+
 LOG_RECORD = T.StructType([T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), *USAGE_EVENT.fields])
 
 
@@ -28,15 +50,45 @@ def numbered(df: DataFrame, by: list, order: list, name: str = "offset", start:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1 + F.lit(start).cast("long"))
 
 
-def numbered_globally(df: DataFrame, group: str, order: list, name: str = "id") -> DataFrame:
-    """1, 2, ... over all rows in the order (group, *order), without one task sorting everything:
+def numbered_in_chunks(df: DataFrame, by: list, chunk: Column, order: list, name: str = "offset", start: int = 0) -> DataFrame:
+    """The same where `chunk` never falls in the order given: rows are numbered within a chunk, and each chunk
+    starts after the rows of the chunks before it, so a large log partition is many tasks."""
+    rows = df.withColumn("__chunk", chunk)
+    sizes = rows.groupBy(*by, "__chunk").agg(F.count("*").alias("__n"))  # a row a chunk
+    before = sizes.select(*by, "__chunk", (F.sum("__n").over(Window.partitionBy(*by).orderBy("__chunk")) - F.col("__n")).alias("__before"))
+    inner = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*by, "__chunk").orderBy(*order)))
+    return inner.join(before, [*by, "__chunk"]).withColumn(name, F.col("__before") + F.col("__rn") - 1 + F.lit(start).cast("long")).drop("__chunk", "__before", "__rn")
+
+
+def numbered_globally(df: DataFrame, group: list, order: list, name: str = "id") -> DataFrame:
+    """1, 2, ... over all rows in the order (*group, *order), without one task sorting everything:
     rows are numbered within their group, and each group starts after the rows of the groups before it."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))  # a row a group
-    before = sizes.select(group, (F.sum("__n").over(Window.orderBy(group)) - F.col("__n")).alias("__before"))
-    inner = df.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    sizes = df.groupBy(*group).agg(F.count("*").alias("__n"))  # a row a group
+    before = sizes.select(*group, (F.sum("__n").over(Window.orderBy(*group)) - F.col("__n")).alias("__before"))
+    inner = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return inner.join(before, group).withColumn(name, (F.col("__before") + F.col("__rn")).cast("long")).drop("__before", "__rn")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the folder that all executors share, for what several parts of a query read; it goes with the session.
+
+    The folder is spark.checkpoint.dir. Only a local session without one makes its own.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='gaugeworks-')}"
+        sc.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At-least-once deliveries made from `events`: delays for late rows, every 50th event twice."""
     e = table(spark, sf_dir, "events")
@@ -52,7 +104,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(deliveries(spark, sf_dir), ["partition"], ["received_at", "seq", "redelivery"])
+    return numbered_in_chunks(deliveries(spark, sf_dir), ["partition"], F.to_date("received_at"), ["received_at", "seq", "redelivery"])
 
 
 def tenants(spark: SparkSession) -> DataFrame:
@@ -82,7 +134,20 @@ def decoded(df: DataFrame, value: str = "value") -> DataFrame:
 
 def kafka_source(spark: SparkSession, servers: str, topic: str, starting_offsets: str = "earliest") -> DataFrame:
     """Streaming log reader (needs the Kafka connector on the classpath)."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting_offsets).load()
+    return records(spark.readStream.format("kafka").options(**kafka_options(servers, topic, starting_offsets)).load())
+
+
+def kafka_options(servers: str, topic: str, starting_offsets: str = "earliest") -> dict[str, str]:
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting_offsets}
+
+
+def starting_offsets(topic: str, offsets: dict[int, int]) -> str:
+    """Where to go on from, in the connector's form: the next offset of each partition."""
+    return json.dumps({topic: {str(p): n for p, n in sorted(offsets.items())}})
+
+
+def records(raw: DataFrame) -> DataFrame:
+    """Log records from the connector's rows (key, value, partition, offset)."""
     body = raw.select("partition", "offset", from_json(F.col("value").cast("string")).alias("e"))
     return body.select("partition", "offset", *(F.col(f"e.{f.name}").cast(f.dataType).alias(f.name) for f in USAGE_EVENT.fields))
 

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.scalar import bloom_size, drift_percent, key_partition
+from gaugeworks.functions.scalar import bloom_positions, bloom_size, drift_percent, key_partition
 from gaugeworks.operators import aggregates, dedup, ingest, observe, outbox, quota, reconcile, windows
 from gaugeworks.sources import usage
 
@@ -148,7 +148,7 @@ def test_ttl_query_holds_all_events(spark):
         for at in sorted(start + timedelta(minutes=m, hours=20 * k) for k in range(r.event_id % 6 + 1) for m in ((0, 10) if r.event_id % 50 == 0 else (0,))):
             if last is None or at >= last + timedelta(hours=24):
                 expected.add((str(r.event_id), last := at))
-    got = [tuple(r) for r in entry.queries()["dedup_ttl_all"](spark, sf).collect()]
+    got = [tuple(r) for r in entry.queries()["dedup_ttl"](spark, sf).collect()]
     assert set(got) == expected and len(got) == len(expected)
 
 
@@ -166,9 +166,87 @@ def test_codec_keeps_every_digit(spark):
     assert back.quantity == Decimal("0.123456789") and back.metadata == {"k": "v"} and back.occurred_at == T0
 
 
-def test_sizes():
+def test_sizes(spark):
     assert bloom_size(1_000_000, 0.01) == (9585058, 6) and bloom_size(1, 0.5)[0] == 64
-    assert observe.buffer_percent(2000, 1500) == 100
+    depths = spark.createDataFrame([(2000,), (0,), (750,), (757,), (758,)], "d long")
+    assert [r[0] for r in depths.select(observe.buffer_percent(F.col("d"), 1500)).collect()] == [100, 0, 50, 50, 51]
+
+
+def test_bloom_positions(spark):
+    import hashlib
+
+    number = lambda s: int(hashlib.sha256(s.encode()).hexdigest(), 16)
+    items = ["", "tenant_1", "é🙂", "x" * 300]
+    got = spark.createDataFrame([(i,) for i in items], "i string").select(bloom_positions(F.col("i"), 9585058, 6)).collect()
+    assert [list(r[0]) for r in got] == [[(number(i) + k * number(i + ":salt")) % 9585058 for k in range(6)] for i in items]
+
+
+def test_result_map_holds_the_last_result_of_each_id(spark):
+    df = log(spark, [("a", 1, 0), ("a", 1, 0), ("b", -1, 0)])
+    rows = ingest.outcomes(ingest.shed(ingest.validated(df), F.lit(0)), ["offset"])
+    got = ingest.result_maps(rows, ["partition"], ["offset"]).first().results
+    assert {k: tuple(v) for k, v in got.items()} == {"a": ("a", True, "DUPLICATE_EVENT", "Event already acknowledged (idempotent)"), "b": ("b", False, "INVALID_SCHEMA", "Event does not fit the schema")}
+
+
+def test_pipeline_status(spark):
+    lags = spark.createDataFrame([(0, 7), (1, 5)], "partition int, lag long")
+    outcome = spark.createDataFrame([("LOW_PRIORITY_SHED",), ("OK",)], "outcome string")
+    box = spark.createDataFrame([(1, None), (2, T0)], "id long, published_at timestamp_ntz")
+    status = observe.pipeline_status(lags, outcome, spark.range(3), box, F.lit(T0).cast("timestamp_ntz"), 10, 20)
+    assert tuple(status.first()) == ("healthy", T0, 12, 10, 20, 60, 1, 3, 1)
+    assert tuple(observe.health(status).first()) == ("healthy", 12, T0) and tuple(observe.metrics(status).first()) == (12, 1, 3)
+    assert observe.pipeline_status(lags.where("false"), outcome.where("false"), spark.range(0), box.where("false"), F.lit(T0).cast("timestamp_ntz")).first().buffer_depth == 0
+
+
+def test_unknown_lag_is_unsettled(spark):
+    rows = windows.classified(log(spark, [("a", 5, 0), ("end", 0, 200)]), 60, 30)
+    pending = spark.createDataFrame([], "tenant_id string, metric string, window_start timestamp_ntz, pending long")
+    none = spark.createDataFrame([], "partition int, lag long")
+    got = reconcile.reconciled(reconcile.recomputed(rows), reconcile.recomputed(rows), rows.where("is_late"), windows.final_watermarks(rows, 30), none, pending).orderBy("window_start").first()
+    assert (got.divergence_class, got.gate_reason) == ("UNSETTLED", "CONSUMER_LAG") and "lag is unknown" in got.evidence
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 100_000])
+def test_corrections_do_not_depend_on_chunks(spark, chunk):
+    rows = windows.classified(log(spark, [("a", 100, 10), ("b", 50, 120)] + [(f"l{i}", i, 20 + i) for i in range(9)]), 60, 30)
+    got = aggregates.corrections(rows, aggregates.sealed(rows), chunk).orderBy("revision").collect()
+    assert [(r.revision, int(r.quantity), r.event_count) for r in got] == [(k + 1, 100 + sum(range(k + 1)), k + 2) for k in range(9)]
+
+
+def test_webhook(spark):
+    import http.server
+    import json
+    import threading
+
+    seen = []
+
+    class Sink(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["X-Idempotency-Key"], body))
+            self.send_response(int(body["payload"]["code"]))
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Sink)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    messages = spark.createDataFrame([(i, f"k{i}", json.dumps({"code": c})) for i, c in enumerate((200, 201, 202, 204, 400, 500))], "id long, aggregate_key string, payload string")
+    got = {r.id: r.delivered for r in outbox.webhook(messages, f"http://127.0.0.1:{server.server_port}/").collect()}
+    server.shutdown()
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: False}
+    assert sorted(seen, key=str)[0] == ("k0", {"aggregate_key": "k0", "payload": {"code": 200}})
+    assert {r.delivered for r in outbox.webhook(messages, f"http://127.0.0.1:{server.server_port}/", 1.0).collect()} == {False}
+    assert {r.delivered for r in outbox.memory_sink(messages, failing=True).collect()} == {False}
+
+
+def test_stored_tables(spark, tmp_path):
+    for _ in range(2):  # the second time changes nothing
+        usage.bootstrap(spark, "metering_test", str(tmp_path))
+    assert {t.name for t in spark.catalog.listTables("metering_test")} == set(usage.SCHEMAS)
+    assert spark.table("metering_test.aggregates").columns == ["tenant_id", "metric", "window_start", "window_end", "quantity", "event_count", "revision", "sealed_at", "computed_at"]
+    spark.sql("DROP DATABASE metering_test CASCADE")
 
 
 def test_synthetic_source_is_deterministic(spark):

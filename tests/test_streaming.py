@@ -37,6 +37,24 @@ def test_cuts(spark, log, expected, tmp_path, cuts):
     assert revisions(stream.revisions()) == expected
 
 
+def test_rows_of_the_log_connector(spark, log, expected, tmp_path):
+    """The wire form as the connector's rows (key, value, partition, offset), from files in its place."""
+    import json
+
+    record = [f.name for f in usage.LOG_RECORD.fields]
+    sent = log.select("partition", "offset", F.col("tenant_id").alias("__key"), F.struct(*(F.col(c).cast("string").alias(c) if c == "quantity" else F.col(c) for c in record[2:])).alias("e"))
+    raw = sent.select(F.col("__key").cast("binary").alias("key"), F.to_json("e", usage.WIRE_TIMES).cast("binary").alias("value"), "partition", "offset")
+    assert [r.value for r in raw.orderBy("partition", "offset").select(F.col("value").cast("string").alias("value")).limit(5).collect()] == [r.value for r in usage.to_json(log.orderBy("partition", "offset")).limit(5).collect()]
+    raw.coalesce(1).write.parquet(str(tmp_path / "topic"))
+    stream = MeteringStream(spark, str(tmp_path / "out"), DAY, HOUR)
+    rows = usage.records(usage.file_source(spark, str(tmp_path / "topic"), raw.schema))
+    query = stream.start(rows)
+    query.awaitTermination(300)
+    assert query.exception() is None and revisions(stream.revisions()) == expected
+    assert json.loads(usage.starting_offsets("usage", {1: 7, 0: 3})) == {"usage": {"0": 3, "1": 7}}
+    assert usage.kafka_options("h:1", "usage") == {"kafka.bootstrap.servers": "h:1", "subscribe": "usage", "startingOffsets": "earliest"}
+
+
 def test_restart(spark, log, expected, tmp_path):
     files, out = str(tmp_path / "in"), str(tmp_path / "out")
     record = [f.name for f in usage.LOG_RECORD.fields]
