@@ -1,5 +1,6 @@
 """Personal data, secrets and URL rules against plain loops."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -214,6 +215,53 @@ def test_url_rules(spark):
     assert got[7] == got[8] == ("", "", None, "allow") and got[9][2] == "net/fr/" and got[10][3] == "allow" and got[11][3] == "block" and got[12][2] == "com/"
 
 
+#: The pattern rules once more, written by hand; (block, regex on the URL in lower case).
+BY_HAND = [
+    (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?adserver\..*([^a-z0-9_.%-]|$)"),
+    (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?ads\..*([^a-z0-9_.%-]|$)"),
+    (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?track\..*([^a-z0-9_.%-]|$)"),
+    (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?tracker\..*([^a-z0-9_.%-]|$)"),
+    (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?doubleclick\.net([^a-z0-9_.%-]|$)"),
+    (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?casino\..*([^a-z0-9_.%-]|$)"),
+    (True, r"/banner/.*/ad([^a-z0-9_.%-]|$)"),
+    (True, r"/popup/.*\.js$"),
+    (True, r"([^a-z0-9_.%-]|$)utm_medium=spam([^a-z0-9_.%-]|$)"),
+    (True, r"([^a-z0-9_.%-]|$)sessionid=.*([^a-z0-9_.%-]|$)tracking="),
+    (True, r"/wp-login\.php([^a-z0-9_.%-]|$)"),
+    (True, r"/porn/"),
+    (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?malware\..*([^a-z0-9_.%-]|$)download([^a-z0-9_.%-]|$)"),
+    (False, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?example\.org([^a-z0-9_.%-]|$)"),
+    (False, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?track\.example\.net([^a-z0-9_.%-]|$)public([^a-z0-9_.%-]|$)"),
+]
+
+
+def plain_verdict(url):
+    """(host, path, rule, verdict) by loops over all rules."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    cut = lambda s, stops: s[: min([i for i in map(s.find, stops) if i >= 0], default=len(s))]
+    host = cut(rest, "/?#")
+    path, host = cut(rest[len(host) :], "?#"), host.translate({c: c + 32 for c in range(65, 91)})
+    fits = [(len(h + p), h + p, v) for h, p, v in urlrules.HOST_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if fits:
+        return host, path, max(fits)[1], max(fits)[2]
+    found = {block for block, regex in BY_HAND if re.search(regex, (url or "").lower(), re.DOTALL)}
+    return host, path, None, "block" if found == {True} else "allow"
+
+
+def test_patterns_against_rules_written_by_hand(spark):
+    rng = random.Random(12)
+    hosts = ["ads.x.org", "a.ads.io", "track.example.net", "tracker.b.fr", "casino.example.org", "x.casino.de", "malware.test", "doubleclick.net", "example.org", "Www.Example.org", "shop.de", "example.com", "b.example.com", "www.example.com", "x.net", "loads.org"]
+    parts = ["banner", "7", "ad", "ads.js", "popup", "x.js", "wp-login.php", "wp-login.phpx", "porn", "download", "public", "en", "es", "fr", "EN", "é"]
+    queries = ["", "?utm_medium=spam", "?a=1&utm_medium=spam&b", "?sessionid=4;tracking=1", "?sessionid=4&tracking=1", "#/porn/", "?q=utm_medium=spammer", "?"]
+    urls = [rng.choice(["http", "https", "HTTP", "ftp"]) + "://" + rng.choice(hosts) + "".join("/" + rng.choice(parts) for _ in range(rng.randint(0, 4))) + rng.choice(["", "/"]) + rng.choice(queries) for _ in range(4000)]
+    urls += [None, "", "no scheme", "://", "http://", "x" * 200_000 + "://ads.x.org/", "http://shop.de/" + "a/" * 100_000 + "porn/", "http://ads.x.org/\n"]
+    rows = spark.createDataFrame([(i % 3900, u, "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string, u string")
+    got = collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlrules.verdicts(rows).collect())
+    assert got == collections.Counter((i % 3900, *plain_verdict(u)) for i, u in enumerate(urls))
+    assert sum(n for (*_, rule, verdict), n in got.items() if rule is None and verdict == "block") > 300
+    assert urlrules.verdicts(rows.where("false")).count() == 0
+
+
 def test_tokens_of_a_rule_are_in_every_url_it_fits():
     for rule in urlrules.compiled():
         if not rule["host"]:
