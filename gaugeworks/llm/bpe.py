@@ -14,7 +14,7 @@ one id; further columns are not read; an empty table gives no rows. The pieces
 of texts are memoised with their ids and the bytes decoded from these: the
 memo has two generations of about `memo_size` pieces, and what the younger one
 lacks comes from the older one or is encoded, all new pieces of a batch at once.
-Of a task's memo a few thousand pieces stay for the next one.
+After a task the memo is given up, and which tokens fit is kept in a packed form.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import base64
 import gc
 import hashlib
 import re
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -61,11 +61,21 @@ class BytePairs:
         self.size = [0] * self.base  # the last is of rank -1
         for t, i in ranks.items():
             self.size[i] = len(t)
-        self.fits: dict[int, bool] = {}
-        self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.begins = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
-        self.state = {b"": 0}
-        self.read_so_far, self.ending, self.next = [b""], [()], {}
+        self.fits: dict[int, bool] = {}
+        self.packed = None
+        self.sleep()
+
+    def sleep(self) -> None:
+        """Give up what was found out so far, but for which tokens fit, in a packed form: small objects that stay keep large blocks of memory from being freed."""
+        if self.fits:
+            self.packed = np.fromiter(self.fits.keys(), np.int64), np.fromiter(self.fits.values(), bool)
+        self.fits, self.parts = {}, {}
+        self.state, self.read_so_far, self.ending, self.next = {b"": 0}, [b""], [()], {}
+
+    def wake(self) -> None:
+        if self.packed and not self.fits:
+            self.fits = dict(zip(*(x.tolist() for x in self.packed)))
 
     def step(self, state: int, byte: int) -> int:
         """The state after `byte`."""
@@ -197,7 +207,7 @@ class BytePairs:
 
 
 class Memo:
-    """Two generations of `made` values by key. What the younger one lacks comes from the older one."""
+    """Two generations of values by key. What the younger one lacks comes from the older one."""
 
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
@@ -213,11 +223,6 @@ class Memo:
         return out
 
 
-    def forget(self, hot: int = 5000) -> None:
-        """Keep what a generation met first: these are mostly its most frequent keys."""
-        self.old, self.young = {}, dict(islice(self.young.items(), hot))
-
-
 class TextEncoder:
     """Encoder of whole texts: pretokens by `pattern`, each encoded separately."""
 
@@ -282,6 +287,12 @@ class TextEncoder:
             out.append((" ".join(ids), b"".join(raw)))
         return out
 
+    def sleep(self) -> None:
+        """At the end of a task: workers outlive tasks."""
+        self.pairs.sleep()
+        for memo in (self.words, self.pieces):
+            memo.young, memo.old = {}, {}
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encode_texts([text])[0][0].split()]
 
@@ -330,13 +341,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
     def run(batches):
         enc = encoder(path, pattern, memo_size)
+        enc.pairs.wake()
         for batch, texts in slices(batches):
             pairs = enc.encode_texts(texts)
             n = [s.count(" ") + 1 if s else 0 for s, _ in pairs]
             coded, decoded = ([hashlib.sha256(x).hexdigest() for x in xs] for xs in ((s.encode() for s, _ in pairs), (raw for _, raw in pairs)))
             columns = [batch.column(c) for c in keep] + [pa.array(n, pa.int64())] + [pa.array([s for s, _ in pairs], pa.string())] * ids + [pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"])
-        enc.words.forget()
-        enc.pieces.forget()
+        enc.sleep()
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(released(run), schema)

@@ -49,19 +49,27 @@ BITS, MARGIN = 4, 0.25
 #: Longer words are known by a digest: sums of powers agree for some different long words.
 LONG = 64
 BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, U), np.ones(1, U)]
+CACHED = 1 << 20
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        inverse = pow(BASE, -1, 1 << 64)
-        for k, b in enumerate((BASE, inverse)):
+def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo 2^64. Only the first `CACHED` are kept: a long text must not leave its share in the worker."""
+
+    def made(size: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, U)
             p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+            out.append(np.multiply.accumulate(p))
+        return out[0], out[1]
+
+    if n > CACHED:
+        return made(n)
+    if base not in _powers:
+        _powers[base] = made(CACHED)
+    up, down = _powers[base]
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

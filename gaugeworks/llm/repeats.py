@@ -49,24 +49,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import joined_by_hot_keys, materialize, released
-from .neardup import mix
+from .neardup import mix, powers
 
 U = np.uint64
 KEY, GRAM = 32, 16
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, U)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers[base] = tuple(both)
-    return tuple(p[:n] for p in _powers[base])
 
 
 class Ranges:
@@ -75,7 +62,7 @@ class Ranges:
     def __init__(self, raw: np.ndarray):
         self.sums = []
         for base in BASES:
-            up, down = powers(base, len(raw) + 1)
+            up, down = powers(len(raw) + 1, base)
             self.sums.append((np.concatenate([[U(0)], np.cumsum((raw.astype(U) + U(1)) * up[: len(raw)])]), down))
 
     def digest(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
