@@ -131,30 +131,45 @@ def symbols(token: Column, enc: Column) -> Column:
 def tested(spans: Column, text_skew: float, order_level: float) -> Column:
     """Adds encoding, length class and the p-value's bin to each candidate span."""
 
-    def one(s):
-        enc = encoding(s["match"])
-        token = symbols(s["match"], enc)
+    def one(x):
+        s, enc = x["s"], x["encoding"]
         k = F.when(enc == "hex", 16.0).when(enc == "base32", 32.0).otherwise(64.0)
         alphabet = F.when(enc == "hex", ALPHABETS["hex"]).when(enc == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-        n = F.length(token).cast("double")
-        squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2)))
-        x = k * squares / n - n
+        known = F.struct(symbols(s["match"], enc).alias("token"), alphabet.alias("alphabet"), k.alias("k"))
+        bin_ = bound(known, lambda t: bound(counted(t), lambda c: bound(sums(c), lambda r: F.floor(-10 * F.log10(p_value(c, r))).cast("int"))))
+        size = F.floor(F.log2(F.length(symbols(s["match"], enc)).cast("double"))).cast("int")
+        return F.struct(*(s[p].alias(p) for p in PLACE), enc.alias("encoding"), size.alias("size"), bin_.alias("bin"))
+
+    def counted(t):
+        token, alphabet, k = t["token"], t["alphabet"], t["k"]
+        n = F.length(token)
+        squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda a, c: a + F.pow((n - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2)))
+        ids = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double") - 1 - (k - 1) / 2)
+        return F.struct(k.alias("k"), n.cast("double").alias("n"), squares.alias("squares"), ids.alias("centred"))
+
+    def sums(c):
+        """Changes of half, symbols of the upper half, squares and products of neighbours, in one pass."""
+        zero = F.struct(F.lit(None).cast("double").alias("last"), *(F.lit(0.0).alias(x) for x in ("changes", "high", "power", "serial")))
+
+        def step(a, v):
+            changed = F.when((a["last"] > 0) != (v > 0), 1.0).otherwise(0.0)  # null at the first: no change
+            return F.struct(v.alias("last"), (a["changes"] + changed).alias("changes"), (a["high"] + F.when(v > 0, 1.0).otherwise(0.0)).alias("high"), (a["power"] + v * v).alias("power"), (a["serial"] + F.coalesce(a["last"] * v, F.lit(0.0))).alias("serial"))
+
+        return F.aggregate(c["centred"], zero, step)
+
+    def p_value(c, r):
+        k, n = c["k"], c["n"]
+        x = k * c["squares"] / n - n
         mean, var = k - 1 + (n - 1) * text_skew, 2 * (k - 1) + 4 * n * text_skew
         uniform = F.lit(1.0) - tail((x - mean) / F.sqrt(var))
-        ids = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
-        centred = F.transform(ids, lambda i: i - (k - 1) / 2)
-        pairs = F.zip_with(F.slice(centred, 1, F.size(centred) - 1), F.slice(centred, 2, F.size(centred) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        changes = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.when((p["a"] > 0) != (p["b"] > 0), 1.0).otherwise(0.0))
-        high = F.aggregate(centred, F.lit(0.0), lambda acc, v: acc + F.when(v > 0, 1.0).otherwise(0.0))
-        both = 2 * high * (n - high)
-        runs = (changes - both / n) / F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
-        power = F.aggregate(centred, F.lit(0.0), lambda acc, v: acc + v * v)
-        serial = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + p["a"] * p["b"]) / F.greatest(power, F.lit(1e-9)) * F.sqrt(n)
+        both = 2 * r["high"] * (n - r["high"])
+        runs = (r["changes"] - both / n) / F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
+        serial = r["serial"] / F.greatest(r["power"], F.lit(1e-9)) * F.sqrt(n)
         ordered = (2 * tail(F.abs(runs)) < order_level) | (2 * tail(F.abs(serial)) < order_level)
-        p = F.when(ordered, 1.0).otherwise(F.greatest(uniform, F.lit(1e-39)))
-        return F.struct(*(s[p].alias(p) for p in PLACE), enc.alias("encoding"), F.floor(F.log2(n)).cast("int").alias("size"), F.floor(-10 * F.log10(p)).cast("int").alias("bin"))
+        return F.when(ordered, 1.0).otherwise(F.greatest(uniform, F.lit(1e-39)))
 
-    return F.transform(F.filter(spans, lambda s: encoding(s["match"]).isNotNull()), one)
+    inferred = F.transform(spans, lambda s: F.struct(s.alias("s"), encoding(s["match"]).alias("encoding")))
+    return F.transform(F.filter(inferred, lambda x: x["encoding"].isNotNull()), one)
 
 
 def cuts(candidates: DataFrame, fdr: float) -> list:
