@@ -1,10 +1,15 @@
 """Metering as a stream: the batch operators on one micro-batch at a time, with state between them.
 
 Every batch writes its revisions, its newly processed ids and a snapshot of the
-state under its batch number, overwriting what an earlier try of the same batch
-left, and reads the state of the batch before. Results so don't depend on where
-batches are cut, nor on restarts. Spark's own watermark isn't used: it would
-drop late rows, and is one for the whole query instead of one a log partition.
+small state (watermarks, open windows) under its batch number, overwriting what
+an earlier try of the same batch left, and reads the state of the batch before.
+Results so don't depend on where batches are cut, nor on restarts. What grows
+with history is read in part: revisions lie in folders by the day of their
+window, of which a batch reads those that its late events fall in; processed ids
+lie in folders by the day they came, of which a batch reads those that
+`keep_seconds` reaches back to (all of them, unless it is given: then an id that
+comes again later than that counts as new). Spark's own watermark isn't used: it
+would drop late rows, and is one for the whole query instead of one a partition.
 """
 
 from __future__ import annotations
@@ -17,36 +22,53 @@ from gaugeworks.sources.usage import MONEY
 
 OPEN = "tenant_id string, metric string, partition int, window_start timestamp_ntz, window_end timestamp_ntz, quantity decimal(38,9), event_count long"
 MARKS = "partition int, max_occurred_at timestamp_ntz"
-LATEST = "tenant_id string, metric string, window_start timestamp_ntz, quantity decimal(38,9), event_count long, revision int"
+REVISION = "tenant_id string, metric string, partition int, window_start timestamp_ntz, window_end timestamp_ntz, quantity decimal(38,9), event_count long, revision int, sealed_at timestamp_ntz"
+LATEST = ["tenant_id", "metric", "window_start", "quantity", "event_count", "revision"]
 
 
 class MeteringStream:
-    def __init__(self, spark: SparkSession, path: str, window_seconds: int = 60, lateness_seconds: int = 30):
-        self.spark, self.path, self.window, self.lateness = spark, path.rstrip("/"), window_seconds, lateness_seconds
+    def __init__(self, spark: SparkSession, path: str, window_seconds: int = 60, lateness_seconds: int = 30, keep_seconds: int | None = None):
+        self.spark, self.path, self.window, self.lateness, self.keep = spark, path.rstrip("/"), window_seconds, lateness_seconds, keep_seconds
 
     def read(self, name: str, schema: str, batch: int) -> DataFrame:
         if batch < 0:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/state/batch={batch}/{name}")
 
-    def write(self, df: DataFrame, place: str) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{place}")
+    def write(self, df: DataFrame, place: str, day: str | None = None) -> None:
+        """day: the time column whose days are folders."""
+        out = df if day is None else df.withColumn("day", F.to_date(day))
+        writer = out.write.mode("overwrite")
+        (writer if day is None else writer.partitionBy("day")).parquet(f"{self.path}/{place}")
 
-    def processed(self, batch: int) -> DataFrame:
-        """Ids of all batches before this one."""
+    def history(self, name: str, schema: str, batch: int) -> DataFrame:
+        """What all batches before this one wrote, with its day."""
         if batch == 0:
-            return self.spark.createDataFrame([], "event_id string")
-        return self.spark.read.schema("event_id string, batch int").parquet(f"{self.path}/processed").where(F.col("batch") < batch).select("event_id")
+            return self.spark.createDataFrame([], f"{schema}, batch int, day date")
+        return self.spark.read.schema(f"{schema}, batch int, day date").parquet(f"{self.path}/{name}").where(F.col("batch") < batch)
+
+    def processed(self, batch: int, events: DataFrame) -> DataFrame:
+        """Ids of the batches before this one, as far back as they are kept."""
+        known = self.history("processed", "event_id string", batch)
+        if self.keep is not None and batch:
+            since = events.agg(F.to_date(F.min("received_at") - F.expr(f"INTERVAL '{self.keep}' SECOND"))).first()[0]
+            known = known.where(F.col("day") >= F.lit(since)) if since else known
+        return known.select("event_id")
+
+    def known(self, rows: DataFrame, batch: int) -> DataFrame:
+        """The latest revisions of the days that late events of this batch fall in."""
+        days = [r.day for r in rows.where("is_late").select(F.to_date("window_start").alias("day")).distinct().collect()]  # a value a day
+        return aggregates.latest(self.history("revisions", REVISION, batch).where(F.col("day").isin(*days)) if days else self.spark.createDataFrame([], REVISION)).select(*LATEST)
 
     def revisions(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/revisions").drop("batch")
+        return self.spark.read.schema(f"{REVISION}, batch int, day date").parquet(f"{self.path}/revisions").drop("batch", "day")
 
     def latest(self) -> DataFrame:
         return aggregates.latest(self.revisions())
 
     def process(self, events: DataFrame, batch: int) -> None:
-        marks, waiting, known = self.read("marks", MARKS, batch - 1), self.read("open", OPEN, batch - 1), self.read("latest", LATEST, batch - 1)
-        fresh = dedup.unprocessed(dedup.first_occurrences(events, order=("partition", "offset")), self.processed(batch))
+        marks, waiting = self.read("marks", MARKS, batch - 1), self.read("open", OPEN, batch - 1)
+        fresh = dedup.unprocessed(dedup.first_occurrences(events, order=("partition", "offset")), self.processed(batch, events))
         rows = windows.classified(fresh, self.window, self.lateness, carried=marks).persist()
         try:
             tops = rows.groupBy("partition").agg(F.max("occurred_at").alias("max_occurred_at")).unionByName(marks).groupBy("partition").agg(F.max("max_occurred_at").alias("max_occurred_at"))
@@ -54,14 +76,12 @@ class MeteringStream:
             gathered = waiting.unionByName(aggregates.on_time(rows).select(*waiting.columns)).groupBy("tenant_id", "metric", "partition", "window_start", "window_end").agg(F.sum("quantity").cast(MONEY).alias("quantity"), F.sum("event_count").alias("event_count"))
             judged = gathered.join(watermark, "partition").withColumn("done", F.col("watermark") >= F.col("window_end"))
             done = judged.where("done").join(aggregates.first_crossings(rows, judged.where("done")), ["partition", "window_end"], "left").withColumn("revision", F.lit(0)).select(*aggregates.COLUMNS)
-            state = known.unionByName(done.select(*known.columns))
+            state = self.known(rows, batch).unionByName(done.select(*LATEST))
             fixes = self.corrected(rows, state)
-            self.write(done.unionByName(fixes), f"revisions/batch={batch}")
-            self.write(rows.select("event_id"), f"processed/batch={batch}")
+            self.write(done.unionByName(fixes), f"revisions/batch={batch}", "window_start")
+            self.write(rows.select("event_id", "received_at"), f"processed/batch={batch}", "received_at")
             self.write(tops, f"state/batch={batch}/marks")
             self.write(judged.where("NOT done").select(*waiting.columns), f"state/batch={batch}/open")
-            newest = state.unionByName(fixes.select(*known.columns)).groupBy(*KEY).agg(F.max_by(F.struct("quantity", "event_count", "revision"), "revision").alias("r")).select(*KEY, "r.*")
-            self.write(newest, f"state/batch={batch}/latest")
         finally:
             rows.unpersist()
 

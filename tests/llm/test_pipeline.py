@@ -36,3 +36,44 @@ def test_secrets_go(spark, docs):
 def test_tokens(spark, docs):
     out = dict(corpus_pipeline.STAGES)["byte-level bpe"](spark, docs, SF)
     assert out.count() == docs.count() and out.where("doc_id = 90002").first().n_tokens == 0
+
+
+def test_run_against_plain_loops(spark):
+    """run() on whole tables, step by step in plain Python; the classifier's scores and the random spans are the operators' own."""
+    import hashlib
+
+    import public_tokenizers as P
+    import tiktoken
+    from test_documents import plain_components
+
+    from gaugeworks.llm import bpe, decontaminate, quality, secrets
+
+    docs, labels, bench = (table(spark, SF, t) for t in ("documents", "labels", "benchmark"))
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert len(rows) == docs.count()
+    scores = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
+    kept = {i: r.text for i, r in rows.items() if scores[i] >= 0.5}
+    kept = {i: kept[i] for i, _, _, first in plain_components(list(kept.items())) if first}
+    windows = {w for r in bench.collect() for w in decontaminate.windows(decontaminate.words(r.text), 10)}
+
+    def clean(text):
+        ws = decontaminate.words(text)
+        return not any(tuple(ws[s : s + len(w)]) == w for w in windows for s in range(len(ws) - len(w) + 1))
+
+    kept = {i: t for i, t in kept.items() if clean(t)}
+    assert 0.3 * len(rows) < len(kept) < len(rows) - 10
+    found = {r.doc_id: r.found for r in secrets.secrets(docs.where(docs.doc_id.isin(*kept))).collect()}
+    public, expected = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={}), set()
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+    for i, text in kept.items():
+        out, at = "", 0
+        for s in found[i]:
+            if s.start >= at:
+                out += text[at : s.start] + "[SECRET]"
+            at = max(at, s.end)
+        out += text[at:]
+        ids = public.encode_ordinary(out)
+        said = " ".join(map(str, ids))
+        expected.add((i, rows[i].lang, rows[i].source, len(ids), said, digest(said.encode()), digest(out.encode())))
+    got = corpus_pipeline.run(spark, SF).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256").collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)

@@ -37,6 +37,18 @@ def test_cuts(spark, log, expected, tmp_path, cuts):
     assert revisions(stream.revisions()) == expected
 
 
+def test_ids_are_kept_for_a_time(spark, log, tmp_path):
+    """Within the time kept a repeated id counts once; after it, it is new. Only the days within reach are read."""
+    stream = MeteringStream(spark, str(tmp_path), DAY, HOUR, keep_seconds=2 * DAY)
+    one = log.where("offset < 3")
+    later = lambda days: one.withColumn("received_at", F.col("received_at") + F.make_dt_interval(days=F.lit(days))).withColumn("offset", F.col("offset") + 1000 * days)
+    stream.process(one, 0)
+    n = one.select("event_id").distinct().count()
+    for batch, days, new in ((1, 1, 0), (2, 40, n)):
+        stream.process(later(days), batch)
+        assert spark.read.parquet(f"{tmp_path}/processed").where(F.col("batch") == batch).count() == new
+
+
 def test_rows_of_the_log_connector(spark, log, expected, tmp_path):
     """The wire form as the connector's rows (key, value, partition, offset), from files in its place."""
     import json
