@@ -13,8 +13,10 @@ documents; nothing of the documents is shuffled.
 
 Defined cases: null or wordless documents have no words and no hits; null,
 wordless or id-less items take no part; repeated items and repeated ids count
-once; documents with a null or repeated id are judged row by row; further
-columns of either table are not read.
+once; documents with a null or repeated id are judged row by row; texts of any
+length are read whole; of a window's equally rare words the least is its prefix;
+an empty table of documents gives no rows, one of items no hits; further columns
+of either table are not read, whatever their names.
 """
 
 from __future__ import annotations

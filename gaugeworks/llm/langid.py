@@ -16,7 +16,9 @@ with such a row).
 
 Defined cases: `und` with score 0 for a null text or one without a letter;
 rows whose language is null teach nothing; with no language to learn from
-every text is `und`; texts are read whole, row by row, repeated ids stay.
+every text is `und`; texts are read whole, row by row, repeated ids stay; of
+languages with equal scores the first by name is predicted; an empty table gives
+no rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

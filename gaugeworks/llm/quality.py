@@ -10,7 +10,9 @@ Defined cases: a null text is the empty text; an empty text is one empty line
 and gets its score; texts are scored whole; rows are scored one by one, so
 repeated ids stay; labels that are null or whose id is null teach nothing; a
 repeated labelled id teaches once a row; with no labels of one kind the score
-is 1 or 0 throughout (1 with no labels at all). Scoring reads the text only.
+is 1 or 0 throughout (1 with no labels at all). Scoring reads the text only;
+further columns are not read, whatever their names; an empty table of documents
+gives no rows.
 """
 
 from __future__ import annotations

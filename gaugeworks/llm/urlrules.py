@@ -16,8 +16,10 @@ expression. Rules without a token are candidates for every URL.
 
 Defined cases: a null URL or one without `://` has an empty host and path and
 no host rule; patterns still see the URL (null: none fits, so it is allowed).
-Rows are judged one by one, so repeated ids stay; other columns are not read.
-No row is shuffled.
+Of host rules of one length that fit, the last by name wins. URLs of any length
+are read whole. Rows are judged one by one, so repeated ids and rows stay; an
+empty table gives no rows; other columns are not read, whatever their names. No
+row is shuffled.
 """
 
 from __future__ import annotations
