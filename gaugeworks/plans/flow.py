@@ -22,9 +22,9 @@ class Flow:
         self.spark, self.sf_dir = spark, sf_dir
 
     def stored(self) -> Flow:
-        """The same flow with its classified rows and its revisions written once, for queries that read them several times."""
+        """The same flow with its revisions written too, for queries that read them several times."""
         x = Flow(self.spark, self.sf_dir)
-        x.rows = x.unique = usage.written(self.rows)
+        x.rows = x.unique = x.kept = self.kept
         x.revisions = usage.written(x.revisions)
         return x
 
@@ -40,17 +40,22 @@ class Flow:
     def rows(self) -> DataFrame:
         return windows.classified(self.unique, WINDOW, LATENESS)
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The classified rows, written once: what seals, corrects and audits reads them several times, and each time would make the log anew."""
+        return usage.written(self.rows)
+
     @cached_property
     def watermarks(self) -> DataFrame:
         return windows.final_watermarks(self.unique, LATENESS)
 
     @cached_property
     def sealed(self) -> DataFrame:
-        return aggregates.sealed(self.rows)
+        return aggregates.sealed(self.kept)
 
     @cached_property
     def corrections(self) -> DataFrame:
-        return aggregates.corrections(self.rows, self.sealed)
+        return aggregates.corrections(self.kept, self.sealed)
 
     @cached_property
     def revisions(self) -> DataFrame:

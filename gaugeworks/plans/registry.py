@@ -212,7 +212,7 @@ def late_arrivals(x: Flow):
 
 @query("latest", f"SELECT tenant_id, metric, window_start, quantity, revision FROM latest WHERE window_start >= TIMESTAMP '{RANGE[0]}' AND window_end <= TIMESTAMP '{RANGE[1]}'")
 def usage_range(x: Flow):
-    return aggregates.within(x.latest, at(RANGE[0]), at(RANGE[1])).select("tenant_id", "metric", "window_start", "quantity", "revision")
+    return aggregates.within(x.latest, at(RANGE[0]), at(RANGE[1])).select("tenant_id", "metric", "window_start", "quantity", "revision").orderBy("window_start", "tenant_id", "metric")
 
 
 @query("outb", "SELECT id, aggregate_key, quantity, created_at, attempts FROM outb WHERE published_at IS NULL AND attempts < 5 ORDER BY id LIMIT 100")
@@ -228,7 +228,7 @@ def outbox_status(x: Flow):
 @query("latest", f"""SELECT tenant_id, metric, window_start, revision, CASE WHEN revision > 0 THEN 'CORRECTED' ELSE 'SEALED' END AS status FROM latest
 UNION ALL SELECT o.tenant_id, o.metric, o.window_start, 0, CASE WHEN o.window_end <= TIMESTAMP '{NOW}' THEN 'SEALING' ELSE 'OPEN' END FROM (SELECT DISTINCT tenant_id, metric, "partition", window_start, window_end FROM prog WHERE NOT is_late) o JOIN marks m ON m."partition" = o."partition" AND m.watermark < o.window_end""")
 def window_status(x: Flow):
-    unsealed = aggregates.open_windows(x.rows, x.watermarks).withColumn("revision", F.lit(0)).withColumn("sealed_at", F.lit(None).cast("timestamp_ntz"))
+    unsealed = aggregates.open_windows(x.kept, x.watermarks).withColumn("revision", F.lit(0)).withColumn("sealed_at", F.lit(None).cast("timestamp_ntz"))
     return windows.status(x.latest.unionByName(unsealed), at(NOW)).select("tenant_id", "metric", "window_start", "revision", "status")
 
 
@@ -559,5 +559,5 @@ def synthetic_events(x: Flow):
 @query("prog", """SELECT tenant_id, metric, sum(quantity) AS raw_quantity FROM prog GROUP BY ALL""")
 def conservation(x: Flow):
     """What is sealed or still open adds up to what came in."""
-    both = x.latest.select("tenant_id", "metric", "quantity").unionByName(aggregates.open_windows(x.rows, x.watermarks).select("tenant_id", "metric", "quantity"))
+    both = x.latest.select("tenant_id", "metric", "quantity").unionByName(aggregates.open_windows(x.kept, x.watermarks).select("tenant_id", "metric", "quantity"))
     return both.groupBy("tenant_id", "metric").agg(F.sum("quantity").cast(usage.MONEY).alias("raw_quantity"))
