@@ -188,18 +188,38 @@ class BytePairs:
     def encode_all(self, words) -> dict[bytes, list[int]]:
         """`encode` of each word: in order, so that a word goes on from the table of what it begins with."""
         out, last, states, before = {}, [-1], [0], b""
+        own, onward, base, ending, size = self.ranks.get, self.next.get, self.base, self.ending, self.size
         for w in sorted(words):
-            if (own := self.ranks.get(w)) is not None:
-                out[w] = [own]
+            if (whole := own(w)) is not None:
+                out[w] = [whole]
                 continue
             same = 0
             for x, y in zip(w, before):
                 if x != y:
                     break
                 same += 1
-            del last[same + 1 :], states[same + 1 :]
-            out[w] = self.read(self.extend(w, last, states))
             before = w
+            del last[same + 1 :], states[same + 1 :]
+            state, known = states[same], self.fits.get
+            for b in w[same:]:  # as in `extend`, without a call for each word
+                to = onward(state << 8 | b)
+                state = self.step(state, b) if to is None else to
+                states.append(state)
+                for token, n in ending[state]:
+                    left = last[-n]
+                    good = known(left * base + token)
+                    if good or good is None and self.new_pair(left, token):
+                        last.append(token)
+                        break
+                else:
+                    raise ValueError(f"no token ends at byte {len(last)}")
+            ids, i = [], len(w)
+            while i:
+                token = last[i]
+                ids.append(token)
+                i -= size[token]
+            ids.reverse()
+            out[w] = ids
         return out
 
     def decode(self, ids: list[int]) -> bytes:
