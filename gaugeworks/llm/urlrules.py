@@ -43,6 +43,9 @@ PATTERN_RULES = [
     "||tracker.*^",
     "||doubleclick.net^",
     "||casino.*^",
+    "||ads-*^",
+    "||casino-*^",
+    "^utm_source=feed^",
     "/banner/*/ad^",
     "/popup/*.js|",
     "^utm_medium=spam^",
@@ -132,19 +135,3 @@ def verdicts(pages: DataFrame, key: str = "page_id", url: str = "url", host_rule
         .withColumn("best", best)
         .select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"), F.transform(F.filter("fitting", lambda r: ~r["host"]), lambda r: r["rule"]).alias("patterns"))
     )
-
-
-def sql(host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> str:
-    """The same without an index, for DuckDB."""
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    rules = compiled(host_rules, pattern_rules)
-    hosts = sorted((r for r in rules if r["host"]), key=lambda r: (-r["size"], r["rule"]))
-    case = lambda what: "CASE " + " ".join(f"WHEN regexp_matches(host || path, {q(r['regex'])}) THEN {q(r[what])}" for r in hosts) + " END"
-    fits = lambda v: "(" + " OR ".join([*(f"regexp_matches(u, {q(r['regex'])})" for r in rules if not r["host"] and r["verdict"] == v), "false"]) + ")"
-    return f"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
-p AS (SELECT page_id, u, translate(regexp_extract(u, '(?s)://([^/?#]*)', 1), '{LOWER[0]}', '{LOWER[1]}') AS host,
-             regexp_extract(u, '(?s)://[^/?#]*([^?#]*)', 1) AS path FROM u)
-SELECT page_id, host, path, {case("rule")} AS rule,
-       coalesce({case("verdict")}, CASE WHEN {fits("block")} AND NOT {fits("allow")} THEN 'block' ELSE 'allow' END) AS verdict
-FROM p"""

@@ -223,6 +223,9 @@ BY_HAND = [
     (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?tracker\..*([^a-z0-9_.%-]|$)"),
     (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?doubleclick\.net([^a-z0-9_.%-]|$)"),
     (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?casino\..*([^a-z0-9_.%-]|$)"),
+    (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?ads-.*([^a-z0-9_.%-]|$)"),
+    (True, r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?casino-.*([^a-z0-9_.%-]|$)"),
+    (True, r"([^a-z0-9_.%-]|$)utm_source=feed([^a-z0-9_.%-]|$)"),
     (True, r"/banner/.*/ad([^a-z0-9_.%-]|$)"),
     (True, r"/popup/.*\.js$"),
     (True, r"([^a-z0-9_.%-]|$)utm_medium=spam([^a-z0-9_.%-]|$)"),
@@ -250,9 +253,9 @@ def plain_verdict(url):
 
 def test_patterns_against_rules_written_by_hand(spark):
     rng = random.Random(12)
-    hosts = ["ads.x.org", "a.ads.io", "track.example.net", "tracker.b.fr", "casino.example.org", "x.casino.de", "malware.test", "doubleclick.net", "example.org", "Www.Example.org", "shop.de", "example.com", "b.example.com", "www.example.com", "x.net", "loads.org"]
+    hosts = ["ads.x.org", "a.ads.io", "track.example.net", "tracker.b.fr", "casino.example.org", "x.casino.de", "malware.test", "doubleclick.net", "example.org", "Www.Example.org", "shop.de", "example.com", "b.example.com", "www.example.com", "x.net", "loads.org", "m.casino-win.example.fr", "ads-track.net"]
     parts = ["banner", "7", "ad", "ads.js", "popup", "x.js", "wp-login.php", "wp-login.phpx", "porn", "download", "public", "en", "es", "fr", "EN", "é"]
-    queries = ["", "?utm_medium=spam", "?a=1&utm_medium=spam&b", "?sessionid=4;tracking=1", "?sessionid=4&tracking=1", "#/porn/", "?q=utm_medium=spammer", "?"]
+    queries = ["", "?utm_medium=spam", "?utm_source=feed", "?utm_source=feeds", "?a=1&utm_medium=spam&b", "?sessionid=4;tracking=1", "?sessionid=4&tracking=1", "#/porn/", "?q=utm_medium=spammer", "?"]
     urls = [rng.choice(["http", "https", "HTTP", "ftp"]) + "://" + rng.choice(hosts) + "".join("/" + rng.choice(parts) for _ in range(rng.randint(0, 4))) + rng.choice(["", "/"]) + rng.choice(queries) for _ in range(4000)]
     urls += [None, "", "no scheme", "://", "http://", "x" * 200_000 + "://ads.x.org/", "http://shop.de/" + "a/" * 100_000 + "porn/", "http://ads.x.org/\n"]
     rows = spark.createDataFrame([(i % 3900, u, "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string, u string")
