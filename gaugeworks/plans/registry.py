@@ -551,7 +551,15 @@ def reconcile_history(x: Flow):
     return judged(x, True).orderBy(F.desc("window_start"), "tenant_id", "metric").limit(50).select("tenant_id", "metric", "window_start", "difference", "divergence_class")
 
 
-@query()
+def sql_uniform(salt: int) -> str:
+    one = f"((id % 2147483648) * 1640531527 + {salt * 374_761_393}) & 4294967295"
+    two = f"(xor({one}, ({one}) >> 15) * 1540483477) & 4294967295"
+    return f"(xor({two}, ({two}) >> 13) % 1000000 / 1000000)"
+
+
+@query(None, f"""SELECT 'event_' || id AS event_id, 'tenant_' || CASE WHEN {sql_uniform(1)} < 0.8 THEN 0 ELSE CAST(1 + floor({sql_uniform(2)} * 9) AS BIGINT) END AS tenant_id, 'api_calls' AS metric,
+CAST(1 + floor({sql_uniform(4)} * 10) AS DECIMAL(38,9)) AS quantity, TIMESTAMP '2024-01-01' + to_seconds(id) AS occurred_at, TIMESTAMP '2024-01-01' + to_seconds(id + CASE WHEN {sql_uniform(3)} < 0.05 THEN 120 ELSE 0 END) AS received_at,
+CAST(NULL AS VARCHAR) AS idempotency_key, 'high' AS priority FROM range(10000) t(id)""")
 def synthetic_events(x: Flow):
     return usage.synthetic(x.spark, 10_000).drop("metadata")
 

@@ -160,9 +160,18 @@ def file_source(spark: SparkSession, path: str, schema: T.StructType = LOG_RECOR
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def uniform(n: Column, salt: int) -> Column:
+    """A number in [0, 1) from a whole number, by 32-bit integer steps that any SQL has."""
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    x = low(F.pmod(n, F.lit(1 << 31)) * F.lit(1_640_531_527) + F.lit(salt * 374_761_393))
+    x = low(x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(1_540_483_477))
+    x = x.bitwiseXOR(F.shiftright(x, 13))
+    return (x % 1_000_000) / 1_000_000
+
+
 def synthetic(spark: SparkSession, n: int, tenant_count: int = 10, hot_share: float = 0.8, late_share: float = 0.05, start: str = "2024-01-01 00:00:00") -> DataFrame:
     """Deterministic events: a hot tenant, whole quantities from 1 to 10, some late."""
-    u = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000)) / 1_000_000
+    u = lambda salt: uniform(F.col("id"), salt)
     tenant = F.when(u(1) < hot_share, F.lit(0)).otherwise(1 + F.floor(u(2) * (tenant_count - 1)))
     at = F.expr(f"TIMESTAMP_NTZ'{start}'") + F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)"))
     delay = F.when(u(3) < late_share, 120).otherwise(0)
