@@ -52,7 +52,10 @@ def joined_by_hot_keys(rows: DataFrame, counts: DataFrame, on: list[str], row: C
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = counts.agg(F.sum(n)).first()[0] or 1
-    hot = F.broadcast(counts.where(F.col(n) > total / partitions).select(*on, F.ceil(F.col(n) * (2 * partitions / total)).alias("__parts")))
+    hot = counts.where(F.col(n) > total / partitions).select(*on, F.ceil(F.col(n) * (2 * partitions / total)).alias("__parts"))
+    # a row that meets nothing keeps the plan the same whether or not there are hot keys
+    no_key = rows.sparkSession.range(1).select(*(F.lit(None).cast(counts.schema[c].dataType).alias(c) for c in on), F.lit(None).cast("long").alias("__parts"))
+    hot = F.broadcast(hot.unionByName(no_key))
     none = F.lit(0).cast("long")
     one = rows.join(hot, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(row), "__parts"), none)).drop("__parts")
     every = (counts if other is None else other).join(hot, on, "left").withColumn("__part", F.explode(F.sequence(none, F.coalesce(F.col("__parts") - 1, none)))).drop("__parts")
