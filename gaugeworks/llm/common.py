@@ -6,6 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -52,13 +54,18 @@ def joined_by_hot_keys(rows: DataFrame, counts: DataFrame, on: list[str], row: C
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = counts.agg(F.sum(n)).first()[0] or 1
-    hot = counts.where(F.col(n) > total / partitions).select(*on, F.ceil(F.col(n) * (2 * partitions / total)).alias("__parts"))
-    # a row that meets nothing keeps the plan the same whether or not there are hot keys
-    no_key = rows.sparkSession.range(1).select(*(F.lit(None).cast(counts.schema[c].dataType).alias(c) for c in on), F.lit(None).cast("long").alias("__parts"))
+    names = [f"__hot{i}" for i in range(len(on))]
+    hot = counts.where(F.col(n) > total / partitions).select(*(F.col(c).alias(h) for c, h in zip(on, names)), F.ceil(F.col(n) * (2 * partitions / total)).alias("__parts"))
+    # a row of nulls, which meets no key, keeps the plan the same whether or not there are hot keys
+    no_key = rows.sparkSession.range(1).select(*(F.lit(None).cast(counts.schema[c].dataType).alias(h) for c, h in zip(on, names)), F.lit(None).cast("long").alias("__parts"))
     hot = F.broadcast(hot.unionByName(no_key))
+
+    def with_parts(df: DataFrame) -> DataFrame:
+        return df.join(hot, reduce(and_, (F.col(c).eqNullSafe(F.col(h)) for c, h in zip(on, names))), "left").drop(*names)
+
     none = F.lit(0).cast("long")
-    one = rows.join(hot, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(row), "__parts"), none)).drop("__parts")
-    every = (counts if other is None else other).join(hot, on, "left").withColumn("__part", F.explode(F.sequence(none, F.coalesce(F.col("__parts") - 1, none)))).drop("__parts")
+    one = with_parts(rows).withColumn("__part", F.coalesce(F.pmod(F.xxhash64(row), "__parts"), none)).drop("__parts")
+    every = with_parts(counts if other is None else other).withColumn("__part", F.explode(F.sequence(none, F.coalesce(F.col("__parts") - 1, none)))).drop("__parts")
     return one.join(every, [*on, "__part"]).drop("__part")
 
 
