@@ -60,13 +60,22 @@ def numbered_in_chunks(df: DataFrame, by: list, chunk: Column, order: list, name
     return inner.join(before, [*by, "__chunk"]).withColumn(name, F.col("__before") + F.col("__rn") - 1 + F.lit(start).cast("long")).drop("__chunk", "__before", "__rn")
 
 
-def numbered_globally(df: DataFrame, group: list, order: list, name: str = "id") -> DataFrame:
-    """1, 2, ... over all rows in the order (*group, *order), without one task sorting everything:
-    rows are numbered within their group, and each group starts after the rows of the groups before it."""
-    sizes = df.groupBy(*group).agg(F.count("*").alias("__n"))  # a row a group
-    before = sizes.select(*group, (F.sum("__n").over(Window.orderBy(*group)) - F.col("__n")).alias("__before"))
-    inner = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    return inner.join(before, group).withColumn(name, (F.col("__before") + F.col("__rn")).cast("long")).drop("__before", "__rn")
+def numbered_globally(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """1, 2, ... over all rows in the order given, which no two rows may share if the numbers are to be the same in each run.
+
+    Rows are dealt out by ranges of the order, so a hot group is many tasks; a row's number is its place in its own
+    range after the rows of the ranges before. Only a count for each range comes to the driver.
+    """
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", 33)
+    counts = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row a range
+    starts, before = [], 0
+    for p, n in counts:
+        starts.append((p, before))
+        before += n
+    firsts = F.broadcast(df.sparkSession.createDataFrame(starts, "__part long, __before long"))
+    place = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("__part", part).join(firsts, "__part").withColumn(name, F.col("__before") + place + 1).drop("__part", "__before", "__place")
 
 
 def written(df: DataFrame) -> DataFrame:
