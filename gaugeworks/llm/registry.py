@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, langid, neardup, pii, quality, repeats, secrets, urlrules
+from . import ann, bpe, decontaminate, langid, neardup, pagetext, pii, quality, repeats, secrets, urlrules
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.main_text(table(spark, sf_dir, "pages"))
+
+
 OP1_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -100,5 +104,5 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com
 FROM r
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_pii": op2_pii, "op3_neighbours": op3_neighbours, "op4_repeats": op4_repeats, "op5_quality": op5_quality, "op6_secret_scan": op6_secret_scan, "op7_url_rules": op7_url_rules, "op8_near_duplicates": op8_near_duplicates, "op9_language": op9_language, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_pii": op2_pii, "op3_neighbours": op3_neighbours, "op4_repeats": op4_repeats, "op5_quality": op5_quality, "op6_secret_scan": op6_secret_scan, "op7_url_rules": op7_url_rules, "op8_near_duplicates": op8_near_duplicates, "op9_language": op9_language, "op10_byte_bpe": op10_byte_bpe, "op11_page_text": op11_page_text}
 SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_url_rules": OP7_SQL, "op8_near_duplicates": OP8_SQL}
