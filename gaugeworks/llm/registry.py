@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, langid, neardup, pagetext, pii, quality, repeats, secrets, urlrules
+from . import ann, bpe, decontaminate, langid, neardup, pagetext, pii, quality, repeats, secrets, spelling, urlrules
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -104,5 +108,31 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com
 FROM r
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_pii": op2_pii, "op3_neighbours": op3_neighbours, "op4_repeats": op4_repeats, "op5_quality": op5_quality, "op6_secret_scan": op6_secret_scan, "op7_url_rules": op7_url_rules, "op8_near_duplicates": op8_near_duplicates, "op9_language": op9_language, "op10_byte_bpe": op10_byte_bpe, "op11_page_text": op11_page_text}
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_url_rules": OP7_SQL, "op8_near_duplicates": OP8_SQL}
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END, i)) AS t"
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text in UTF-8; `t` is the table of CRC_TABLE."""
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(length({digits}) // 2), lambda i: CAST('0x' || substr({digits}, 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, v: xor(c >> 8, t[xor(c, v) % 256 + 1]), 4294967295), 4294967295)"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE tab AS MATERIALIZED ({CRC_TABLE}),
+r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, {LOWER}), '[a-z\u00C0-\u00FF]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+h AS MATERIALIZED (SELECT run, k, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM r, tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+d AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+      UNION SELECT d.word, v.word FROM d JOIN v ON d.d = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.d = v.word),
+m AS (SELECT p.a AS word, count(*) AS n_near, arg_min(v.word, (-v.n, v.word)) AS best, max(v.n) AS best_n FROM p JOIN v ON v.word = p.b GROUP BY p.a),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM v LEFT JOIN m USING (word)),
+up(word, root) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f AS e ON e.word = up.root AND e.form IS NULL
+"""
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_pii": op2_pii, "op3_neighbours": op3_neighbours, "op4_repeats": op4_repeats, "op5_quality": op5_quality, "op6_secret_scan": op6_secret_scan, "op7_url_rules": op7_url_rules, "op8_near_duplicates": op8_near_duplicates, "op9_language": op9_language, "op10_byte_bpe": op10_byte_bpe, "op11_page_text": op11_page_text, "op13_spelling_variants": op13_spelling_variants}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_url_rules": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op13_spelling_variants": OP13_SQL}
