@@ -2,8 +2,9 @@
 
 Pages are sorted by host and URL path. A page's nearest pages are the two before and the two after it of the same host;
 its text lines are aligned with those of each by a longest common subsequence. What a page shares with its neighbours is
-the site's, not the article's: a line that two neighbours share with it (one, if it has only one) is deleted. A neighbour
-that shares half of the text or more is a copy of the article, not another page of the site: it has no say.
+the site's, not the article's: a line that all its neighbours share with it is deleted. A neighbour that shares half of the
+text or more is a copy of the article, not another page of the site: it has no say. Where only one has a say, and an
+element says where the article is, nothing is deleted by it: a common line of the articles themselves would go too often.
 
 Differencing can't see what differs from page to page. So lines inside elements that are named as menu, header, footer,
 sidebar, notice, advert, form or reader comments (by tag, role, class or id), script, style and hidden elements go too, so do
@@ -90,8 +91,8 @@ def marks(name: str, tail: str) -> tuple[bool, int]:
     return drop and name not in ("html", "body"), rank
 
 
-def lines(page: str) -> tuple[list[str], list[bool]]:
-    """The text lines of a page, in order, and for each whether its markup lets it stay. One pass over the page."""
+def lines(page: str) -> tuple[list[str], list[bool], bool]:
+    """The text lines of a page, in order, for each whether its markup lets it stay, and whether an element holds the article. One pass over the page."""
     out: list[tuple[str, int, bool]] = []  # text, rank (-1: goes), links only
     stack: list[tuple[str, tuple | None]] = []  # name; what it changes: drops, rank, a header
     opened: dict[str, int] = {}
@@ -213,7 +214,7 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
             if e - k >= 3:
                 stay[k:e] = [False] * (e - k)
             k = max(e, k + 1)
-    return [t for t, _, _ in out], stay
+    return [t for t, _, _ in out], stay, best > 1
 
 
 def steps(a: list[int], where: dict[int, int], m: int) -> list[int]:
@@ -279,8 +280,8 @@ def last_row(a: list[int], b: list[int]) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(1 - free.astype(np.int64))))
 
 
-def shared(sigs: list[int], sizes: list[int], others: list[tuple[list[int], list[int]]], copy: float = 0.5) -> list[int]:
-    """Lines to delete: those that two of the other pages share (one, if only one has a say). sizes: characters of lines that markup lets stay, else 0."""
+def shared(sigs: list[int], sizes: list[int], named: bool, others: list[tuple[list[int], list[int]]], copy: float = 0.5) -> list[int]:
+    """Lines to delete: those that all other pages with a say share. sizes: characters of lines that markup lets stay, else 0. named: an element holds the article."""
     votes: dict[int, int] = {}
     voters, own = 0, sum(sizes)
     for b, theirs in others:
@@ -290,7 +291,7 @@ def shared(sigs: list[int], sizes: list[int], others: list[tuple[list[int], list
         voters += 1
         for i in same:
             votes[i] = votes.get(i, 0) + 1
-    return sorted(i for i, v in votes.items() if v >= min(2, voters) and sizes[i])
+    return sorted(i for i, v in votes.items() if v == voters and sizes[i]) if voters > named else []
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -308,12 +309,13 @@ def row_key(*columns: str) -> Column:
 def hashed(batches):
     """Line hashes and lengths of each page (column __html last)."""
     for batch in batches:
-        sigs, sizes = [], []
+        sigs, sizes, named = [], [], []
         for page in batch.column(batch.num_columns - 1):
-            texts, stay = lines(page.as_py() or "")
+            texts, stay, known = lines(page.as_py() or "")
+            named.append(known)
             sigs.append([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in texts])
             sizes.append([len(t) * s for t, s in zip(texts, stay)])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sigs, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "sigs", "sizes"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sigs, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(named, pa.bool_())], names=[*batch.schema.names[:-1], "sigs", "sizes", "named"])
 
 
 def compared(batches):
@@ -326,7 +328,7 @@ def compared(batches):
             if me is None:
                 continue
             others = [(p["sigs"], p["sizes"]) for _, p in sorted(pages.items()) if p["host"] == me["host"]]
-            if found := shared(me["sigs"], me["sizes"], others):
+            if found := shared(me["sigs"], me["sizes"], me["named"], others):
                 keys.append(me["key"])
                 gone.append(found)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(gone, pa.list_(pa.int32()))], names=["__key", "__gone"])
@@ -337,7 +339,7 @@ def written_out(batches):
     for batch in batches:
         texts = []
         for page, gone in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
-            found, stay = lines(page.as_py() or "")
+            found, stay, _ = lines(page.as_py() or "")
             for i in gone.as_py() or ():
                 stay[i] = False
             texts.append("\n".join(t for t, s in zip(found, stay) if s))
@@ -348,11 +350,11 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     """__key (`row_key` of page_id, url, html) and __gone, the numbers of the lines that differencing deletes; only pages that lose lines."""
     host, path = host_and_path(F.col("url"))
     read = pages.select(row_key("page_id", "url", "html").alias("key"), host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("url"), F.col("html").alias("__html"))
-    one = read.mapInArrow(released(hashed), "key string, host string, path string, url string, sigs array<long>, sizes array<int>").groupBy("key", "host", "path", "url").agg(F.first("sigs").alias("sigs"), F.first("sizes").alias("sizes"))
+    one = read.mapInArrow(released(hashed), "key string, host string, path string, url string, sigs array<long>, sizes array<int>, named boolean").groupBy("key", "host", "path", "url").agg(*(F.first(c).alias(c) for c in ("sigs", "sizes", "named")))
     placed = numbered_globally(materialize(one), ["host", "path", "url", "key"], "n")
     step = F.explode(F.array(*(F.lit(k) for k in (-2, -1, 0, 1, 2)))).alias("step")
     # a page stands at its own number and at those of the pages that it is near to
-    near = placed.select(step, "*").groupBy((F.col("n") - F.col("step")).alias("n")).agg(F.collect_list(F.struct("step", "key", "host", "sigs", "sizes")).alias("near"))
+    near = placed.select(step, "*").groupBy((F.col("n") - F.col("step")).alias("n")).agg(F.collect_list(F.struct("step", "key", "host", "sigs", "sizes", "named")).alias("near"))
     return near.select("near").mapInArrow(released(compared), "__key string, __gone array<int>")
 
 

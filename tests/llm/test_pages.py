@@ -42,7 +42,7 @@ def test_alignment_is_a_longest_common_subsequence(bits):
     ("<nav>", ""), ("x <b", "x"), ("", ""),
 ])
 def test_markup(page, text):
-    lines, stay = pagetext.lines(page)
+    lines, stay, _ = pagetext.lines(page)
     assert "\n".join(x for x, s in zip(lines, stay) if s) == text
 
 
@@ -67,13 +67,16 @@ def test_lines_that_neighbours_share_go(spark):
     assert got[100].startswith("Welcome")  # the only page of its host
 
 
-def test_copies_are_no_neighbours_and_one_partner_is_not_enough(spark):
+def test_copies_are_no_neighbours_and_not_every_neighbour_is_not_enough(spark):
     same = "<p>The very same article, word for word.</p><p>And its second line.</p>"
     rows = [(k, f"https://h.example/{k}", same) for k in range(4)]
     assert set(texts(pagetext.main_text(pages(spark, rows))).values()) == {"The very same article, word for word.\nAnd its second line."}
     licence = "<p>Under some licence.</p>"
     mixed = [(k, f"https://h.example/{k}", f"<p>Long story number {k}, told at length here.</p>" + licence * (k in (2, 3))) for k in range(6)]
     assert texts(pagetext.main_text(pages(spark, mixed)))[2].endswith("licence.")
+    for tag, ends in (("article", "licence."), ("div", "here.")):
+        two = [(k, f"https://h.example/{k}", f"<{tag}><p>Long story number {k}, told at length here.</p>{licence}</{tag}>") for k in range(2)]
+        assert texts(pagetext.main_text(pages(spark, two)))[0].endswith(ends)
 
 
 def test_defined_cases(spark):
@@ -92,17 +95,17 @@ def plain(rows):
     order = sorted(rows, key=lambda r: (host(r[1]).encode(), path(r[1]).encode(), r[1].encode()))
     out = {}
     for k, (page_id, url, html) in enumerate(order):
-        mine, stay = pagetext.lines(html)
+        mine, stay, named = pagetext.lines(html)
         votes, voters = [0] * len(mine), 0
         for j in (k - 2, k - 1, k + 1, k + 2):
             if 0 <= j < len(order) and host(order[j][1]) == host(url):
-                theirs, kept = pagetext.lines(order[j][2])
+                theirs, kept, _ = pagetext.lines(order[j][2])
                 same = pagetext.aligned(mine, theirs)
                 if 4 * sum(len(mine[i]) for i in same if stay[i]) < sum(len(x) for x, s in zip(mine, stay) if s) + sum(len(x) for x, s in zip(theirs, kept) if s):
                     voters += 1
                     for i in same:
                         votes[i] += 1
-        out[page_id] = "\n".join(x for x, s, v in zip(mine, stay, votes) if s and not (v and v >= min(2, voters)))
+        out[page_id] = "\n".join(x for x, s, v in zip(mine, stay, votes) if s and not (v and v == voters > named))
     return out
 
 
