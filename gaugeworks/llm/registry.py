@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, langid, neardup, pagetext, pii, quality, repeats, secrets, spelling, urlrules
+from . import ann, bpe, decontaminate, dialogue, langid, neardup, pagetext, pii, quality, repeats, secrets, spelling, urlrules
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repairs(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -134,5 +138,39 @@ up(word, root) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FRO
 SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f AS e ON e.word = up.root AND e.form IS NULL
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_pii": op2_pii, "op3_neighbours": op3_neighbours, "op4_repeats": op4_repeats, "op5_quality": op5_quality, "op6_secret_scan": op6_secret_scan, "op7_url_rules": op7_url_rules, "op8_near_duplicates": op8_near_duplicates, "op9_language": op9_language, "op10_byte_bpe": op10_byte_bpe, "op11_page_text": op11_page_text, "op13_spelling_variants": op13_spelling_variants}
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_url_rules": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op13_spelling_variants": OP13_SQL}
+
+
+def longer(way: str, edit: str, cost: str) -> str:
+    """SQL for a way (nine digits of cost, then its audit) with one more edit."""
+    return f"lpad(CAST(CAST(left({way}, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({way}, 10) || '{edit}'"
+
+
+INSERTED = f"""SELECT *, least(s3, {longer("i2", "I", "2")}) AS i3 FROM (SELECT *, least(s2, {longer("s0", "I", "2")}, {longer("s1", "I", "2")}, {longer("s3", "I", "2")}) AS i2 FROM {{0}})"""
+#: Ways from the first row on, a row at a time: s0 to s3 hold the least (cost, audit) of each item.
+OP12_SQL = f"""
+WITH RECURSIVE tab AS MATERIALIZED ({CRC_TABLE}),
+b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations, tab),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM b)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS c FROM d),
+r AS MATERIALIZED (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS must, coalesce(fault = 'truncated', false)::INT AS cut FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 'truncated' END AS fault FROM o)),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+    count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+way(conv_id, i, s0, s1, s2, s3) AS (SELECT conv_id, 0::BIGINT, '000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL
+    SELECT w.conv_id, r.i, {longer("s0", "D", "3")},
+        least({longer("s1", "D", "3")}, CASE WHEN NOT must AND c = 's' THEN {longer("s0", "K", "cut")} END),
+        least({longer("i2", "D", "3")}, CASE WHEN NOT must AND c = 'u' THEN {longer("least(s0, s1, i3)", "K", "cut")} END, CASE WHEN NOT must THEN {longer("least(s0, s1, i3)", "R", "2 + cut")} END),
+        least({longer("i3", "D", "3")}, CASE WHEN NOT must AND c = 'a' THEN {longer("i2", "K", "cut")} END, CASE WHEN NOT must THEN {longer("i2", "R", "2 + cut")} END)
+    FROM ({INSERTED.format("way")}) w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1),
+e AS (SELECT w.conv_id, CAST(left(least(s0, i3), 9) AS BIGINT) AS cost, substr(least(s0, i3), 10) AS audit FROM ({INSERTED.format("way")}) w LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(g.n, 0)),
+a AS (SELECT conv_id, k, audit[k] AS edit FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM e)),
+p AS (SELECT a.*, count_if(edit <> 'I') OVER w AS i, count_if(edit <> 'D') OVER w AS j FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+q AS (SELECT p.*, r.role, r.text, r.c, max((j = 1 AND edit = 'K' AND c = 's')::INT) OVER (PARTITION BY p.conv_id) AS head FROM p LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i WHERE edit <> 'D'),
+t AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS said FROM q GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost, audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_pii": op2_pii, "op3_neighbours": op3_neighbours, "op4_repeats": op4_repeats, "op5_quality": op5_quality, "op6_secret_scan": op6_secret_scan, "op7_url_rules": op7_url_rules, "op8_near_duplicates": op8_near_duplicates, "op9_language": op9_language, "op10_byte_bpe": op10_byte_bpe, "op11_page_text": op11_page_text, "op12_dialogue_repair": op12_dialogue_repair, "op13_spelling_variants": op13_spelling_variants}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_url_rules": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op12_dialogue_repair": OP12_SQL, "op13_spelling_variants": OP13_SQL}
