@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gaugeworks.sources.usage import MONEY
+from gaugeworks.operators.quota import small
+from gaugeworks.sources.usage import MONEY, written
 
 KEY = ["tenant_id", "metric", "window_start"]
 COLUMNS = ["tenant_id", "metric", "partition", "window_start", "window_end", "quantity", "event_count", "revision", "sealed_at"]
@@ -103,13 +104,41 @@ def append_strict(existing: DataFrame, new: DataFrame, path: str) -> None:
     checked.drop("is_duplicate").write.mode("append").parquet(path)
 
 
-def index_percentiles(rows: DataFrame, group: str, value: str, quantiles: list[float]) -> DataFrame:
-    """The element at index min(int(n * q), n - 1) of each group's sorted values.
+def index_percentiles(rows: DataFrame, group: str, value: str, quantiles: list[float], most: int = 10_000, splitters: int = 64) -> DataFrame:
+    """The element at index min(int(n * q), n - 1) of each group's sorted values; null values don't count.
 
-    Equal values are counted first; the order is over distinct values."""
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(group).orderBy(value)
-    placed = counts.withColumn("last", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(group)))
-    q = F.explode(F.array(*(F.lit(float(x)) for x in quantiles)))
-    at = F.least(F.floor(F.col("total") * F.col("q")), F.col("total") - 1)
-    return placed.withColumn("q", q).where((at >= F.col("last") - F.col("n")) & (at < F.col("last"))).select(group, F.col("q").alias("quantile"), F.col(value).alias("value"))
+    Selection by bracketing: the values of a bracket are cut at approximate percentiles of it, counts say which piece holds the
+    index, and that piece is the next bracket, until it is one value or has at most `most` rows; only those are sorted. Each round
+    divides a bracket by about `splitters`, and counts are made in each task before they meet, so a group of any size is many tasks.
+    """
+    rows = written(rows.select(F.struct(F.col(group).alias("g")).alias("g"), F.col(value).alias("v")).where("v IS NOT NULL"))  # a struct meets its like also where it holds a null
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("q", F.explode(F.array(*(F.lit(float(x)) for x in quantiles))))
+    # k: the index within the bracket, of n rows from lo to hi
+    brackets = written(sizes.select("g", "q", "n", "lo", "hi", F.least(F.floor(F.col("n") * F.col("q")), F.col("n") - 1).alias("k")))
+    found, bracket = [], ["g", "lo", "hi"]
+    while True:
+        found.append(brackets.where("lo = hi").select("g", "q", F.col("lo").alias("v")))
+        few = inside(rows, brackets.where(f"lo < hi AND n <= {most}"))
+        rank = F.row_number().over(Window.partitionBy("g", "q").orderBy("v")) - 1
+        found.append(few.withColumn("r", rank).where("r = k").select("g", "q", "v"))
+        large = brackets.where(f"lo < hi AND n > {most}")
+        if not large.limit(1).count():
+            break
+        ranges = large.select(*bracket).distinct()
+        cuts = inside(rows, ranges).groupBy(*bracket).agg(F.percentile_approx("v", [i / splitters for i in range(1, splitters)], 20 * splitters).alias("cuts"))
+        # a value that is a splitter has a piece of its own, so repeated values can't hold a bracket together
+        piece = F.size(F.filter("cuts", lambda c: c < F.col("v"))) * 2 + F.array_contains("cuts", F.col("v")).cast("int")
+        counts = inside(rows, written(cuts)).groupBy(*bracket, piece.alias("piece")).agg(F.count("*").alias("m"), F.min("v").alias("lo2"), F.max("v").alias("hi2"))
+        below = F.sum("m").over(Window.partitionBy(*bracket).orderBy("piece")) - F.col("m")  # 2 * splitters rows
+        placed = large.join(counts.withColumn("below", below), bracket).where("k >= below AND k < below + m")
+        brackets = written(placed.select("g", "q", F.col("m").alias("n"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), (F.col("k") - F.col("below")).alias("k")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select(F.col("g.g").alias(group), F.col("q").alias("quantile"), F.col("v").alias("value"))
+
+
+def inside(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Rows (g, v) with each bracket of their group that they lie in."""
+    b = small(brackets.withColumnRenamed("g", "g2"))
+    return rows.join(b, (rows["g"] == F.col("g2")) & F.col("v").between(F.col("lo"), F.col("hi"))).drop("g2")

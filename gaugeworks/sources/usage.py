@@ -60,30 +60,28 @@ def numbered_in_chunks(df: DataFrame, by: list, chunk: Column, order: list, name
     return inner.join(before, [*by, "__chunk"]).withColumn(name, F.col("__before") + F.col("__rn") - 1 + F.lit(start).cast("long")).drop("__chunk", "__before", "__rn")
 
 
-def numbered_globally(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """1, 2, ... over all rows in the order given, which no two rows may share if the numbers are to be the same in each run.
-
-    Rows are dealt out by ranges of the order, so a hot group is many tasks; a row's number is its place in its own
-    range after the rows of the ranges before. Only a count for each range comes to the driver.
-    """
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows dealt out by ranges of the order and sorted, written once: __part is the range, __place the place in it from 0. A hot group is many ranges."""
     placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
-    part = F.shiftright("__place", 33)
-    counts = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row a range
-    starts, before = [], 0
-    for p, n in counts:
-        starts.append((p, before))
-        before += n
-    firsts = F.broadcast(df.sparkSession.createDataFrame(starts, "__part long, __before long"))
-    place = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("__part", part).join(firsts, "__part").withColumn(name, F.col("__before") + place + 1).drop("__part", "__before", "__place")
+    return placed.withColumn("__part", F.shiftright("__place", 33)).withColumn("__place", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the folder that all executors share, for what several parts of a query read; it goes with the session.
+def numbered_globally(df: DataFrame, order: list[str], name: str = "id", start: int = 1) -> DataFrame:
+    """start, start + 1, ... over all rows in the order given, which no two rows may share if the numbers are to be the same in each run.
 
-    The folder is spark.checkpoint.dir. Only a local session without one makes its own.
+    A row's number is its place in its range after the rows of the ranges before. Only a count for each range comes to the driver.
     """
-    spark = df.sparkSession
+    placed = ranged(df, order)
+    starts, before = [], start
+    for r in sorted(placed.groupBy("__part").agg(F.count("*").alias("n")).collect()):  # a row a range
+        starts.append((r["__part"], before))
+        before += r.n
+    firsts = F.broadcast(df.sparkSession.createDataFrame(starts, "__part long, __before long"))
+    return placed.join(firsts, "__part").withColumn(name, F.col("__before") + F.col("__place")).drop("__part", "__before", "__place")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without one makes its own."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not base:
@@ -91,7 +89,14 @@ def written(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='gaugeworks-')}"
         sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the folder that all executors share, for what several parts of a query read; it goes with the session."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
