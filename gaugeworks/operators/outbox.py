@@ -11,11 +11,12 @@ MAX_ATTEMPTS = 5
 RELAY_BATCH = 100
 
 
-def messages(revs: DataFrame) -> DataFrame:
+def messages(revs: DataFrame, start: int = 1) -> DataFrame:
+    """A message for each revision, numbered on from `start` in the order of tenant, metric, window and revision."""
     key = aggregate_key(F.col("tenant_id"), F.col("metric"), F.col("window_start"), F.col("revision"))
     payload = F.to_json(F.struct("tenant_id", "metric", "window_start", "window_end", F.col("quantity").cast("string").alias("quantity"), "event_count", "revision", "sealed_at"), WIRE_TIMES)
     rows = revs.withColumn("aggregate_key", key).withColumn("payload", payload).withColumn("created_at", F.col("sealed_at"))
-    out = numbered_globally(rows, ["tenant_id", "metric", "window_start", "revision"])
+    out = numbered_globally(rows, ["tenant_id", "metric", "window_start", "revision"], start=start)
     return out.select("id", "aggregate_key", "payload", "tenant_id", "metric", "window_start", "revision", "quantity", "event_count", "created_at")
 
 

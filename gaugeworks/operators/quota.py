@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeworks.functions.scalar import drift_percent, percent
 from gaugeworks.sources.usage import MONEY
@@ -78,3 +78,38 @@ def sliding_usage(events: DataFrame, seconds: int) -> DataFrame:
     trailing = F.expr(f"sum(quantity) OVER (PARTITION BY tenant_id, metric, __stretch ORDER BY occurred_at RANGE BETWEEN INTERVAL '{seconds}' SECOND PRECEDING AND CURRENT ROW)")
     rows = twice.withColumn("trailing_quantity", trailing.cast(MONEY)).where("__before = 0")
     return rows.select("event_id", "tenant_id", "metric", "occurred_at", "trailing_quantity")
+
+
+def panes(events: DataFrame, pane_seconds: int, key: list[str]) -> DataFrame:
+    """Sums by key and pane, a pane being `pane_seconds` of event time: pane (its number since 1970), quantity, event_count."""
+    n = F.floor(F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("occurred_at")) / pane_seconds)
+    return events.groupBy(*key, n.alias("pane")).agg(F.sum("quantity").cast(MONEY).alias("quantity"), F.count("*").alias("event_count"))
+
+
+def merged_panes(sums: DataFrame, key: list[str]) -> DataFrame:
+    """Panes of several batches added up."""
+    return sums.groupBy(*key, "pane").agg(F.sum("quantity").cast(MONEY).alias("quantity"), F.sum("event_count").alias("event_count"))
+
+
+def sliding_totals(sums: DataFrame, key: list[str], pane_seconds: int, length: int) -> DataFrame:
+    """Totals of all windows of `length` panes, one pane apart, that hold an event: window_start, quantity, event_count.
+
+    A total is the difference of two prefix sums over the key's panes, at the window's end and at its start; so a pane is
+    added once, however many windows it lies in. sums: one row a key and pane.
+    """
+    starts = sums.select(*key, F.explode(F.sequence(F.col("pane") - length + 1, F.col("pane"))).alias("start")).distinct()
+    zero = F.lit(0).cast(MONEY)
+    point = lambda at, sign: starts.select(*key, at.alias("pane"), zero.alias("quantity"), F.lit(0).cast("long").alias("event_count"), F.lit(sign).alias("sign"), "start")
+    rows = sums.select(*key, "pane", "quantity", "event_count", F.lit(0).alias("sign"), F.lit(None).cast("long").alias("start"))
+    rows = rows.unionByName(point(F.col("start"), -1)).unionByName(point(F.col("start") + length, 1))
+    before = Window.partitionBy(*key).orderBy("pane").rangeBetween(Window.unboundedPreceding, -1)
+    upto = rows.withColumn("q", F.coalesce(F.sum("quantity").over(before), zero)).withColumn("n", F.coalesce(F.sum("event_count").over(before), F.lit(0))).where("sign <> 0")
+    out = upto.groupBy(*key, "start").agg(F.sum(F.col("q") * F.col("sign")).cast(MONEY).alias("quantity"), F.sum(F.col("n") * F.col("sign")).alias("event_count"))
+    start = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(F.col("start") * pane_seconds).cast("decimal(20,6)"))
+    return out.select(*key, start.alias("window_start"), "quantity", "event_count")
+
+
+def sliding_usage_at(sums: DataFrame, key: list[str], pane_seconds: int, length: int, pane: Column) -> DataFrame:
+    """Usage of the `length` panes that end with `pane`, by key, as a counter for `checked`: only these panes are read."""
+    held = sums.where((F.col("pane") > pane - length) & (F.col("pane") <= pane))
+    return held.groupBy(*key).agg(F.sum("quantity").cast(MONEY).alias("usage"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeworks.operators.aggregates import KEY, totals
-from gaugeworks.sources.usage import MONEY
+from gaugeworks.sources.usage import MONEY, numbered_globally, written
 
 
 def consumer_lag(end_offsets: DataFrame, checkpoints: DataFrame) -> DataFrame:
@@ -65,3 +66,50 @@ def reconciled(replay: DataFrame, served: DataFrame, late: DataFrame, watermarks
     kind = F.when(F.col("gate_reason").isNotNull(), "UNSETTLED").when(F.col("difference") == 0, "MATCH").when(F.abs("difference") == F.col("late_quantity"), "LATE_ARRIVAL").otherwise("REAL")
     said = evidence(F.col("divergence_class"), *map(F.col, ("gate_reason", "watermark", "window_end", "lag", "pending", "recomputed_quantity", "served_quantity", "late_quantity", "difference")))
     return rows.withColumn("divergence_class", kind).withColumn("evidence", said)
+
+
+HISTORY = "sequence long, tenant_id string, metric string, window_start timestamp_ntz, window_end timestamp_ntz, recomputed_quantity decimal(38,9), served_quantity decimal(38,9), late_quantity decimal(38,9), difference decimal(38,9), divergence_class string, gate_reason string, evidence string"
+
+
+class History:
+    """An append-only record of reconciliation runs under `path`, numbered on from run to run.
+
+    A run lies in a folder of its own, named by its id; its last number is written when its rows are. A run that is recorded
+    again keeps its first number and overwrites its rows, so recording is idempotent by run id. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def runs(self) -> list:
+        """run_id, first, last of the runs recorded as a whole, in order."""
+        try:
+            return sorted(self.spark.read.schema("first long, last long, run_id string").parquet(f"{self.path}/runs").collect(), key=lambda r: r.first)  # a row a run
+        except AnalysisException as none:
+            if none.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+
+    def record(self, run_id: str, judged: DataFrame) -> None:
+        """Append what `reconciled` found, in the order of window, tenant and metric."""
+        known = self.runs()
+        first = next((r.first for r in known if r.run_id == run_id), max((r.last for r in known), default=0) + 1)
+        later = [r for r in known if r.first > first]
+        columns = [c.split()[0] for c in HISTORY.split(", ")[1:]]
+        rows = numbered_globally(judged.select(*columns), ["window_start", "tenant_id", "metric"], "sequence", first)
+        rows = written(rows)
+        last = first - 1 + rows.count()
+        if later and last != next(r.last for r in known if r.run_id == run_id):
+            raise ValueError("a run that others follow can't change its length")
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows/run_id={run_id}")
+        self.spark.createDataFrame([(first, last)], "first long, last long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/runs/run_id={run_id}")
+
+    def rows(self) -> DataFrame:
+        """All rows of the runs recorded as a whole, with their run_id."""
+        runs = [r.run_id for r in self.runs()]
+        if not runs:
+            return self.spark.createDataFrame([], f"{HISTORY}, run_id string")
+        return self.spark.read.schema(f"{HISTORY}, run_id string").parquet(f"{self.path}/rows").where(F.col("run_id").isin(*runs))
+
+    def newest(self, n: int = 50) -> DataFrame:
+        return self.rows().orderBy(F.desc("sequence")).limit(n)

@@ -569,3 +569,6 @@ def conservation(x: Flow):
     """What is sealed or still open adds up to what came in."""
     both = x.latest.select("tenant_id", "metric", "quantity").unionByName(aggregates.open_windows(x.kept, x.watermarks).select("tenant_id", "metric", "quantity"))
     return both.groupBy("tenant_id", "metric").agg(F.sum("quantity").cast(usage.MONEY).alias("raw_quantity"))
+
+
+from gaugeworks.plans import streams  # noqa: E402, F401  adds its own

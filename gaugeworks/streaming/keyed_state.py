@@ -32,11 +32,15 @@ def from_micros(n: Column) -> Column:
 
 
 def with_rocksdb(spark: SparkSession) -> SparkSession:
-    """A session of the same application whose streams keep their state in RocksDB, as stateful operators need."""
+    """A session of the same application whose streams keep their state in RocksDB, as stateful operators need.
+
+    State expires with the batches that bring rows: in processing time a batch without rows always asks for one more, and a stream that is to end with its source wouldn't.
+    """
     session = spark.newSession()
     for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
         session.conf.set(name, spark.conf.get(name))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return session
 
 
