@@ -166,8 +166,14 @@ def records(raw: DataFrame) -> DataFrame:
     return body.select("partition", "offset", *(F.col(f"e.{f.name}").cast(f.dataType).alias(f.name) for f in USAGE_EVENT.fields))
 
 
+def kafka_sink_options(servers: str, topic: str, checkpoint: str) -> dict[str, str]:
+    """All replicas acknowledge, and a retried send is written once."""
+    return {"kafka.bootstrap.servers": servers, "topic": topic, "checkpointLocation": checkpoint, "kafka.acks": "all", "kafka.enable.idempotence": "true"}
+
+
 def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str):
-    return to_json(df).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
+    """Streaming log writer (needs the Kafka connector on the classpath): rows keyed by tenant."""
+    return to_json(df).writeStream.format("kafka").options(**kafka_sink_options(servers, topic, checkpoint))
 
 
 def file_source(spark: SparkSession, path: str, schema: T.StructType = LOG_RECORD, files_per_trigger: int = 1) -> DataFrame:
