@@ -174,7 +174,8 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int, bands: int, r
 
 
 def row_id(key: str, text: str) -> Column:
-    return F.xxhash64(F.col(key), F.col(text))
+    """128 bits of a row's id and text: of 4e10 rows no two share them by chance."""
+    return F.struct(F.xxhash64(F.col(key), F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

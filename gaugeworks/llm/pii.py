@@ -13,7 +13,8 @@ next white space, merged where they meet. An e-mail span that `complete` accepts
 has an "at" or "@", and the other kinds have digits, so no accepted span lies
 elsewhere. A stretch is decoded in windows of `STEP` tokens with `OVER` more on
 either side, and of a window the spans that begin among its own tokens count;
-so memory is bounded however long a text. A found span that overlaps a pattern's
+one that ends in the window's last tokens is decoded on from its first token until it
+closes. So memory is bounded by the longest span, however long a text. A found span that overlaps a pattern's
 is dropped, so the patterns' spans all stay.
 
 Defined cases: a null text is empty and has none; texts are read whole; rows
@@ -28,6 +29,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 REACH = 60
 STEP, OVER = 400, 100
+#: A span that ends in so many last tokens of a window may be cut by it.
+EDGE = 10
 TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])(?:at|dot)(?![A-Za-z])", re.IGNORECASE | re.ASCII)
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 CUES = {"at", "dot", "tel", "phone", "call", "card", "mail"}
@@ -223,16 +227,28 @@ def tokens(text: str, start: int, end: int) -> list[tuple[str, bool, int, int]]:
 
 
 def windows(text: str):
-    """(tokens, first, last) of all stretches: the spans that begin at a token in first:last are the window's own."""
+    """(tokens, first, last, end) of all stretches: the spans that begin at a token in first:last are the window's own; end: where the stretch ends, if it goes on."""
     for a, b in stretches(text):
         held, own = [], 0
         for token in read_tokens(text, a, b):
             held.append(token)
             if len(held) == own + STEP + OVER:
-                yield held, own, own + STEP
+                yield held, own, own + STEP, b
                 held, own = held[own + STEP - OVER :], OVER
         if len(held) > own:
-            yield held, own, len(held)
+            yield held, own, len(held), None
+
+
+def closed(tagger: Tagger, text: str, held: list, span: tuple[int, int, int], end: int) -> tuple[int, int, int]:
+    """A span that a window's end cuts, decoded on from its first token (and what is before it) until it closes or the stretch ends."""
+    at = next(k for k, token in enumerate(held) if token[2] >= span[1])
+    size = len(held)
+    while True:
+        size *= 2
+        more = [*islice(read_tokens(text, held[max(0, at - OVER)][2], end), size)]
+        found = next((f for f in tagger.spans([more])[0] if f[1] == span[1]), None)
+        if found is None or found[2] < more[-EDGE][3] or len(more) < size:
+            return found or span
 
 
 def decoded(tagger: Tagger, texts: list[str], most: int = 20_000) -> list[list[tuple[int, int, int]]]:
@@ -241,11 +257,11 @@ def decoded(tagger: Tagger, texts: list[str], most: int = 20_000) -> list[list[t
     waiting, n = [], 0
 
     def flush():
-        for (i, (held, first, last)), found in zip(waiting, tagger.spans([w[0] for _, w in waiting])):
+        for (i, (held, first, last, end)), found in zip(waiting, tagger.spans([w[0] for _, w in waiting])):
             low, high = held[first][2], held[last - 1][3]
             for kind, a, b in found:
                 if low <= a < high and (not out[i] or out[i][-1][2] <= a):
-                    out[i].append((kind, a, b))
+                    out[i].append((kind, a, b) if end is None or b < held[-EDGE][3] else closed(tagger, texts[i], held, (kind, a, b), end))
         waiting.clear()
 
     for i, text in enumerate(texts):

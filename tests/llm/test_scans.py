@@ -57,8 +57,8 @@ def test_addresses_far_from_digits_are_decoded(spark):
 def test_windows_of_a_long_text_hold_every_token_once():
     rng = random.Random(6)
     text = "".join(rng.choice(["7 ", "at ", "x.y ", "@", "12-3 ", "(5) "]) for _ in range(6000))
-    own = [t for held, first, last in pii.windows(text) for t in held[first:last]]
-    assert own == pii.tokens(text, 0, len(text)) and max(len(held) for held, _, _ in pii.windows(text)) <= pii.STEP + 2 * pii.OVER
+    own = [t for held, first, last, _ in pii.windows(text) for t in held[first:last]]
+    assert own == pii.tokens(text, 0, len(text)) and max(len(held) for held, _, _, _ in pii.windows(text)) <= pii.STEP + 2 * pii.OVER
     tagger = pii.fit(pii.TRAINING)
     call = "call (415) 555-0132 now, or write to anna_k (at) web.de. Then 12 more. "
     text = call * 400
@@ -66,6 +66,17 @@ def test_windows_of_a_long_text_hold_every_token_once():
     assert found[0] == [(k, a + i * len(call), b + i * len(call)) for i in range(400) for k, a, b in found[1]] and len(found[1]) == 2
 
 
+def test_a_span_that_a_window_cuts_is_decoded_to_its_end():
+    """An address of 60 parts behind ever more numbers: wherever windows fall, it is found as in the whole text."""
+    tagger = pii.fit(pii.TRAINING)
+    form = "write to anna at " + " dot ".join(["mail"] * 60) + " dot com"
+    for n in (0, 350, 370, 380, 390, 395, 398, 399, 405, 450):
+        text = "7 " * n + form
+        [whole] = tagger.spans([pii.tokens(text, 0, len(text))])
+        assert pii.decoded(tagger, [text])[0] == [tuple(x) for x in whole], n
+        assert any(b == len(text) for _, _, b in whole)
+
+
 def test_long_text_of_numbers_in_bounded_memory():
     import subprocess
     import sys
