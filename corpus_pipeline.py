@@ -2,6 +2,13 @@
 
 A stage takes (spark, docs, sf_dir); its result is written as Parquet and read
 again as the next one's docs. All but the last return the columns of `docs`.
+
+Columns other than doc_id and text are passed on, whatever their names; n_chars is kept
+right where it is there, lang and source are in the result where they are. Null and empty texts
+have no words: the classifier judges them by its prior, they are near-duplicates of
+nothing, hold no window and no secret, and have no tokens. Rows that are repeated as a whole
+are near-duplicates of each other: one stays; so does one of several rows of one text without an id. Texts of any length are
+read whole. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -36,12 +43,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts give way to a marker; n_chars follows."""
-    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = secrets.redacted(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the decoded bytes."""
-    return bpe.encode_documents(docs, keep=["lang", "source"])
+    return bpe.encode_documents(docs, keep=[c for c in ("lang", "source") if c in docs.columns])
 
 
 STAGES = [

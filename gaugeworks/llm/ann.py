@@ -13,8 +13,8 @@ hold fewer than k candidates it reads all. (The distance of the very nearest one
 varies too much to compare with.)
 
 What ratio recall needs depends on the vectors and their number, so unless it is
-given it is measured in each run: for `trial` queries (those with the smallest
-hash of the id) the true neighbours are found among all rows, and the ratio is
+given it is measured in each run: for `trial` rows that are no queries (those
+with the smallest hash of the id) the true neighbours are found among all rows, and the ratio is
 the least whose lists hold `target` of them. Vectors in clusters are pruned to
 few lists; vectors without structure need a large share of all. An infinite
 ratio reads all lists, which is exact.
@@ -172,7 +172,7 @@ class Index:
         self.k, self.base, self.spark = k, base, vectors.sparkSession
         self.rows = materialize(usable(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()))
         self.n, self.kind = self.rows.count(), dict(self.rows.dtypes)["id"]
-        self.queries = self.rows.where(F.col("id") % every == 0)
+        self.queries, self.others = self.rows.where(F.col("id") % every == 0), self.rows.where(F.col("id") % every != 0)
         if not self.n:
             return
         lists = int(min(most_lists, max(1, 2 * np.sqrt(self.n))))
@@ -202,8 +202,8 @@ class Index:
         return self.listed(self.queries, lambda g, x: g.probes(x, ratio, base))
 
     def needed(self, trial: int, target: float) -> float:
-        """The ratio with which `trial` queries find `target` of their true neighbours."""
-        asked = self.queries.orderBy(F.xxhash64("id"), "row").limit(trial).select("row", "v").toArrow()
+        """The ratio with which `trial` rows that are no queries find `target` of their true neighbours."""
+        asked = self.others.orderBy(F.xxhash64("id"), "row").limit(trial).select("row", "v").toArrow()
         if not asked.num_rows:
             return 1.0
         own, y = asked.column("row").to_numpy(), matrix(asked.column("v"))

@@ -348,14 +348,15 @@ def encoder(path: str, pattern: str, memo_size: int) -> TextEncoder:
     return _encoders[key]
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, memo_size: int = 150_000, ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, memo_size: int = 150_000, ids: bool = True) -> DataFrame:
     """Encode and decode each text: key, `keep` columns, n_tokens, ids (decimal, space-joined; if wanted), ids_sha256, decoded_sha256.
 
-    Map-only: no shuffle, and the vocabulary file is read once a worker.
+    Map-only: no shuffle, and the vocabulary file is read once a worker. Pretokens are those of public_tokenizers.PATTERN: the
+    memo rests on it, since none of its pretokens reaches from a non-space over a space.
     """
     import public_tokenizers
 
-    path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     keep = [key, *(keep or [])]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens long, " + "ids string, " * ids + "ids_sha256 string, decoded_sha256 string"
 

@@ -26,6 +26,21 @@ def test_stage_keeps_columns_and_clean_rows(spark, docs, name, stage):
     assert stage(spark, docs.where("false"), SF).count() == 0
 
 
+def test_stages_on_bare_tables_repeated_rows_and_long_texts(spark):
+    """doc_id and text alone; rows twice; a text of 1.6 MB: every stage gives what its operator says."""
+    long = "\n".join(f"Line {i} of a long text says that {i} times {i} makes {i * i}." for i in range(25_000))
+    rows = [(1, long), (2, "Seven words that stand here quite alone."), (2, "Seven words that stand here quite alone."), (3, None), (3, None), (4, ""), (5, "token = abcdefgh12345678 ends it.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["minhash near-dedup"](spark, docs, SF)
+    assert sorted((r.doc_id, len(r.text or "")) for r in near.collect()) == [(1, len(long)), (2, 40), (3, 0), (3, 0), (4, 0), (5, 33)]
+    assert stages["benchmark decontamination"](spark, docs, SF).count() == len(rows)
+    assert {r.text for r in stages["secret scan"](spark, docs, SF).where("doc_id = 5").collect()} == {"[SECRET] ends it."}
+    tokens = stages["byte-level bpe"](spark, docs, SF)
+    assert tokens.columns[0] == "doc_id" and "lang" not in tokens.columns and tokens.count() == len(rows)
+    assert stages["quality classifier"](spark, docs, SF).columns == docs.columns
+
+
 def test_secrets_go(spark, docs):
     out = dict(corpus_pipeline.STAGES)["secret scan"](spark, docs, SF)
     row = out.where("doc_id IS NULL").first()
