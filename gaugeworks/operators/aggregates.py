@@ -98,6 +98,7 @@ def appended(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def append_strict(existing: DataFrame, new: DataFrame, path: str) -> None:
+    """Append `new` under `path`, or raise if a key and revision exists. One writer at a time: check and append are two steps."""
     checked = appended(existing, new)
     if checked.where("is_duplicate").limit(1).count():
         raise ValueError("an aggregate with this key and revision exists")

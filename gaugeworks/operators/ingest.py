@@ -46,10 +46,12 @@ def shed(events: DataFrame, depth: Column, shed_mark: int = 15_000, high_mark: i
 def outcomes(deliveries: DataFrame, order: list[str]) -> DataFrame:
     """One row for each delivery: outcome, accepted and message. deliveries: with reason_code (validation) and is_shed.
 
-    A repeated id is accepted, as a duplicate; the first admitted delivery is the one that counts.
+    A repeated id is accepted, as a duplicate; the first admitted delivery is the one that counts. The others need no place in
+    the order: they are spread, so that the deliveries without an id don't meet in one task.
     """
-    admitted = F.when((F.col("reason_code") == "OK") & ~F.col("is_shed"), 1).otherwise(0)
-    earlier = F.coalesce(F.sum(admitted).over(Window.partitionBy("event_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    admitted = (F.col("reason_code") == "OK") & ~F.col("is_shed")
+    apart = F.when(~F.coalesce(admitted, F.lit(False)), F.xxhash64(*order))
+    earlier = F.row_number().over(Window.partitionBy("event_id", apart).orderBy(*order)) - 1
     code = F.when(F.col("reason_code") != "OK", F.col("reason_code")).when(F.col("is_shed"), "LOW_PRIORITY_SHED").when(earlier > 0, "DUPLICATE_EVENT").otherwise("OK")
     said = F.create_map(*(F.lit(x) for pair in MESSAGES.items() for x in pair))
     return deliveries.withColumn("outcome", code).withColumn("accepted", F.col("outcome").isin("OK", "DUPLICATE_EVENT")).withColumn("message", F.element_at(said, F.col("outcome")))
