@@ -286,6 +286,21 @@ def test_neighbours(spark):
     assert ann.neighbours(df.where("false")).count() == 0
 
 
+def test_neighbours_of_repeated_ids_and_clashing_names(spark):
+    """Three rows have the query's id: each is asked for, and the other two are candidates. Columns that the index uses inside don't matter."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (0, x[1].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", *(f"1 AS `{c}`" for c in ("id", "row", "list", "v", "q", "part", "ask", "rank", "score", "query_id")))
+    got = collections.Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.neighbours(df, k=3, ratio=float("inf")).collect())
+    want = collections.Counter()
+    for j, (q, a) in enumerate(rows):
+        if q == 0:
+            near = sorted((float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())), v, i) for i, (v, b) in enumerate(rows) if i != j)[:3]
+            want.update((0, k + 1, v, round(d, 9)) for k, (d, v, _) in enumerate(near))
+    assert got == want
+
+
 def recall(got, x, every, k=10):
     found = collections.defaultdict(set)
     for r in got.collect():
