@@ -535,14 +535,14 @@ def outbox_of_window(x: Flow):
 
 @query("outb", "SELECT id, aggregate_key, tenant_id, metric, window_start, revision, quantity, event_count, created_at FROM outb")
 def outbox_rows(x: Flow):
-    return outbox.messages(x.revisions).drop("payload")
+    return x.messages.drop("payload")
 
 
 @query("outb", "SELECT id, tenant_id, metric, quantity, event_count, revision, created_at AS sealed_at FROM outb")
 def outbox_payload(x: Flow):
     """The JSON payloads, read back: amounts travel as text and keep every digit."""
     body = "tenant_id string, metric string, quantity string, event_count long, revision int, sealed_at timestamp_ntz"
-    rows = outbox.messages(x.revisions).select("id", F.from_json("payload", body, usage.WIRE_TIMES).alias("p"))
+    rows = x.messages.select("id", F.from_json("payload", body, usage.WIRE_TIMES).alias("p"))
     return rows.select("id", "p.tenant_id", "p.metric", F.col("p.quantity").cast(usage.MONEY).alias("quantity"), "p.event_count", "p.revision", "p.sealed_at")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeworks.operators import outbox, reconcile
+from gaugeworks.operators import reconcile
 from gaugeworks.plans.flow import LATENESS, NOW, WINDOW, Flow, at
 from gaugeworks.plans.registry import SQL, audited, query
 from gaugeworks.sources import usage
@@ -23,7 +23,7 @@ CUTS = 3
 def ran(x: Flow, kind: str, run: Callable[[str], None]) -> str:
     """The folder that a stream has been run into, once a session."""
     key = (x.spark.sparkContext.applicationId, x.sf_dir, kind)
-    if key not in RAN:
+    if key not in RAN or not usage.exists(x.spark, RAN[key]):
         path = replay.folder(x.spark)
         run(path)
         RAN[key] = path
@@ -121,7 +121,7 @@ def stream_outbox_numbers(x: Flow):
 @query("outb", "SELECT id, aggregate_key, id % 7 < 5 AS is_published, CAST(least(id % 7, 5) AS INTEGER) AS attempts FROM outb")
 def stream_relay(x: Flow):
     """Passes of the relay, each by a relay that is started anew, to a sink that fails each message as often as its number says."""
-    messages = usage.written(outbox.messages(x.revisions))
+    messages = x.messages
     deliver = lambda df: df.select("id", (F.col("attempts") >= F.col("id") % 7).alias("delivered"))
 
     def run(path: str) -> None:

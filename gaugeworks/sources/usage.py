@@ -92,15 +92,24 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the folder that all executors share, for what several parts of a query read; it goes with the session."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+def write_table(df: DataFrame) -> str:
+    """Write `df` as a Parquet table in the folder that all executors share; it goes with the session. Returns its path."""
+    sc = df.sparkSession.sparkContext
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` from a table written once, for what several parts of a query read."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
