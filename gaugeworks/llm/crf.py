@@ -90,7 +90,7 @@ class Adam:
 def train(emission, gradient, weights: np.ndarray, labels: np.ndarray, lengths: np.ndarray, states: int, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3, forbidden: np.ndarray | None = None, weight: np.ndarray | None = None):
     """Maximum likelihood by Adam. emission(weights): places x states; gradient(g): that of the weights.
 
-    weight: of each place's sequence. Returns weights, moves and first-state scores.
+    weight: of each place's sequence, in what emissions learn; moves and first states count each place once. Returns weights, moves and first-state scores.
     """
     move, first = np.zeros((states, states)), np.zeros(states)
     barred = np.zeros((states, states), bool) if forbidden is None else forbidden

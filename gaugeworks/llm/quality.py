@@ -128,7 +128,7 @@ def fit(texts: list[str], labels: list[int], piece: int = 64, rounds: int = 120)
     active = neighbours(own, counts)
     label = np.repeat(np.array(labels, np.int64), counts)
     lengths = np.concatenate([[piece] * (c // piece) + [c % piece] * bool(c % piece) for c in counts.tolist()]).astype(np.int64)
-    # each document weighs as much as any other, so long ones don't teach alone
+    # what lines look like is learnt from each document alike, however long; which label follows which is counted line by line
     weight = np.repeat(1 / counts, counts) * len(label) / len(texts)
     weights = np.zeros((3 * WIDTH + 2, 2))
     flat = active.ravel()
