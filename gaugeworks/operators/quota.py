@@ -70,13 +70,23 @@ def overview(tenants: DataFrame, usage: DataFrame, exact: DataFrame) -> DataFram
 def sliding_usage(events: DataFrame, seconds: int) -> DataFrame:
     """Usage over the `seconds` that end with each event.
 
-    Time is cut in stretches of that length, and each event also stands in the next stretch, as what can precede
-    the events there: so a hot tenant is a task a stretch.
+    Time is cut in stretches of that length, and each event also stands in the next stretch, at the time from which it is
+    out of reach: so a hot tenant is a task a stretch. Usage is then all of the stretch before, and what has come since,
+    less what has left: running sums, so an event costs the same however many are in reach.
     """
-    stretch = F.floor(F.unix_micros(F.col("occurred_at").cast("timestamp")) / (seconds * 1_000_000))
-    twice = events.select("event_id", "tenant_id", "metric", "occurred_at", "quantity", F.posexplode(F.array(stretch, stretch + 1)).alias("__before", "__stretch"))
-    trailing = F.expr(f"sum(quantity) OVER (PARTITION BY tenant_id, metric, __stretch ORDER BY occurred_at RANGE BETWEEN INTERVAL '{seconds}' SECOND PRECEDING AND CURRENT ROW)")
-    rows = twice.withColumn("trailing_quantity", trailing.cast(MONEY)).where("__before = 0")
+    length = seconds * 1_000_000
+    at = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("occurred_at"))
+    stretch = F.floor(at / length)
+    twice = events.select("event_id", "tenant_id", "metric", "occurred_at", "quantity", at.alias("__at"), F.posexplode(F.array(stretch, stretch + 1)).alias("__left", "__stretch"))
+    # an event at the very edge is still in reach: those that come stand before those that leave; one without a time never leaves
+    twice = twice.where("__left = 0 OR __at IS NOT NULL").withColumn("__at", F.col("__at") + F.col("__left") * length)
+    whole = Window.partitionBy("tenant_id", "metric", "__stretch")
+    upto = whole.orderBy("__at", "__left").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    came, left = F.when(F.col("__left") == 0, F.col("quantity")), F.when(F.col("__left") == 1, F.col("quantity"))
+    zero = F.lit(0).cast(MONEY)
+    total = F.coalesce(F.sum(came).over(upto), zero) + F.coalesce(F.sum(left).over(whole), zero) - F.coalesce(F.sum(left).over(upto), zero)
+    known = F.count(came).over(upto) + F.count(left).over(whole) - F.count(left).over(upto)
+    rows = twice.withColumn("trailing_quantity", F.when(known > 0, total.cast(MONEY))).where("__left = 0")
     return rows.select("event_id", "tenant_id", "metric", "occurred_at", "trailing_quantity")
 
 

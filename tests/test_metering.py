@@ -252,3 +252,16 @@ def test_stored_tables(spark, tmp_path):
 def test_synthetic_source_is_deterministic(spark):
     a, b = (usage.synthetic(spark, 500).select("event_id", "tenant_id", "quantity").collect() for _ in range(2))
     assert a == b and sum(r.tenant_id == "tenant_0" for r in a) > 300
+
+
+def test_sliding_usage_by_running_sums(spark):
+    """At the edges of the reach, with ties, nulls and events before 1970; and no frame that would be added up anew for each event."""
+    spread = [T0 + timedelta(seconds=(i * i * 37) % 400) for i in range(150)] + [datetime(1969, 12, 31, 23, 59, 30), datetime(1970, 1, 1, 0, 0, 20)] + [None] * 3
+    rows = [(str(i), "t" if i % 5 else "u", "m", None if i % 11 == 0 else Decimal(i), at) for i, at in enumerate(spread)]
+    got = quota.sliding_usage(spark.createDataFrame(rows, "event_id string, tenant_id string, metric string, quantity decimal(38,9), occurred_at timestamp_ntz"), 50)
+    want = {}
+    for i, tenant, _, _, at in rows:
+        reach = [q for _, u, _, q, then in rows if u == tenant and q is not None and (then is None if at is None else then is not None and at - timedelta(seconds=50) <= then <= at)]
+        want[i] = sum(reach) if reach else None
+    assert {r.event_id: r.trailing_quantity for r in got.collect()} == want
+    assert "specifiedwindowframe(RangeFrame, -INTERVAL" not in got._jdf.queryExecution().toString()
