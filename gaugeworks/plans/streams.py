@@ -37,16 +37,16 @@ def parts(log: DataFrame):
 
 
 def keyed(x: Flow, log: DataFrame, kind: str) -> str:
-    """The metering operator with keyed state over a log, a file a batch, stopped and started again in between."""
+    """The metering operator with keyed state over a log, a part a batch, stopped and started again in between."""
 
     def run(path: str) -> None:
         session = keyed_state.with_rocksdb(x.spark)
-        rows = usage.written(log.drop("seq", "redelivery"))
-        out = lambda files: keyed_state.metering(session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(files), WINDOW, LATENESS)
+        rows = usage.written(log.select("partition", "offset", "event_id", "tenant_id", "metric", "quantity", "occurred_at", "received_at"))
+        out = lambda place, files: keyed_state.metering(session.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(place), WINDOW, LATENESS)
         part = parts(rows)
         for first, last in ((0, 0), (1, CUTS)):
-            replay.cut(rows.where(part.between(first, last)), part, f"{path}/log")
-            replay.drained(out(f"{path}/log"), path)
+            files = replay.cut(rows.where(part.between(first, last)), part, f"{path}/log")
+            replay.drained(out(f"{path}/log", files), path)
 
     return ran(x, kind, run)
 

@@ -1,13 +1,16 @@
 """Metering with keyed state: one stateful operator a log partition, another for ids with an expiry.
 
-State lies in RocksDB (`with_rocksdb`) and is read and written by key, so what a batch costs depends on the batch and on
-the windows still open, not on what came before. A log partition is one key: its rows come in offset order and its watermark is its own.
+State lies in RocksDB (`with_rocksdb`) and is read and written by key, ids by pages of a bounded number of them (`Paged`), so what a batch costs
+depends on the batch and on the windows still open, not on what came before. A log partition is one key: its rows come in offset order and its watermark is its own.
 A batch of one partition is held in memory by its task; the source's limit for a batch bounds it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -44,6 +47,78 @@ def with_rocksdb(spark: SparkSession) -> SparkSession:
     return session
 
 
+class Paged:
+    """Ids with a number each in map state, many ids a row: each call from the worker to the store costs as much as hundreds of ids in one.
+
+    An id's page is the last bits of its CRC-32. When pages would hold more than `full` ids on average they are split, each into pages of its own, so
+    that an id costs the same however many there are. With `keep` (milliseconds) an id is gone that long after its number was last set, in processing time.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, keep: int | None, full: int = 1024):
+        self.keep, self.full = keep, full
+        self.size = handle.getValueState(f"{name}_size", "bits int, ids long")
+        self.pages = handle.getMapState(name, "page long", "ids string", keep)
+
+    @staticmethod
+    def hashes(ids: list) -> np.ndarray:
+        return np.fromiter((0 if i is None else crc32(i.encode()) for i in ids), np.int64, len(ids))
+
+    def read(self, page: int, now: int) -> dict:
+        """id: (number, when it was set), of those not gone."""
+        held = self.pages.getValue((page,))
+        entries = {i: (number, at) for i, number, at in zip(*json.loads(held[0]))} if held else {}
+        return entries if self.keep is None else {i: x for i, x in entries.items() if x[1] + self.keep > now}
+
+    def write(self, page: int, entries: dict) -> None:
+        numbers, times = zip(*entries.values())
+        self.pages.updateValue((page,), (json.dumps([list(entries), numbers, times]),))
+
+    def split(self, bits: int, more: int, now: int) -> int:
+        """Split every page by `more` bits; returns how many ids there are."""
+        held = 0
+        for (page,) in [tuple(k) for k in self.pages.keys()]:
+            entries, parts = self.read(page, now), {}
+            held += len(entries)
+            for i, place in zip(entries, (self.hashes(list(entries)) & ((1 << (bits + more)) - 1)).tolist()):
+                parts.setdefault(place, {})[i] = entries[i]
+            if page not in parts:
+                self.pages.removeKey((page,))
+            for place, part in parts.items():
+                self.write(place, part)
+        return held
+
+    def visit(self, ids: list, now: int, decide: Callable[[int, tuple | None], int | None]) -> None:
+        """Calls decide with each place in `ids`, those of one id in their order, and the id's (number, when) or None; sets the number that it returns."""
+        hashes = self.hashes(ids)
+        bits, held = self.size.get() or (0, 0)
+        wanted = held + len(np.unique(hashes))
+        if wanted > self.full << bits:
+            more = int(2 * wanted // (self.full << bits)).bit_length()
+            held = self.split(bits, more, now)
+            bits += more
+        pages = hashes & ((1 << bits) - 1)
+        order = np.argsort(pages, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(pages[order])) + 1):
+            page = int(pages[part[0]])
+            entries, changed = self.read(page, now), False
+            held -= len(entries)
+            for k in part.tolist():
+                if (number := decide(k, entries.get(ids[k]))) is not None:
+                    entries[ids[k]] = number, now
+                    changed = True
+            held += len(entries)
+            if changed:
+                self.write(page, entries)
+        self.size.update((bits, held))
+
+
+def tables(rows: Iterator, columns: list[str], n: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Rows as tables of `n` at most."""
+    rows = iter(rows)
+    while part := list(islice(rows, n)):
+        yield pd.DataFrame(part, columns=columns, dtype=object)
+
+
 class Metering(StatefulProcessor):
     """One log partition: its watermark, ids it has processed, open windows, and the last total of each sealed window.
 
@@ -57,50 +132,66 @@ class Metering(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         key = "tenant_id string, metric string, window_start long"
         self.mark = handle.getValueState("mark", "max_occurred_at long, offset long")
-        self.seen = handle.getMapState("seen", "event_id string", "offset long", self.keep)
+        self.seen = Paged(handle, "seen", self.keep)
         self.open = handle.getMapState("open", key, "quantity decimal(38,9), event_count long")
         self.sealed = handle.getMapState("sealed", key, "quantity decimal(38,9), event_count long, revision int", self.keep)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("offset")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("offset")
         top, offset = self.mark.get() or (None, -1)
-        fresh = batch.drop_duplicates("event_id")
-        fresh = fresh[[not self.seen.containsKey((i,)) for i in fresh["event_id"]]]
-        for row in fresh.itertuples():
-            self.seen.updateValue((row.event_id,), (row.offset,))
-        out = [{"kind": "batch", "deliveries": len(batch), "processed": len(fresh)}]
+        deliveries, last = len(batch), int(batch["offset"].iloc[-1])
+        offsets, new = batch["offset"].to_numpy(), np.zeros(deliveries, bool)
+
+        def first(k: int, held: tuple | None) -> int | None:
+            if held is None:
+                new[k] = True
+                return int(offsets[k])
+
+        self.seen.visit(batch["event_id"].tolist(), 0 if self.keep is None else timerValues.getCurrentProcessingTimeInMs(), first)
+        fresh = batch[new]
+        del batch
+        yield from self.labelled([{"kind": "batch", "deliveries": deliveries, "processed": len(fresh)}], key)
         if len(fresh):
             tops = np.maximum.accumulate(fresh["occurred_at"].to_numpy())
             tops = tops if top is None else np.maximum(tops, top)
             top = int(tops[-1])
-            out += self.metered(fresh, tops - self.lateness)
-        self.mark.update((top, max(offset, int(batch["offset"].iloc[-1]))))
-        yield pd.DataFrame(out, columns=COLUMNS, dtype=object).assign(partition=key[0])
+            yield from self.labelled(self.metered(fresh, tops - self.lateness), key)
+        self.mark.update((top, max(offset, last)))
+
+    @staticmethod
+    def labelled(rows, key) -> Iterator[pd.DataFrame]:
+        return (t.assign(partition=key[0]) for t in tables(rows, COLUMNS))
 
-    def metered(self, fresh: pd.DataFrame, watermarks: np.ndarray) -> list[dict]:
+    def metered(self, fresh: pd.DataFrame, watermarks: np.ndarray) -> Iterator[dict]:
         late = watermarks >= fresh["window_start"].to_numpy() + self.window
         sums: dict[tuple, list] = {}
-        for row in fresh[~late].itertuples():
-            total = sums.setdefault((row.tenant_id, row.metric, row.window_start), [0, 0])
-            total[0] += row.quantity
+        timely = fresh[~late]
+        for *window, quantity in zip(*(timely[c].tolist() for c in ("tenant_id", "metric", "window_start", "quantity"))):
+            total = sums.setdefault(tuple(window), [0, 0])
+            total[0] += quantity
             total[1] += 1
         for window, (quantity, n) in sums.items():
             before = self.open.getValue(window)
             self.open.updateValue(window, (quantity + before[0], n + before[1]) if before else (quantity, n))
-        out = []
+        last: dict[tuple, tuple] = {}  # of the windows that this batch seals or corrects
         for window, (quantity, n) in [(tuple(k), tuple(v)) for k, v in self.open.iterator()]:
             if (end := window[2] + self.window) <= watermarks[-1]:
-                out.append(self.revision(window, quantity, n, 0, watermarks[np.searchsorted(watermarks, end)]))
+                last[window] = quantity, n, 0
+                yield self.revision(window, quantity, n, 0, watermarks[np.searchsorted(watermarks, end)])
                 self.open.removeKey(window)
         for row, watermark in zip(fresh[late].itertuples(), watermarks[late]):
             window = (row.tenant_id, row.metric, row.window_start)
-            quantity, n, revision = self.sealed.getValue(window) or (0, 0, 0)
-            out.append(self.revision(window, quantity + row.quantity, n + 1, revision + 1, watermark))
-            out.append({"kind": "late", "tenant_id": row.tenant_id, "metric": row.metric, "window_start": row.window_start, "quantity": row.quantity, "sealed_at": int(watermark), "event_id": row.event_id, "occurred_at": row.occurred_at, "received_at": row.received_at})
-        return out
-
-    def revision(self, window: tuple, quantity, n: int, revision: int, at) -> dict:
-        self.sealed.updateValue(window, (quantity, n, revision))
+            if window not in last:
+                last[window] = self.sealed.getValue(window) or (0, 0, 0)
+            quantity, n, revision = last[window]
+            last[window] = quantity + row.quantity, n + 1, revision + 1
+            yield self.revision(window, *last[window], watermark)
+            yield {"kind": "late", "tenant_id": row.tenant_id, "metric": row.metric, "window_start": row.window_start, "quantity": row.quantity, "sealed_at": int(watermark), "event_id": row.event_id, "occurred_at": row.occurred_at, "received_at": row.received_at}
+        for window, total in last.items():
+            self.sealed.updateValue(window, total)
+
+    @staticmethod
+    def revision(window: tuple, quantity, n: int, revision: int, at) -> dict:
         return {"kind": "revision", "tenant_id": window[0], "metric": window[1], "window_start": window[2], "quantity": quantity, "event_count": n, "revision": revision, "sealed_at": int(at)}
 
 

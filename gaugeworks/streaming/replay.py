@@ -1,4 +1,4 @@
-"""Tables as streams: cut into files that a file source reads in order, one a batch; and streams run to their end."""
+"""Tables as streams: cut into files that a file source reads in order, those of one part a batch; and streams run to their end."""
 
 from __future__ import annotations
 
@@ -14,18 +14,25 @@ def folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def cut(table: DataFrame, part: Column, path: str) -> None:
-    """The table as files under `path`, appended part by part in the order of `part` (few values)."""
+def cut(table: DataFrame, part: Column, path: str, rows_a_file: int = 500_000) -> int:
+    """The table as files under `path`, appended part by part in the order of `part` (few values); returns how many files each part is.
+
+    Large parts are several files, dealt out evenly and as many for each part, so that no task writes or reads a part alone.
+    """
     rows = table.withColumn("__part", part)
-    for r in sorted(x[0] for x in rows.select("__part").distinct().collect()):  # a value a part
-        rows.where(F.col("__part") == F.lit(r)).drop("__part").coalesce(1).write.mode("append").parquet(path)
+    sizes = {r[0]: r[1] for r in rows.groupBy("__part").count().collect()}  # a row a part
+    files = max(1, min(sizes.values(), default=0) // rows_a_file)
+    for r in sorted(sizes):
+        one = rows.where(F.col("__part") == F.lit(r)).drop("__part")
+        (one.coalesce(1) if files == 1 else one.repartition(files)).write.mode("append").parquet(path)
+    return files
 
 
 def streamed(session: SparkSession, table: DataFrame, part: Column) -> DataFrame:
     """A stream of the table's rows, one part a batch."""
     path = folder(session)
-    cut(table, part, path)
-    return session.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = cut(table, part, path)
+    return session.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drained(out: DataFrame, path: str, mode: str = "append", **options):

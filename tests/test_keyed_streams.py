@@ -196,3 +196,65 @@ def test_wire_rows_and_options_of_the_log_sink(spark, log):
     assert rows_of(back.select("event_id", "quantity", "occurred_at")) == rows_of(log.select("event_id", "quantity", "occurred_at"))
     assert {r.key for r in sent.select("key").distinct().collect()} == {r.tenant_id for r in log.select("tenant_id").distinct().collect()}
     assert usage.kafka_sink_options("h:1", "usage", "/c") == {"kafka.bootstrap.servers": "h:1", "topic": "usage", "checkpointLocation": "/c", "kafka.acks": "all", "kafka.enable.idempotence": "true"}
+
+
+class Store:
+    """What a state handle gives, kept in a dict; counts the calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    getValueState = getMapState = lambda self, name, *_: self.__dict__.setdefault(name, Store())
+
+    def called(self):
+        self.calls += 1
+        return self.rows
+
+    get = lambda self: self.called().get(())
+    update = lambda self, value: self.called().update({(): value})
+    getValue = lambda self, key: self.called().get(key)
+    updateValue = lambda self, key, value: self.called().update({key: value})
+    removeKey = lambda self, key: self.called().pop(key, None)
+    keys = lambda self: iter(list(self.called()))
+
+
+@pytest.mark.parametrize("keep", [None, 50])
+def test_ids_in_pages(keep):
+    """As a dict with expiry, over pages that split as they fill; the store is called by page, not by id."""
+    r, store, plain = random.Random(3), Store(), {}
+    paged = keyed_state.Paged(store, "ids", keep, full=64)
+    for now in range(0, 400, 20):
+        batch = [None if r.random() < 0.01 else f"{r.choice('aé')}\"{r.randint(0, 3000)}" for _ in range(r.choice([1, 700]))]
+        got, want = [], []
+
+        def decide(k, held):
+            got.append((k, held))
+            return k if held is None or k % 3 == 0 else None
+
+        paged.visit(batch, now, decide)
+        for k, i in enumerate(batch):
+            held = plain.get(i)
+            held = held if held is None or keep is None or held[1] + keep > now else None
+            want.append((k, held))
+            if held is None or k % 3 == 0:
+                plain[i] = (k, now)
+        assert sorted(got) == want
+    assert max(len(paged.read(p, 0)) for (p,) in store.ids.rows) <= 4 * 64 and len(store.ids.rows) > 8
+
+
+def test_state_of_many_ids_is_few_rows(spark, tmp_path):
+    rows = spark.range(4000).select(F.lit(0).alias("partition"), F.col("id").alias("offset"), F.concat(F.lit("e"), (F.col("id") % 3900).cast("string")).alias("event_id"), F.lit("t").alias("tenant_id"), F.lit("m").alias("metric"), F.lit(1).cast(usage.MONEY).alias("quantity"), F.lit(T0).cast("timestamp_ntz").alias("occurred_at"), F.lit(T0).cast("timestamp_ntz").alias("received_at"))
+    stream = replay.streamed(keyed_state.with_rocksdb(spark), rows, F.floor(F.col("offset") / 2000))
+    query = replay.drained(keyed_state.metering(stream, DAY, HOUR), str(tmp_path))
+    assert rows_of(keyed_state.accounting(spark.read.schema(keyed_state.OUTPUT).parquet(f"{tmp_path}/out"))) == [(0, 4000, 3900, 100)]
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.numInputRows) < 50
+
+
+def test_large_parts_are_several_files(spark, tmp_path):
+    rows = spark.range(3000).select("id", (F.col("id") / 1000).cast("int").alias("part"))
+    files = replay.cut(rows, F.col("part"), f"{tmp_path}/in", rows_a_file=250)
+    assert files == 4 and len(list((tmp_path / "in").glob("*.parquet"))) == 12
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{tmp_path}/in")
+    seen = []
+    stream.writeStream.foreachBatch(lambda df, n: seen.append((n, rows_of(df.groupBy("part").count())))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(n, [(n, 1000)]) for n in range(3)]
