@@ -247,20 +247,19 @@ class Expiring(StatefulProcessor):
         self.ttl, self.keep = ttl_seconds * 1_000_000, keep_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getMapState("accepted", "id string", "at long", self.keep)
+        self.accepted = Paged(handle, "accepted", self.keep)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for one, times in pd.concat(list(rows)).sort_values("at").groupby("id", sort=False)["at"]:
-            held = self.accepted.getValue((one,))
-            last = None if held is None else held[0]
-            for at in times:
-                if last is None or at >= last + self.ttl:
-                    last = int(at)
-                    out.append((one, last))
-            if last is not None and (held is None or held[0] != last):
-                self.accepted.updateValue((one,), (last,))
-        yield pd.DataFrame(out, columns=["id", "at"], dtype=object)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("at")
+        ids, times, good = batch["id"].tolist(), batch["at"].to_numpy(), np.zeros(len(batch), bool)
+
+        def accept(k: int, held: tuple | None) -> int | None:
+            if held is None or times[k] >= held[0] + self.ttl:
+                good[k] = True
+                return int(times[k])
+
+        self.accepted.visit(ids, timerValues.getCurrentProcessingTimeInMs(), accept)
+        yield batch.loc[good, ["id", "at"]]
 
 
 def accepted_by_ttl(sightings: DataFrame, key: str, at: str, ttl_seconds: int, keep_seconds: int | None = None, buckets: int = 64) -> DataFrame:
