@@ -25,7 +25,7 @@ def progress(events: DataFrame, lateness_seconds: int, chunk: int = 100_000, car
     before = Window.partitionBy("partition").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("partition", "__chunk", F.max("__top").over(before).alias("__before"))
     inner = Window.partitionBy("partition", "__chunk").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    rows = c.withColumn("__run", F.max("occurred_at").over(inner)).join(tops, ["partition", "__chunk"])
+    rows = c.withColumn("__run", F.max("occurred_at").over(inner)).join(tops.hint("merge"), ["partition", "__chunk"])  # the rows lie so already; else those of a small batch may be what is broadcast
     known = ["__run", "__before"]
     if carried is not None:
         rows = rows.join(carried.select("partition", F.col("max_occurred_at").alias("__carried")), "partition", "left")

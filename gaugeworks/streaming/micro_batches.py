@@ -29,6 +29,8 @@ MARKS = "partition int, max_occurred_at timestamp_ntz"
 REVISION = "tenant_id string, metric string, partition int, window_start timestamp_ntz, window_end timestamp_ntz, quantity decimal(38,9), event_count long, revision int, sealed_at timestamp_ntz"
 LATE = "event_id string, tenant_id string, metric string, window_start timestamp_ntz, quantity decimal(38,9), lateness_ms long, watermark_lateness_ms long, occurred_at timestamp_ntz, received_at timestamp_ntz"
 MESSAGE = "id long, aggregate_key string, payload string, tenant_id string, metric string, window_start timestamp_ntz, revision int, quantity decimal(38,9), event_count long, created_at timestamp_ntz"
+#: What metering reads of a log record.
+EVENT = ["partition", "offset", "event_id", "tenant_id", "metric", "quantity", "occurred_at", "received_at"]
 LATEST = ["tenant_id", "metric", "window_start", "quantity", "event_count", "revision"]
 
 
@@ -101,7 +103,8 @@ class MeteringStream:
 
     def process(self, events: DataFrame, batch: int) -> None:
         marks, waiting = self.read("marks", MARKS, batch - 1), self.read("open", OPEN, batch - 1)
-        fresh = dedup.unprocessed(dedup.first_occurrences(events, order=("partition", "offset")), self.processed(batch, events))
+        events = events.select(*EVENT)
+        fresh = dedup.unprocessed(dedup.first_occurrences(events, order=("partition", "offset")), self.processed(batch, events)).persist()  # watermarks read it twice
         rows = windows.classified(fresh, self.window, self.lateness, carried=marks).persist()
         try:
             tops = rows.groupBy("partition").agg(F.max("occurred_at").alias("max_occurred_at")).unionByName(marks).groupBy("partition").agg(F.max("max_occurred_at").alias("max_occurred_at"))
@@ -122,6 +125,7 @@ class MeteringStream:
             self.write(made.agg((F.count("*") + first - 1).alias("last")), f"state/batch={batch}/numbers")
         finally:
             rows.unpersist()
+            fresh.unpersist()
 
     @staticmethod
     def corrected(rows: DataFrame, state: DataFrame) -> DataFrame:

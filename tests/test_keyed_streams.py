@@ -258,3 +258,24 @@ def test_large_parts_are_several_files(spark, tmp_path):
     seen = []
     stream.writeStream.foreachBatch(lambda df, n: seen.append((n, rows_of(df.groupBy("part").count())))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert seen == [(n, [(n, 1000)]) for n in range(3)]
+
+
+def test_ids_and_numbers_are_not_broadcast(spark, log, tmp_path):
+    """Small as the files of ids are, they grow with history: joins with them shuffle."""
+    known = usage.written(log.select("event_id"))
+    assert "BroadcastHashJoin" not in dedup.unprocessed(log, known)._jdf.queryExecution().executedPlan().toString()
+    rows = windows.progress(log, HOUR)
+    rows.collect()
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_watermarks_read_a_batch_once(spark, log, tmp_path):
+    """A batch's new events are kept, with the columns that metering needs, for what reads them twice."""
+    stream, kept = MeteringStream(spark, str(tmp_path), DAY, HOUR), []
+    classified = windows.classified
+    try:
+        windows.classified = lambda events, *a, **k: kept.append((events.is_cached, set(events.columns))) or classified(events, *a, **k)
+        stream.process(log, 0)
+    finally:
+        windows.classified = classified
+    assert kept == [(True, {"partition", "offset", "event_id", "tenant_id", "metric", "quantity", "occurred_at", "received_at"})]
