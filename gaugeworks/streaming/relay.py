@@ -30,7 +30,16 @@ class Relay:
         """The last pass before this one whose state is whole; passes without work leave none."""
         fs, path = filesystem(self.spark, f"{self.path}/state")
         names = [x.getPath().getName().removeprefix("pass=") for x in fs.listStatus(path)] if fs.exists(path) else []
-        return max((int(p) for p in names if int(p) < before and fs.exists(child(self.spark, path, f"pass={p}/cursor/_SUCCESS"))), default=-1)
+        numbers = sorted((int(p) for p in names if int(p) < before), reverse=True)
+        return next((p for p in numbers if fs.exists(child(self.spark, path, f"pass={p}/cursor/_SUCCESS"))), -1)
+
+    def fresh(self, upto: int) -> DataFrame:
+        """The first `n` messages beyond an id. Ids mostly follow on each other, so the next `n` ids are looked at first: a pass reads what it takes, not all that is still to come."""
+        ids = self.messages().select("id", F.lit(0).alias("attempts"))
+        near = ids.where(F.col("id").between(upto + 1, upto + self.n))
+        if near.count() == self.n:
+            return near
+        return ids.where(F.col("id") > upto).orderBy("id").limit(self.n)
 
     def state(self, before: int) -> tuple[DataFrame, int]:
         """Messages to try again, and the id up to which messages have been taken."""
@@ -43,8 +52,7 @@ class Relay:
     def run(self, number: int) -> int:
         """One pass; returns how many messages it tried."""
         pending, upto = self.state(number)
-        fresh = self.messages().where(F.col("id") > upto).select("id", F.lit(0).alias("attempts")).orderBy("id").limit(self.n)
-        chosen = pending.unionByName(fresh).orderBy("id").limit(self.n)
+        chosen = pending.unionByName(self.fresh(upto)).orderBy("id").limit(self.n)
         ids = chosen.collect()  # n at most
         if not ids:
             return 0

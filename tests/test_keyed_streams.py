@@ -279,3 +279,12 @@ def test_watermarks_read_a_batch_once(spark, log, tmp_path):
     finally:
         windows.classified = classified
     assert kept == [(True, {"partition", "offset", "event_id", "tenant_id", "metric", "quantity", "occurred_at", "received_at"})]
+
+
+def test_relay_takes_fresh_messages_from_near_ids(spark, tmp_path):
+    """With gaps the search goes on beyond the near ids; without, only those are read. States are looked at newest first."""
+    messages = spark.createDataFrame([(i,) for i in (*range(1, 41), *range(45, 90, 2))], "id long")
+    relay = Relay(spark, str(tmp_path), lambda: messages, outbox.memory_sink, n=20)
+    ids = lambda upto: sorted(r.id for r in relay.fresh(upto).collect())
+    assert ids(0) == list(range(1, 21)) and "Sort" not in relay.fresh(0)._jdf.queryExecution().toString()
+    assert ids(30) == [*range(31, 41), *range(45, 65, 2)] and ids(80) == [81, 83, 85, 87, 89] and ids(89) == []
